@@ -26,6 +26,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Rows that no label may be learnt from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from .quality_model import fit
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return fit(docs, labels.where(~held_out()))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, quality_model(spark, docs, sf_dir)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -41,6 +60,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op8_token_counts": op8_token_counts,
 }
