@@ -29,3 +29,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
   NOT base_failed AND 2 * (word_chars - lost_chars) >= word_chars AS kept
 FROM b
 """
+
+SUBSTRING_DEDUP = r"""
+WITH x AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM x WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 19], ' ')) AS q FROM p),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY q ORDER BY doc_id, i) AS rn FROM k),
+c AS (SELECT DISTINCT doc_id, i + o AS j FROM g, range(0, 20) AS t(o) WHERE rn > 1),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM x),
+m AS (SELECT w.doc_id, w.w, w.j, c.j IS NOT NULL AS gone FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.j = w.j),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(w, ' ' ORDER BY j) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM x LEFT JOIN a ON a.doc_id = x.doc_id
+"""
+
+SUFFIX_DEDUP = r"""
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(hx) // 2 - 399)) AS i, hx FROM x WHERE len(hx) >= 800),
+k AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 800)) AS q FROM p),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY q) AS n FROM k),
+f AS (SELECT doc_id, i FROM g WHERE n > 1),
+e AS (SELECT doc_id, i, sum(CASE WHEN i <= prev + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS prev FROM f)),
+s AS (SELECT doc_id, island, min(i) AS a, max(i) + 400 AS z FROM e GROUP BY doc_id, island),
+r AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nxt FROM s),
+t AS (
+  SELECT r.doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+    string_agg(substr(hx, 2 * before + 1, 2 * (a - before)) || CASE WHEN nxt IS NULL THEN substr(hx, 2 * z + 1) ELSE '' END, '' ORDER BY a) AS left_hex
+  FROM r JOIN x ON x.doc_id = r.doc_id GROUP BY r.doc_id)
+SELECT x.doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(left_hex, hx))) AS kept_sha256
+FROM x LEFT JOIN t ON t.doc_id = x.doc_id
+"""
