@@ -72,6 +72,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import NearRules, near_components
+
+    out = near_components(table(spark, sf_dir, "documents"), NearRules(shingle=3, percent=85))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality_classifier": op3_quality_classifier,
@@ -79,10 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": sql.QUALITY_RULES,
     "op6_suffix_dedup": sql.SUFFIX_DEDUP,
     "op9_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op10_near_dedup": sql.NEAR_DEDUP,
 }

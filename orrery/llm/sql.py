@@ -61,3 +61,17 @@ SELECT x.doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
   sha256(unhex(coalesce(left_hex, hx))) AS kept_sha256
 FROM x LEFT JOIN t ON t.doc_id = x.doc_id
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 1, 2))) AS i, ws FROM x WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM b JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, other) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT node, least(node, min(other)) AS component_id FROM r GROUP BY node)
+SELECT x.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, x.doc_id) AS component_id, coalesce(m.component_id, x.doc_id) = x.doc_id AS kept
+FROM x LEFT JOIN n ON n.doc_id = x.doc_id LEFT JOIN m ON m.node = x.doc_id
+"""
