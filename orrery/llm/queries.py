@@ -75,12 +75,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import NearRules, near_components
 
-    out = near_components(table(spark, sf_dir, "documents"), NearRules(shingle=3, percent=85))
+    out = near_components(table(spark, sf_dir, "documents"), NearRules(shingle=3, percent=85, bands=24))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import near_vectors
+
+    out = near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op5_quality_rules": sql.QUALITY_RULES,
     "op6_suffix_dedup": sql.SUFFIX_DEDUP,
     "op9_substring_dedup": sql.SUBSTRING_DEDUP,

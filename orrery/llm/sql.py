@@ -75,3 +75,14 @@ m AS (SELECT node, least(node, min(other)) AS component_id FROM r GROUP BY node)
 SELECT x.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, x.doc_id) AS component_id, coalesce(m.component_id, x.doc_id) = x.doc_id AS kept
 FROM x LEFT JOIN n ON n.doc_id = x.doc_id LEFT JOIN m ON m.node = x.doc_id
 """
+
+EMBEDDING_DEDUP = r"""
+WITH RECURSIVE x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT * FROM x WHERE e IS NOT NULL AND len(e) > 0 AND NOT list_contains(list_transform(e, lambda a: a IS NULL OR isnan(a) OR isinf(a)), true) AND list_contains(list_transform(e, lambda a: a <> 0), true)),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.9),
+r(node, other) AS (SELECT a, b FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other),
+m AS (SELECT node, least(node, min(other)) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.component_id, x.vec_id) AS component_id, coalesce(m.component_id, x.vec_id) = x.vec_id AS kept
+FROM x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN m ON m.node = x.vec_id
+"""
