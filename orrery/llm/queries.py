@@ -45,6 +45,22 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, quality_model(spark, docs, sf_dir)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen arrivals of ``documents`` as shards, compacted; each row with the shard of the version reached."""
+    import uuid
+
+    from .arrow import checkpoint_dir
+    from .sharding import ShardStore
+
+    docs = table(spark, sf_dir, "documents")
+    store = ShardStore(spark, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}", docs.schema)
+    store.append_all(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    version = store.compact()
+    store.vacuum()
+    rows = store.read(version)
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -92,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,

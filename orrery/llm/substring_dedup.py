@@ -58,6 +58,6 @@ def dedup_words(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WO
 def clean(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` with repeats cut out of the text; a text that loses nothing stays byte for byte."""
     out = dedup_words(docs, window)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     cols = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
