@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -23,6 +24,31 @@ def load_tokenizer(path: str):
     return tok
 
 
+#: Fixed value: how byte-level BPE of this kind cuts pre-tokens.
+BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
+def ranked(path: str):
+    """The same byte-level BPE as ranks of byte strings, which merges several times faster.
+
+    None unless the file's merges are in the order of their ids and it cuts in the usual way.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not model.get("end_of_word_suffix")
+    if not usual or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    import tiktoken
+
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Memo:
     """unit -> row of (count, flag, ids) for the units met so far.
 
@@ -31,6 +57,7 @@ class Memo:
 
     def __init__(self, path: str, keep_ids: bool, most: int = MEMO_UNITS):
         self.tok, self.keep_ids, self.most = load_tokenizer(path), keep_ids, most
+        self.ranked = ranked(path) if keep_ids else None
         self.clear()
 
     def clear(self) -> None:
@@ -43,17 +70,30 @@ class Memo:
         if len(self.row) + len(new) > self.most and self.row:
             self.clear()
             new = list(units)
+        if self.ranked:
+            plain = [u for u in new if PLAIN.fullmatch(u) and "<|" not in u]
+            for at in range(0, len(plain), 512 * 64):
+                self.learn_plain(plain[at : at + 512 * 64])
+            new = [u for u in new if u not in self.row]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for unit, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.row[unit] = len(self.count)
-                if self.keep_ids:
-                    ids = e.ids
-                    self.count.append(len(ids))
-                    self.pool.extend(ids)
-                else:
-                    self.count.append(len(e))
+                self.count.append(len(e))
                 self.ends.append(unit == "\n" or unit[-1:] in ".!?")
+                if self.keep_ids:
+                    self.pool.extend(e.ids)
+
+    def learn_plain(self, units: list[str]) -> None:
+        """Units without inner white space, many to a text: a line end between two is a token of its own."""
+        mark = self.ranked.encode_ordinary("\n")[0]
+        texts = ["\n".join([*units[i : i + 512], ""]) for i in range(0, len(units), 512)]
+        ids = np.concatenate([np.array(self.ranked.encode_ordinary(t), np.int32) for t in texts])
+        marks = np.flatnonzero(ids == mark)
+        self.row.update(zip(units, range(len(self.count), len(self.count) + len(units)), strict=True))
+        self.count.frombytes((np.diff(np.concatenate([[-1], marks])) - 1).astype(np.int32).tobytes())
+        self.ends.frombytes(np.fromiter((u[-1] in ".!?" for u in units), np.int8, len(units)).tobytes())
+        self.pool.frombytes(ids[ids != mark].tobytes())
 
     def rows(self, units: list[str]) -> np.ndarray:
         return np.fromiter(map(self.row.__getitem__, units), np.int64, len(units))
@@ -75,15 +115,17 @@ def memo(path: str, keep_ids: bool) -> Memo:
     return _MEMOS[path, keep_ids]
 
 
-#: White space other than single spaces and line ends between visible characters, or the mark used to split.
-ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A\s|\s\Z|\x00")
+#: A unit that can share a text with others: no white space but one leading space.
+PLAIN = re.compile(r" ?\S+")
+#: White space other than spaces and line ends, or the mark used to split.
+OTHER = re.compile(r"[^\S \n]|\x00")
 
 
 def byte_bpe_units(text: str) -> list[str]:
     """``text`` cut where byte-level BPE pre-tokens always end; a text with other spacing stays whole."""
     if not text:
         return []
-    if ODD.search(text):
+    if OTHER.search(text) or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
         return [text]
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
