@@ -45,6 +45,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, quality_model(spark, docs, sf_dir)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import encode
+
+    docs = table(spark, sf_dir, "documents")
+    return encode(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen arrivals of ``documents`` as shards, compacted; each row with the shard of the version reached."""
     import uuid
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sharding": op7_sharding,
