@@ -139,9 +139,11 @@ def runs_of(texts: list[bytes], docs: np.ndarray, spec: Spec) -> dict[str, np.nd
 
 def packed(items: dict[str, np.ndarray], kind: list, keys: np.ndarray, also: list[bytes] | None = None) -> Iterator[tuple[int, bytes]]:
     """(key, blob) of the items by key; columns lie one after another, so they compress well."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     cols = [np.ascontiguousarray(items[k][order], t) for k, t in kind]
     for i, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
         blob = int(z - i).to_bytes(4, "little") + b"".join(c[i:z].tobytes() for c in cols)
@@ -242,7 +244,7 @@ Resolver = Callable[[dict[str, np.ndarray], list[bytes], Spec], tuple[np.ndarray
 def found_ranges(docs: DataFrame, spec: Spec, resolve: Resolver) -> tuple[DataFrame, DataFrame, int]:
     """(bucket, kind, blob) with the removable ranges, documents dealt by bucket, bucket count."""
     spark = docs.sparkSession
-    n = 4 * shuffle_partitions(spark)
+    n = shuffle_partitions(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows()
