@@ -1,10 +1,6 @@
-"""Registered queries over the driver's tables and the SQL they are held against."""
+"""All registered queries over the driver's tables."""
 
-from __future__ import annotations
+from . import q_facts, q_features, q_retrieval, q_stats, q_streams, q_text  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
