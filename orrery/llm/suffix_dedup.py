@@ -38,41 +38,58 @@ def smaller_than_next(line: np.ndarray) -> np.ndarray:
     return up
 
 
-def words_at(line: np.ndarray) -> np.ndarray:
-    """The four symbols from each place on, as one number; past the end they are 0."""
-    ext = np.concatenate([line.astype(np.uint64), np.zeros(4, np.uint64)])
+def words_at(line: np.ndarray) -> tuple[np.ndarray, int]:
+    """The symbols from each place on packed into one number, and how many; past the end they are 0.
+
+    Eight symbols go into a number where all are below 256, else four.
+    """
     n = len(line)
-    return (ext[:n] << np.uint64(48)) | (ext[1 : n + 1] << np.uint64(32)) | (ext[2 : n + 2] << np.uint64(16)) | ext[3 : n + 3]
+    step = 8 if n and int(line.max()) < 256 else 4
+    bits = np.uint64(64 // step)
+    ext = np.concatenate([line.astype(np.uint64), np.zeros(step, np.uint64)])
+    keys, have = ext, 1
+    while have < step:  # double the symbols held
+        keys = (keys[: len(keys) - have] << (bits * np.uint64(have))) | keys[have:]
+        have *= 2
+    return keys[:n], step
 
 
-def direct_sort(places: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
+def direct_sort(places: np.ndarray, keys: np.ndarray, step: int, depth: int) -> np.ndarray:
     """``places`` sorted by the first ``depth`` symbols of their suffixes, most significant symbols first.
 
-    Only places still tied with a neighbour are compared further.
+    Only places still tied with a neighbour are compared further; tied pairs, the usual
+    case, by one comparison.
     """
     n = len(keys)
     places = places[np.argsort(keys[places], kind="stable")]
     k = keys[places]
     same = np.concatenate([[False], k[1:] == k[:-1]])
-    done = 4
+    done = step
     while done < depth:
-        group = np.cumsum(~same)
         tied = same.copy()
         tied[:-1] |= same[1:]
         at = np.flatnonzero(tied)
         if not len(at):
             break
-        own, g = places[at], group[at]
-        nxt = own + done
+        nxt = places[at] + done
         k = np.where(nxt < n, keys[np.minimum(nxt, n - 1)], 0)
-        order = np.lexsort((k, g))
-        places[at] = own[order]
-        k, g = k[order], g[order]
-        tie = np.zeros(len(at), bool)
-        tie[1:] = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
-        same = np.zeros(len(places), bool)
-        same[at] = tie
-        done += 4
+        head = np.flatnonzero(~same[at])
+        size = np.diff(np.concatenate([head, [len(at)]]))
+        pair = head[size == 2]
+        swap = pair[k[pair + 1] < k[pair]]
+        x, y = at[swap], at[swap + 1]
+        places[x], places[y] = places[y], places[x]
+        same[at[pair + 1]] = k[pair + 1] == k[pair]
+        if len(pair) < len(head):
+            more = np.repeat(size != 2, size)
+            own, k = at[more], k[more]
+            g = np.repeat(np.arange(len(head)), size)[more]
+            order = np.lexsort((k, g))
+            places[own] = places[own[order]]
+            k = k[order]
+            same[own[1:]] = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
+            same[own[0]] = False
+        done += step
     return places
 
 
@@ -82,7 +99,7 @@ def two_stage_sort(line: np.ndarray, depth: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
     up = smaller_than_next(line)
-    sorted_up = direct_sort(np.flatnonzero(up), words_at(line), depth)
+    sorted_up = direct_sort(np.flatnonzero(up), *words_at(line), depth)
     top = int(line.max()) + 1
     size = np.bincount(line, minlength=top)
     start = np.cumsum(size) - size
@@ -127,12 +144,14 @@ def two_stage_sort(line: np.ndarray, depth: int) -> np.ndarray:
 
 def common_at_least(line: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """True where the suffixes at a and b share ``depth`` symbols."""
-    keys = words_at(line)
+    keys, step = words_at(line)
     n = len(line)
     ok = (np.maximum(a, b) + depth) <= n
     live = np.flatnonzero(ok)
-    for k in range(0, depth, 4):
-        off = min(k, depth - 4)
+    if depth < step:
+        raise ValueError(f"windows of fewer than {step} symbols")
+    for k in range(0, depth, step):
+        off = min(k, depth - step)
         live = live[keys[a[live] + off] == keys[b[live] + off]]
         if not len(live):
             break
