@@ -17,7 +17,9 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        setattr(self, name, df)  # one frame a table, so that its columns can be named
+        return df
 
 
 def query(sql: str | None = None, name: str | None = None):
