@@ -9,6 +9,7 @@ adaptive execution can split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("component")).limit(0)
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     return labels.unionByName(roots)
+
+
+def smallest_linked(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least id of each row's and column's component in the bipartite graph ``linked``."""
+    most = np.iinfo(np.int64).max
+    while True:
+        r = np.minimum(left, np.where(linked, right[None], most).min(1, initial=most))
+        c = np.minimum(right, np.where(linked, r[:, None], most).min(0, initial=most))
+        if (r == left).all() and (c == right).all():
+            return r, c
+        left, right = r, c

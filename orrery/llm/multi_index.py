@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import cut
-from .components import components
+from .components import components, smallest_linked
 
 
 @dataclass(frozen=True)
@@ -192,17 +192,6 @@ def placed(nodes: DataFrame, index: Index) -> DataFrame:
     return nodes.select("vec_id", "copies", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, PLACED)
 
 
-def smallest_linked(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least id of each row's and column's component in the bipartite graph ``linked``."""
-    most = np.iinfo(np.int64).max
-    while True:
-        r = np.minimum(left, np.where(linked, right[None], most).min(1, initial=most))
-        c = np.minimum(right, np.where(linked, r[:, None], most).min(0, initial=most))
-        if (r == left).all() and (c == right).all():
-            return r, c
-        left, right = r, c
-
-
 def cell_links(placements: DataFrame, index: Index, rules: IndexRules) -> DataFrame:
     """(vec_id, n, least): links a task found for a vector, weighted by copies, and the least id it reached."""
     home = F.col("home") == F.col("cell")

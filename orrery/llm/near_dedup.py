@@ -6,11 +6,14 @@ estimate has less variance; ranks rise from step to step, so a document stops on
 no place can fall any more. Bands of the signature deal documents with equal shingle
 sets' representatives into buckets.
 
-A bucket is never expanded into its pairs. Its members are compared with one hub;
-after the verified links are united, members of other components than the bucket's
-main one become hubs in turn, until every bucket lies in one component or all its
-members have been hubs. So every pair that shares a bucket is either compared or
-already connected. Links are confirmed on full shingle sets.
+A bucket is never expanded into its pairs: its members point at one of them, and
+connected members form a candidate cluster, so all pairs that share a bucket lie in
+one cluster. A cluster of up to ``cluster_rows`` sets is compared in one task, as
+matrices. In a larger one the member nearest to the most frequent signature values
+becomes the hub; in a group of near copies that is the text they were made from, so
+most members link to it directly. Only members outside of the hub's component are
+then compared with the whole cluster, in bounded blocks. Every pair that shares a
+bucket is so either compared on full shingle sets or already connected.
 
 Edge cases: null or empty text has no shingles and is linked with nothing; a text of
 fewer words than a shingle is one shingle; equal sets are one node, so groups of
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import chunks, cut, doc_columns
-from .components import components
+from .components import components, smallest_linked
 from .repeats import BASE, Hashes, U, mix, word_line
 
 
@@ -42,7 +45,8 @@ class NearRules:
     bands: int = 32
     rows: int = 6
     hub_members: int = 256
-    hubs: int = 8
+    cluster_rows: int = 512
+    drawn: int = 64
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -104,7 +108,7 @@ def batch_texts(b: pa.RecordBatch) -> list[bytes]:
 
 
 def profiles(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """doc_id, n_shingles, set_hi and set_lo (equal for equal sets), bands (array of keys, none for empty sets)."""
+    """doc_id, n_shingles, set_hi and set_lo (equal for equal sets), bands (array of keys, none for empty sets), sig (16 bits a place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, most=1 << 20):
@@ -112,12 +116,14 @@ def profiles(docs: DataFrame, rules: NearRules) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             hi = np.array([mix(s).sum(dtype=U) for s in sets], U).view(np.int64)
             lo = np.array([mix(s ^ BASE).sum(dtype=U) for s in sets], U).view(np.int64)
-            keys = band_keys(super_minhash(sets, rules.bands * rules.rows), rules)
+            sig = super_minhash(sets, rules.bands * rules.rows)
+            short = [x.tobytes() for x in (mix(sig) & U(0xFFFF)).astype("<u2")]
+            keys = band_keys(sig, rules)
             keys = keys[n > 0].reshape(-1)
             at = np.concatenate([[0], np.cumsum(np.where(n > 0, rules.bands, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))], ["doc_id", "n_shingles", "set_hi", "set_lo", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(pa.array(at), pa.array(keys)), pa.array(short, pa.binary())], ["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sig"])
 
-    return doc_columns(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>")
+    return doc_columns(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig binary")
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, rules: NearRules) -> DataFrame:
@@ -158,41 +164,135 @@ def verified(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     return left.groupBy("hub", "part").cogroup(right.groupBy("of", "of_part")).applyInArrow(check, "a long, b long")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by blocks of shingles that stand in several sets."""
+    both = [*left, *right]
+    owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    _, code, n = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    keep = n[code] > 1
+    owner, code = owner[keep], (np.cumsum(n > 1) - 1)[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+        a, z = np.searchsorted(code, [at, at + columns])
+        table = np.zeros((len(both), columns), np.float32)
+        table[owner[a:z], code[a:z] - at] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out.astype(np.int64)
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    common = overlaps(left, right)
+    size = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None]
+    return 100 * common >= percent * (size - common)
+
+
+def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Table:
+    """Edges (a, b) that connect what ``links`` connects: every node to the least one it reaches."""
+    least_l, least_r = smallest_linked(links, left, right)
+    ids, to = np.concatenate([left, right]), np.concatenate([least_l, least_r])
+    return pa.table([pa.array(ids[ids != to], pa.int64()), pa.array(to[ids != to], pa.int64())], ["a", "b"])
+
+
+def grams_of(t: pa.Table, column: str = "grams") -> list[np.ndarray]:
+    return [np.frombuffer(g, "<u8") for g in t.column(column).to_pylist()]
+
+
+EDGES = "a long, b long"
+
+
+def small_clusters(nodes: DataFrame, rules: NearRules) -> DataFrame:
+    """Links within clusters of (cluster, node, grams), one bounded task a cluster."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, sets = t.column("node").to_numpy(), grams_of(t)
+        return forest(linked(sets, sets, rules.percent), ids, ids)
+
+    return nodes.groupBy("cluster").applyInArrow(compare, EDGES)
+
+
+def hubs_of(nodes: DataFrame, rules: NearRules) -> DataFrame:
+    """(cluster, hub): the member that agrees most with the commonest values of some drawn signatures."""
+    w = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
+    drawn = nodes.select("cluster", "node", "sig").withColumn("at", F.row_number().over(w)).where(F.col("at") <= rules.drawn)
+
+    def common(t: pa.Table) -> pa.Table:
+        sig = np.array([np.frombuffer(x, "<u2") for x in t.column("sig").to_pylist()])
+        mode = np.array([np.bincount(c).argmax() for c in sig.T], "<u2")
+        return pa.table([t.column("cluster").slice(0, 1), pa.array([mode.tobytes()], pa.binary())], ["of", "mode"])
+
+    modes = drawn.groupBy("cluster").applyInArrow(common, "of long, mode binary")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [int((np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).sum()) for x, y in zip(b.column("sig").to_pylist(), b.column("mode").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("node"), pa.array(n, pa.int64())], ["cluster", "node", "agree"])
+
+    near = nodes.select("cluster", "node", "sig").join(modes, F.col("cluster") == F.col("of")).select("cluster", "node", "sig", "mode").mapInArrow(agree, "cluster long, node long, agree long")
+    return near.groupBy("cluster").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("hub"))
+
+
+def across(nodes: DataFrame, labels: DataFrame, hubs: DataFrame, rules: NearRules) -> DataFrame | None:
+    """Links between members outside of their hub's component and all members of the cluster; None if there are none."""
+    own = labels.select(F.col("node"), F.col("component").alias("own"))
+    x = nodes.select("cluster", "node").join(own, "node", "left").select("cluster", "node", F.coalesce("own", "node").alias("own"))
+    main = hubs.join(own.select(F.col("node").alias("hub"), F.col("own").alias("main")), "hub", "left").select("cluster", F.coalesce("main", "hub").alias("main"))
+    x = cut(x.join(main, "cluster").select("cluster", "node", "own", (F.col("own") != F.col("main")).alias("outside")))
+    size = x.groupBy("cluster").agg(F.count(F.when(F.col("outside"), 1)).alias("o"), F.count("*").alias("m")).where("o > 0")
+    parts = lambda c: F.ceil(F.col(c) / rules.hub_members).cast("int")
+    size = size.select("cluster", parts("o").alias("lefts"), parts("m").alias("rights"))
+    if size.isEmpty():
+        return None
+    x = x.join(size, "cluster").join(nodes.select("node", "grams"), "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = x.where("outside").select("cluster", deal("lefts").alias("l"), every("rights").alias("r"), "node", "own", "grams")
+    right = x.select(F.col("cluster").alias("c2"), every("lefts").alias("l2"), deal("rights").alias("r2"), F.col("node").alias("node2"), F.col("own").alias("own2"), F.col("grams").alias("grams2"))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        links = linked(grams_of(a), grams_of(b, "grams2"), rules.percent)
+        links &= a.column("own").to_numpy()[:, None] != b.column("own2").to_numpy()[None]
+        return forest(links, a.column("node").to_numpy(), b.column("node2").to_numpy())
+
+    return left.groupBy("cluster", "l", "r").cogroup(right.groupBy("c2", "l2", "r2")).applyInArrow(compare, EDGES)
+
+
 def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id linked, directly or not) for every row of ``docs``."""
     rules = rules or NearRules()
     seen = cut(profiles(docs, rules))
     full = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = cut(reps)
-    banded = reps.select("rep", F.explode("bands").alias("bucket"))
+    same = full.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    reps = cut(same)
+    of_rep = full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    banded = of_rep.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(shared.select("bucket", "hub"), "bucket"))
-    sets = cut(stored_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), rules))
-    pairs = members.where("rep <> hub").select(F.col("rep").alias("a"), "hub").distinct()
-    links = cut(verified(pairs, sets, rules))
+    stars = banded.join(shared.select("bucket", "hub"), "bucket").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    clusters = cut(components(stars).withColumnRenamed("component", "cluster"))
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sets = stored_sets(docs, clusters.select(F.col("node").alias("doc_id")), rules).withColumnRenamed("doc_id", "node")
+    nodes = cut(sets.join(clusters, "node").join(size, "cluster").dropDuplicates(["node"]))
+    links = cut(small_clusters(nodes.where(F.col("n") <= rules.cluster_rows), rules))
+    large = nodes.where(F.col("n") > rules.cluster_rows)
+    if not large.isEmpty():
+        large = cut(large.join(seen.select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"]), "node"))
+        hubs = cut(hubs_of(large, rules))
+        pairs = large.select("cluster", "node").join(hubs, "cluster").where("node <> hub").select(F.col("node").alias("a"), "hub")
+        to_hub = cut(verified(pairs, large.select(F.col("node").alias("doc_id"), "grams"), rules))
+        more = across(large, components(to_hub), hubs, rules)
+        links = links.unionByName(to_hub)
+        links = links.unionByName(cut(more)) if more is not None else links
     labels = components(links)
-    rest = members.where("rep <> hub").select("bucket", "rep")
-    while True:
-        rest = rest.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        main = rest.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main <> other")
-        rest = cut(rest.join(main.select("bucket", "main"), "bucket"))
-        if rest.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy("rep")
-        hubs = rest.where("component <> main").withColumn("at", F.row_number().over(order)).where(F.col("at") <= rules.hubs).select("bucket", F.col("rep").alias("hub"), F.col("component").alias("own"))
-        hubs = cut(hubs)
-        pairs = rest.join(hubs, "bucket").where("component <> own").select(F.col("rep").alias("a"), "hub").distinct()
-        links = cut(links.unionByName(verified(pairs, sets, rules)))
-        labels = components(links)
-        rest = rest.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-    of_set = seen.join(reps.select("set_hi", "set_lo", "n_shingles", "rep"), ["set_hi", "set_lo", "n_shingles"], "left")
+    of_set = seen.join(reps, ["set_hi", "set_lo", "n_shingles"], "left")
     out = of_set.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", linked.alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     """The documents that are the least of their component, all columns as they were."""
-    kept = near_components(docs, rules).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_components(docs, rules).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
