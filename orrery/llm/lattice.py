@@ -6,8 +6,8 @@ found are grouped by unit and folded with a higher-order aggregate. For BPE mode
 the fold merges in the order of scores (a Viterbi path is not what such a model
 means): an edge is taken if both its ends are borders of symbols and exactly one
 border lies between, which goes. Borders are bits of one long. Units are encoded once;
-documents are dealt in blocks, and every block gets the ids of its own units, so a
-frequent unit travels once a block.
+texts form blocks as they are read, and every block gets the ids of its own units, so a
+frequent unit travels once a block, compressed with the others.
 
 Edge cases: null or empty text has no ids and decodes to the empty text; characters
 without a piece become byte pieces; units longer than a long's bits are encoded by
@@ -17,15 +17,19 @@ empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import doc_columns, shuffle_partitions
+from .arrow import chunks, doc_columns, shuffle_partitions
 
 SPACE = "▁"
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -111,59 +115,122 @@ def encode_long(units: DataFrame, path: str) -> DataFrame:
     return units.mapInArrow(run, "unit string, ids array<int>")
 
 
-def encode(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
-    """doc_id, ids (little-endian uint32), n_tokens and decoded (the text of the ids) for every row."""
-    n = blocks or max(1, shuffle_partitions(docs.sparkSession) // 2)
-    # dealt by text as well, so that rows which share a doc_id do not crowd into one block
-    dealt = doc_columns(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
+def sealed(parts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, 5))
 
-    def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
-        held = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, own in seen.items():
-                own = list(own)
-                for i in range(0, len(own), 50_000):
-                    part = own[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "unit"])
-            seen.clear()
+def opened(blob: bytes) -> list[bytes]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
-        for b in batches:
-            for block, text in zip(b.column("block").to_pylist(), b.column("text"), strict=True):
-                own = seen.setdefault(block, set())
-                before = len(own)
-                own.update(sp_units(text.as_py()))
-                held += len(own) - before
-                if held > 500_000:
-                    yield from flush()
-                    held = 0
-        yield from flush()
-
-    pairs = dealt.repartition("block").select("block", "text").mapInArrow(list_units, "block int, unit string").distinct()
-    units = pairs.select("unit").distinct()
-    short = encode_units(units.where(F.length("unit") <= MOST_CHARS), path)
-    known = short.unionByName(encode_long(units.where(F.length("unit") > MOST_CHARS), path))
-    replies = pairs.join(known, "unit").select(F.col("block").alias("of"), "unit", "ids")
-
-    def assemble(rows: pa.Table, reply: pa.Table) -> pa.Table:
-        raw = tables(path)[1]
-        lists = reply.column("ids").combine_chunks()
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(np.asarray(lists.value_lengths())).tolist() if len(lists) else []
-        data = flat.tobytes()
-        code, spell, a = {}, {}, 0
-        for unit, z in zip(reply.column("unit").to_pylist(), ends, strict=True):
-            code[unit] = data[4 * a : 4 * z]
-            a = z
-        out_ids, texts = [], []
-        for text in rows.column("text").to_pylist():
-            ids = b"".join([code[u] for u in sp_units(text)])
-            out_ids.append(ids)
-            texts.append(b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")[1:])
-        return pa.table([rows.column("doc_id"), pa.array(out_ids, pa.binary()), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
-
-    return dealt.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded string")
+
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, list[str]]]:
+    """(block, doc_ids, texts) of a task's rows in order, about ``most`` bytes each; the same rows give the same blocks."""
+    block = TaskContext.get().partitionId() << 24
+    ids, texts, held = [], [], 0
+    for b in chunks(batches):
+        ids += b.column("doc_id").to_pylist()
+        own = b.column("text").to_pylist()
+        texts += own
+        held += sum(map(len, own))
+        if held >= most:
+            yield block, ids, texts
+            block, ids, texts, held = block + 1, [], [], 0
+    if ids:
+        yield block, ids, texts
+
+
+def unit_bucket(unit: bytes, n: int) -> int:
+    return zlib.crc32(unit) % n
+
+
+def by_bucket(texts: list[str], n: int) -> dict[int, list[bytes]]:
+    """The distinct units of some texts by bucket, sorted."""
+    out: dict[int, list[bytes]] = {}
+    for u in sorted(u.encode() for u in set().union(*map(sp_units, texts))):
+        out.setdefault(unit_bucket(u, n), []).append(u)
+    return out
+
+
+PACKED = "key long, block long, blob binary"
+
+
+def encode(docs: DataFrame, path: str, block_bytes: int = 24 << 20) -> DataFrame:
+    """doc_id, ids (little-endian uint32), n_tokens and decoded (the text of the ids) for every row.
+
+    Blocks, their units and the units' ids travel compressed. Should a block come out
+    otherwise when its rows are read for the second time, the units it lacks are encoded
+    by the library.
+    """
+    rows = doc_columns(docs)
+    n = shuffle_partitions(docs.sparkSession)
+
+    def batch(key: list, block: list, blob: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], ["key", "block", "blob"])
+
+    def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, texts in blocks_of(batches, block_bytes):
+            own = by_bucket(texts, n)
+            yield batch(list(own), [block] * len(own), [sealed(u) for u in own.values()])
+
+    def list_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in blocks_of(batches, block_bytes):
+            yield batch([block], [block], [zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, texts), 5))])
+
+    listed = rows.mapInArrow(list_units, PACKED)
+
+    def distinct(t: pa.Table) -> pa.Table:
+        units = set().union(*(opened(b) for b in t.column("blob").to_pylist()))
+        return pa.table([pa.array(sorted(units), pa.binary()).cast(pa.string())], ["unit"])
+
+    units = listed.groupBy("key").applyInArrow(distinct, "unit string").repartition("unit")
+    known = encode_units(units.where(F.length("unit") <= MOST_CHARS), path).unionByName(encode_long(units.where(F.length("unit") > MOST_CHARS), path))
+    known = known.withColumn("of", F.crc32(F.encode("unit", "UTF-8")) % n)
+
+    def reply(t: pa.Table, answers: pa.Table) -> pa.Table:
+        lists = answers.column("ids").combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        at, code = 0, {}
+        for unit, size in zip(answers.column("unit").to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+            code[unit.encode()] = flat[at : at + 4 * size]
+            at += 4 * size
+        out = []
+        for blob in t.column("blob").to_pylist():
+            own = [code[u] for u in opened(blob)]
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            out.append(zstandard.ZstdCompressor(level=3).compress(sizes.astype("<u4").tobytes() + b"".join(own)))
+        return pa.table([t.column("block"), t.column("key"), pa.array(out, pa.binary())], ["key", "block", "blob"])
+
+    replies = listed.groupBy("key").cogroup(known.groupBy("of")).applyInArrow(reply, PACKED)
+
+    def assemble(held: pa.Table, answers: pa.Table) -> pa.Table:
+        model, raw = tables(path)
+        out: list[tuple] = []
+        blobs = dict(zip(answers.column("block").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+        for packed in held.column("blob").to_pylist():
+            ids, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+            code: dict[str, bytes] = {}
+            spell: dict[str, bytes] = {}
+            lead = len(model.encode("\n"))
+            for bucket, own in by_bucket(texts, n).items():
+                data = zstandard.ZstdDecompressor().decompress(blobs[bucket]) if bucket in blobs else b""
+                sizes = np.frombuffer(data, "<u4", len(own)) if len(data) >= 4 * len(own) else np.empty(0, "<u4")
+                if 4 * (len(sizes) + int(sizes.sum())) != len(data) or not data:
+                    flat = [np.array(model.encode("\n" + u.decode().replace(SPACE, " "))[lead:], "<u4") for u in own]
+                else:
+                    flat = np.split(np.frombuffer(data, "<u4", offset=4 * len(own)), np.cumsum(sizes)[:-1])
+                for u, x in zip(own, flat, strict=True):
+                    unit = u.decode()
+                    code[unit] = x.tobytes()
+                    spell[unit] = b"".join([raw[i] for i in x.tolist()])
+            for d, text in zip(ids, texts, strict=True):
+                own = sp_units(text)
+                data = b"".join([code[u] for u in own])
+                out.append((d, data, len(data) // 4, b"".join([spell[u] for u in own]).decode("utf-8", "replace")[1:]))
+        cols = list(zip(*out, strict=True)) if out else [()] * 4
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    return rows.mapInArrow(list_docs, PACKED).groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded string")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
