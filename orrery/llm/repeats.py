@@ -405,6 +405,7 @@ def removals(found: list[bytes], docs: np.ndarray, sizes: np.ndarray, length: in
 
 def without_repeats(docs: DataFrame, spec: Spec, resolve: Resolver) -> DataFrame:
     """All columns of ``docs``, then n_symbols, n_removed, n_spans and kept (binary)."""
+    docs = docs.drop("n_symbols", "n_removed", "n_spans", "kept", "_bucket")
     found, held, _ = found_ranges(docs, spec, resolve)
     names = docs.columns
 

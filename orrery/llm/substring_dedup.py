@@ -8,8 +8,8 @@ is a maximal repeat, whose leaves other than the earliest one are removed.
 
 Edge cases: null or empty text has no words and nothing to remove; a text repeated
 within itself keeps its first copy; ties are decided by (doc_id, start); an empty
-table gives an empty result; other columns pass through whatever their names, but
-n_symbols, n_removed, n_spans, kept and _bucket are the operator's own.
+table gives an empty result; other columns pass through, but those named n_symbols,
+n_removed, n_spans, kept or _bucket give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -56,8 +56,13 @@ def dedup_words(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WO
 
 
 def clean(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """``docs`` with repeats cut out of the text; a text that loses nothing stays byte for byte."""
-    out = dedup_words(docs, window)
+    """``docs`` with repeats cut out of the text; a text that loses nothing stays byte for byte.
+
+    Columns other than doc_id and text travel as one, so their names are free.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    out = dedup_words(docs.select("doc_id", "text", rest.alias("rest")), window)
     text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
-    cols = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    cols = [text.alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     return out.select(*cols)

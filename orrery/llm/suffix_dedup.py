@@ -8,8 +8,8 @@ repeats, and every byte under one is removed, the first copy included.
 
 Edge cases: null or empty text has no bytes; texts shorter than the window lose
 nothing; repeated rows lose their shared windows; an empty table gives an empty
-result; other columns pass through whatever their names, but n_symbols,
-n_removed, n_spans, kept and _bucket are the operator's own.
+result; other columns pass through, but those named n_symbols, n_removed, n_spans,
+kept or _bucket give way to the operator's own.
 """
 
 from __future__ import annotations

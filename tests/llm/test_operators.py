@@ -122,7 +122,6 @@ def test_sentencepiece(spark):
     path = tokenizers.path("piece_bpe_32k.model")
     m = lattice.load_model(path)
     texts = [*TEXTS, "日本語 🙂 x", "y" * 200 + " z", "tab\tend \n"]
-    texts = [t for t in texts if "\x00" not in (t or "")]
     out = lattice.encode(corpus(spark, texts), path)
     got = {r.doc_id: r for r in out.collect()}
     for i, t in enumerate(texts):
@@ -151,7 +150,10 @@ def test_substring_dedup(spark):
     df = corpus(spark, TEXTS).repartition(5, "doc_id")
     got = {r.doc_id: (r.n_symbols, r.n_removed, bytes(r.kept)) for r in substring_dedup.dedup_words(df).collect()}
     assert got == brute_words(TEXTS, 20)
-    assert substring_dedup.clean(df).columns == df.columns
+    odd = df.withColumn("kept", F.lit("k")).withColumn("n_removed", F.lit(7)).withColumn("_bucket", F.lit(1.5))
+    out = substring_dedup.clean(odd)
+    assert out.columns == odd.columns and {tuple(r) for r in out.select("kept", "n_removed", "_bucket").distinct().collect()} == {("k", 7, 1.5)}
+    assert substring_dedup.dedup_words(odd).columns == [*df.columns, "n_symbols", "n_removed", "n_spans", "kept"]
     assert substring_dedup.dedup_words(corpus(spark, EMPTY)).count() == 0
 
 
