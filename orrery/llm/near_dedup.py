@@ -127,14 +127,19 @@ def profiles(docs: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, rules: NearRules) -> DataFrame:
-    """(doc_id, grams) of the documents in ``wanted``; grams are sorted little-endian uint64."""
+    """``wanted`` (node, cluster, n) with grams, the sorted little-endian uint64 shingles of its document.
+
+    Texts meet what is wanted before they become sets, so sets are not shuffled here. The
+    join is merged at every size: the wanted ids have no bound a broadcast could rely on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             grams = [s.tobytes() for s in shingle_sets(batch_texts(b), rules.shingle)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grams, pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), b.column("n"), pa.array(grams, pa.binary())], ["node", "cluster", "n", "grams"])
 
-    return doc_columns(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary")
+    texts = doc_columns(docs).withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, cluster long, n long, grams binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
@@ -273,8 +278,7 @@ def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFram
     stars = banded.join(shared.select("bucket", "hub"), "bucket").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = cut(components(stars).withColumnRenamed("component", "cluster"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    sets = stored_sets(docs, clusters.select(F.col("node").alias("doc_id")), rules).withColumnRenamed("doc_id", "node")
-    nodes = cut(sets.join(clusters, "node").join(size, "cluster").dropDuplicates(["node"]))
+    nodes = cut(stored_sets(docs, clusters.join(size, "cluster").select("node", "cluster", "n"), rules))
     links = cut(small_clusters(nodes.where(F.col("n") <= rules.cluster_rows), rules))
     large = nodes.where(F.col("n") > rules.cluster_rows)
     if not large.isEmpty():
@@ -295,4 +299,4 @@ def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFram
 def keep_one(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     """The documents that are the least of their component, all columns as they were."""
     gone = near_components(docs, rules).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
