@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 40
+MOST_DEPTH = 10_000
 
 
 def chain(tokens: Column, at: Column, most: int = MOST_DEPTH) -> Column:

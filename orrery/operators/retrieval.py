@@ -168,9 +168,16 @@ def near_duplicates(docs: DataFrame, block: str, threshold: float, most: int = 0
 
 
 def verb_plausibility(triples: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Verbs with some svo, sv or vo count for a pair of types."""
-    hit = kinds.join(triples, (triples.s == kinds.subj_type) | (triples.o == kinds.obj_type), "inner")
-    return hit.groupBy("subj_type", "obj_type", "v").agg(F.sum(((F.col("s") == F.col("subj_type")) & (F.col("o") == F.col("obj_type"))).cast("int")).alias("svo"), F.sum((F.col("s") == F.col("subj_type")).cast("int")).alias("sv"), F.sum((F.col("o") == F.col("obj_type")).cast("int")).alias("vo"))
+    """Verbs with some svo, sv or vo count for a pair of types: three equi-joins of counts, merged by key."""
+    k = kinds.select("subj_type", "obj_type").distinct()
+
+    def count(by: dict[str, str], name: str) -> DataFrame:
+        own = triples.groupBy("v", *[F.col(c).alias(n) for c, n in by.items()]).agg(F.count("*").alias("n"))
+        return k.join(own, list(by.values())).select("subj_type", "obj_type", "v", *[(F.col("n") if c == name else F.lit(0)).cast("long").alias(c) for c in ("svo", "sv", "vo")])
+
+    s, o = {"s": "subj_type"}, {"o": "obj_type"}
+    every = count(s | o, "svo").unionByName(count(s, "sv")).unionByName(count(o, "vo"))
+    return every.groupBy("subj_type", "obj_type", "v").agg(*[F.sum(c).alias(c) for c in ("svo", "sv", "vo")])
 
 
 def argument_type_counts(triples: DataFrame) -> DataFrame:

@@ -12,17 +12,17 @@ from .q_stats import OBS, observations
 from .registry import query
 
 
-@query("SELECT conv_id, (count(*) - 1)::INT AS depth, string_agg('d' || role || '<', '' ORDER BY turn DESC) FILTER (WHERE turn > first) AS path FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id HAVING count(*) <= 20")
+@query("SELECT conv_id, (count(*) - 1)::INT AS depth, string_agg('d' || role || '<', '' ORDER BY turn DESC) FILTER (WHERE turn > first) AS path FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id")
 def dependency_paths(t):
-    s = sentences(t).where("size(tokens) <= 20")
+    s = sentences(t)
     last = F.size("tokens") - 1
-    text = paths.path_text(F.col("tokens"), last, F.lit(0))
+    text = paths.path_text(F.col("tokens"), last, F.lit(0), most=1 << 30)
     return s.select("conv_id", F.array_max(paths.depths(F.col("tokens"))).alias("depth"), F.nullif(text, F.lit("")).alias("path"))
 
 
-@query("SELECT conv_id, 0 AS start, count(*)::INT AS \"end\" FROM conversations GROUP BY conv_id HAVING count(*) <= 20")
+@query("SELECT conv_id, 0 AS start, count(*)::INT AS \"end\" FROM conversations GROUP BY conv_id")
 def dependency_spans(t):
-    s = sentences(t).where("size(tokens) <= 20")
+    s = sentences(t)
     return s.select("conv_id", paths.subtree(F.col("tokens"), F.lit(0)).alias("s")).select("conv_id", "s.start", "s.end")
 
 

@@ -78,11 +78,12 @@ def alphabet_intersection(t):
     return tp.common_alphabet(*alphabets(t)).select("strT", "strF")
 
 
-@query("""SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1""")
+@query("""SELECT l_orderkey, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY 1""")
 def feature_projection(t):
+    """Parts of small size have new numbers; the features of others are dropped."""
     feats = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("t"), F.col("l_partkey").cast("int").alias("f"))))
     x = t.lineitem.groupBy("l_orderkey").agg(feats.alias("feats"))
-    parts = t.part.where("p_partkey % 2 = 0").select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("oldT"), F.col("p_partkey").cast("int").alias("oldF"))
+    parts = t.part.where("p_size <= 25").select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("oldT"), F.col("p_partkey").cast("int").alias("oldF"))
     b = parts.select("oldT", "oldF", F.col("oldT").alias("newT"), (F.col("oldF") * 2).alias("newF"))
     return tp.projected(x, b, ["l_orderkey"]).select("l_orderkey", F.size("feats").cast("long").alias("n"))
 

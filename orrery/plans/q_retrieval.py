@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -147,10 +145,10 @@ def triage_search(t):
     return retrieval.search(retrieval.triage(ix["f2t"], query_feats(t), fr, 100000), ix["t2c"], sim).select("tok", "comm", F.round("score", 5).alias("score"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS c, max(l_quantity) AS q FROM lineitem WHERE l_suppkey % 10 = 3 GROUP BY 1), b AS (SELECT l_orderkey AS c, max(l_quantity) AS q FROM lineitem WHERE l_suppkey % 10 = 7 GROUP BY 1) SELECT a.c AS comm, a.q + b.q AS score FROM a JOIN b ON a.c = b.c""")
+@query("""WITH a AS (SELECT l_orderkey AS c, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey AS c, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT a.c AS comm, a.q + b.q AS score FROM a JOIN b ON a.c = b.c""")
 def two_entity_search(t):
-    side = lambda k: t.lineitem.where(F.col("l_suppkey") % 10 == k).select(F.col("l_orderkey").alias("comm"), F.col("l_quantity").alias("tfidf"))
-    return retrieval.two_entities(side(3), side(7)).select("comm", "score")
+    side = lambda k: t.lineitem.where(F.col("l_returnflag") == k).select(F.col("l_orderkey").alias("comm"), F.col("l_quantity").alias("tfidf"))
+    return retrieval.two_entities(side("R"), side("A")).select("comm", "score")
 
 
 @query("""WITH p AS (SELECT DISTINCT l_returnflag AS ner, l_partkey % 100 AS feat, l_orderkey AS tok FROM lineitem), d AS (SELECT ner, feat, count(*) AS df FROM p GROUP BY 1, 2) SELECT tok, round(sum(power(1000.0 / df, 0.25) / 2), 6) AS score FROM p JOIN d USING (ner, feat) WHERE (ner, feat) IN (('R', 5), ('A', 9)) GROUP BY 1""")
@@ -192,12 +190,12 @@ def object_dedup(t):
     return sample.unique_by(t.documents, ["text"], ["doc_id"]).select("doc_id")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS sent, 's' || l_suppkey % 20 AS ent FROM lineitem WHERE l_partkey % 10 = 1), f AS (SELECT DISTINCT 's' || p_size % 20 AS subj, p_brand AS verb, 's' || (p_size * 3) % 20 AS obj FROM part WHERE p_size % 20 <> (p_size * 3) % 20)
-SELECT DISTINCT sent, subj, verb, obj FROM (SELECT DISTINCT sent, ent FROM l) JOIN f ON ent = subj OR ent = obj""")
+@query("""WITH f AS (SELECT 's' || p_partkey AS subj, p_brand AS verb, 's' || (p_partkey + 1) AS obj FROM part)
+SELECT DISTINCT sent, subj, verb, obj FROM (SELECT DISTINCT l_orderkey AS sent, 's' || l_suppkey AS ent FROM lineitem) JOIN f ON ent = subj OR ent = obj""")
 def distant_supervision(t):
-    links = t.lineitem.where("l_partkey % 10 = 1").select(F.col("l_orderkey").alias("sent"), (F.col("l_suppkey") % 20).alias("mid"))
-    mids = t.spark.range(20).select(F.col("id").alias("mid"), F.concat(F.lit("s"), "id").alias("dbp"))
-    f = t.part.select(F.concat(F.lit("s"), F.col("p_size") % 20).alias("subj"), F.col("p_brand").alias("verb"), F.concat(F.lit("s"), F.col("p_size") * 3 % 20).alias("obj")).distinct()
+    links = t.lineitem.select(F.col("l_orderkey").alias("sent"), F.col("l_suppkey").alias("mid"))
+    mids = t.supplier.select(F.col("s_suppkey").alias("mid"), F.concat(F.lit("s"), "s_suppkey").alias("dbp"))
+    f = t.part.select(F.concat(F.lit("s"), "p_partkey").alias("subj"), F.col("p_brand").alias("verb"), F.concat(F.lit("s"), F.col("p_partkey") + 1).alias("obj"))
     return retrieval.distant_supervision(links, mids, f)
 
 
@@ -221,11 +219,11 @@ def entity_linking(t):
     return retrieval.link_entities(m, e, "k", 1.0 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 10000, 0.9).select("mention", "entity", F.round("score", 6).alias("score"))
 
 
-@query("""WITH a AS (SELECT l_orderkey % 50 AS a, l_suppkey % 10 AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3), b AS (SELECT l_orderkey % 50 AS b, l_suppkey % 10 AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2, 3)
+@query("""WITH a AS (SELECT l_orderkey % 50 AS a, l_suppkey % 10 AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2, 3), b AS (SELECT l_orderkey % 50 AS b, l_suppkey % 10 AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3)
 SELECT a, b, round(sum(sqrt(a.w * b.w)), 4) AS score FROM a JOIN b USING (e, f) GROUP BY 1, 2""")
 def situation_linking(t):
-    side = lambda n: t.lineitem.where(F.col("l_linenumber") == n).groupBy((F.col("l_orderkey") % 50).alias("situation"), (F.col("l_suppkey") % 10).alias("entity"), F.col("l_returnflag").alias("feat")).agg(F.sum("l_quantity").alias("w"))
-    return retrieval.link_situations(side(1), side(2)).select("a", "b", F.round("score", 4).alias("score"))
+    side = lambda n: t.lineitem.where(F.col("l_linestatus") == n).groupBy((F.col("l_orderkey") % 50).alias("situation"), (F.col("l_suppkey") % 10).alias("entity"), F.col("l_returnflag").alias("feat")).agg(F.sum("l_quantity").alias("w"))
+    return retrieval.link_situations(side("O"), side("F")).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH j AS (SELECT l_returnflag AS y, CASE WHEN p_size % 2 = 0 THEN 'm:' ELSE 'z:' END || p_brand AS x, count(*) AS n_yx FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), c AS (SELECT y, x, n_yx, sum(n_yx) OVER (PARTITION BY y) AS n_y, sum(n_yx) OVER (PARTITION BY x) AS n_x, sum(n_yx) OVER () AS n FROM j),
@@ -251,10 +249,10 @@ def mention_ranking(t):
     return retrieval.mention_ranking(m, "l_suppkey", "l_quantity").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH f AS (SELECT p_type AS s, p_brand AS v, p_size AS o FROM part), k AS (SELECT DISTINCT p_type AS st, p_size AS ot FROM part WHERE p_size < 3) SELECT st AS subj_type, ot AS obj_type, v, sum((s = st AND o = ot)::INT)::BIGINT AS svo, sum((s = st)::INT)::BIGINT AS sv, sum((o = ot)::INT)::BIGINT AS vo FROM k JOIN f ON s = st OR o = ot GROUP BY 1, 2, 3""")
+@query("""WITH f AS (SELECT p_type AS s, p_brand AS v, p_size AS o FROM part), k AS (SELECT DISTINCT p_type AS st, p_size AS ot FROM part) SELECT st AS subj_type, ot AS obj_type, v, sum((s = st AND o = ot)::INT)::BIGINT AS svo, sum((s = st)::INT)::BIGINT AS sv, sum((o = ot)::INT)::BIGINT AS vo FROM k JOIN f ON s = st OR o = ot GROUP BY 1, 2, 3""")
 def verb_plausibility(t):
     f = t.part.select(F.col("p_type").alias("s"), F.col("p_brand").alias("v"), F.col("p_size").alias("o"))
-    k = t.part.where("p_size < 3").select(F.col("p_type").alias("subj_type"), F.col("p_size").alias("obj_type")).distinct()
+    k = t.part.select(F.col("p_type").alias("subj_type"), F.col("p_size").alias("obj_type")).distinct()
     return retrieval.verb_plausibility(f, k)
 
 
@@ -323,5 +321,3 @@ def embedding_search(t):
     dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return e.crossJoin(F.broadcast(q)).select("vec_id", dot.alias("c")).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 6).alias("cosine"))  # one row
 
-
-LOG2 = math.log(2)

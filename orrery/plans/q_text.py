@@ -33,9 +33,9 @@ def normal_numbers(t):
     return t.customer.select("c_custkey", text.normal_numbers(F.col("c_name")).alias("normal"))
 
 
-@query("SELECT page_id, replace(regexp_replace(trim(left(html, 200)), '\\s+', '_', 'g'), '#', '-HASH-') AS token FROM pages")
+@query("SELECT page_id, replace(regexp_replace(trim(html), '\\s+', '_', 'g'), '#', '-HASH-') AS token FROM pages")
 def fact_tokens(t):
-    return t.pages.select("page_id", text.fact_token(F.substring("html", 1, 200)).alias("token"))
+    return t.pages.select("page_id", text.fact_token(F.col("html")).alias("token"))
 
 
 @query("SELECT p_partkey, regexp_replace('propbank/' || p_type || '-v-' || p_size, '-[^-]*$', '') AS coarse FROM part")
@@ -85,9 +85,9 @@ def span_algebra(t):
     return x.select("l_orderkey", "l_linenumber", text.overlaps(a, b).alias("overlap"), text.span_relation(a, b).alias("rel"), text.crossing(a, b).alias("crossing"), text.bounded_bin(text.width(a), 2, 1).alias("bin"), text.length_bucket(text.width(a), (2, 3)).alias("bucket"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS s, l_linenumber + 1 + l_quantity::INT % 3 AS e FROM lineitem WHERE l_orderkey < 500) SELECT q.doc, q.s AS q_start, q.e AS q_end, a.s AS "start", a.e AS "end" FROM s q JOIN s a ON q.doc = a.doc AND a.s <= q.s AND q.e <= a.e""")
+@query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS s, l_linenumber + 1 + l_quantity::INT % 3 AS e FROM lineitem) SELECT q.doc, q.s AS q_start, q.e AS q_end, a.s AS "start", a.e AS "end" FROM s q JOIN s a ON q.doc = a.doc AND a.s <= q.s AND q.e <= a.e""")
 def span_index(t):
-    s = t.lineitem.where("l_orderkey < 500").selectExpr("l_orderkey AS doc", "l_linenumber AS start", "l_linenumber + 1 + int(l_quantity) % 3 AS end")
+    s = t.lineitem.selectExpr("l_orderkey AS doc", "l_linenumber AS start", "l_linenumber + 1 + int(l_quantity) % 3 AS end")
     return facts.span_index(s, s, "contains")
 
 
@@ -189,6 +189,8 @@ def memoised_fetch(t):
     return src.memoised(d, memo, lambda missing: missing.withColumn("how", F.lit("fetched")), "doc_id")
 
 
-@query("""SELECT p_partkey, upper(left(p_type, 1)) || 'x' AS head FROM part WHERE false""")
-def empty_profile(t):
-    return t.part.where(~src.in_profile(F.col("p_name"), "full")).select("p_partkey", F.concat(F.upper(F.substring("p_type", 1, 1)), F.lit("x")).alias("head"))
+@query("SELECT doc_id FROM documents WHERE doc_id % 6 IN (2, 3, 4)")
+def profile_filter(t):
+    """Ids of six years; the medium profile takes three of them."""
+    gid = F.concat(F.lit("NYT_ENG_"), (F.col("doc_id") % 6 + 2005).cast("string"), F.lit("0101.0001"))
+    return t.documents.where(src.in_profile(gid, "medium")).select("doc_id")
