@@ -71,30 +71,39 @@ def tables(path: str) -> tuple:
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
-    """(sub, id, rank) of the ordinary pieces, and the ids of the 256 byte pieces."""
+    """(sub, id, rank) of the ordinary pieces, best score first, and the ids of the 256 byte pieces."""
     m = load_model(path)
     if m.vocab_size() > MOST_PIECES:
         raise ValueError(f"{m.vocab_size()} pieces are too many to broadcast")
-    rows, byte_ids = [("", -1, 0.0)], [m.unk_id()] * 256
+    byte_ids, plain = [m.unk_id()] * 256, []
     for i in range(m.vocab_size()):
         if m.is_byte(i):
             byte_ids[int(m.id_to_piece(i)[3:5], 16)] = i
         elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
-            rows.append((m.id_to_piece(i), i, -float(m.get_score(i))))
-    return spark.createDataFrame(rows, "sub string, id int, rank double"), byte_ids
+            plain.append(i)
+    order = {x: r for r, x in enumerate(sorted({m.get_score(i) for i in plain}, reverse=True))}
+    rows = [("", 0, 0), *((m.id_to_piece(i), i, order[m.get_score(i)]) for i in plain)]
+    return spark.createDataFrame(rows, "sub string, id int, rank int"), byte_ids
 
 
 def encode_units(units: DataFrame, path: str, longest: int = 16) -> DataFrame:
-    """(unit, ids) for distinct ``units`` of at most MOST_CHARS characters."""
+    """(unit, ids) for distinct ``units`` of at most MOST_CHARS characters.
+
+    An edge is one long: rank, start, length and id from the high bits down, so edges of a
+    unit sort by score, then place. The units should be partitioned by unit.
+    """
     pieces, byte_ids = piece_table(units.sparkSession, path)
-    spans = F.expr(f"""explode(concat(array(named_struct('s', 0, 'l', 0)), flatten(transform(sequence(0, length(unit) - 1),
-        s -> transform(sequence(1, least({longest}, length(unit) - s)), l -> named_struct('s', s, 'l', l))))))""")
-    subs = units.select("unit", spans.alias("x")).select("unit", F.col("x.s").alias("s"), F.col("x.l").alias("l"), F.expr("substring(unit, x.s + 1, x.l)").alias("sub"))
-    edges = subs.join(F.broadcast(pieces), "sub").select("unit", F.expr("struct(rank, s, l, shiftleft(1L, s) | shiftleft(1L, s + l) AS ends, shiftleft(1L, s + l) - shiftleft(2L, s) AS inner, id)").alias("e"))
+    spans = F.expr(f"""explode(concat(array(0), flatten(transform(sequence(0, length(unit) - 1),
+        s -> transform(sequence(1, least({longest}, length(unit) - s)), l -> s * 32 + l)))))""")
+    subs = units.select("unit", spans.alias("x")).select("unit", "x", F.expr("substring(unit, x div 32 + 1, x % 32)").alias("sub"))
+    edges = subs.join(F.broadcast(pieces), "sub").select("unit", F.expr("shiftleft(CAST(rank AS BIGINT), 40) | shiftleft(CAST(x AS BIGINT), 24) | id").alias("e"))
     grouped = edges.groupBy("unit").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    merged = grouped.withColumn("m", F.expr("""aggregate(filter(es, e -> e.l > 1), shiftleft(1L, length(unit) + 1) - 1,
+    start, length = "CAST(shiftright(e, 29) & 2047 AS INT)", "CAST(shiftright(e, 24) & 31 AS INT)"
+    named = grouped.select("unit", F.expr(f"""transform(filter(es, e -> {length} > 0), e -> named_struct('s', {start}, 'l', {length}, 'id', CAST(e & 16777215 AS INT),
+        'ends', shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}), 'inner', shiftleft(1L, {start} + {length}) - shiftleft(2L, {start})))""").alias("es"))
+    merged = named.withColumn("m", F.expr("""aggregate(filter(es, e -> e.l > 1), shiftleft(1L, length(unit) + 1) - 1,
         (m, e) -> IF((m & e.ends) = e.ends AND bit_count(m & e.inner) = 1, m & ~e.inner, m))"""))
-    kept = merged.withColumn("k", F.expr("array_sort(transform(filter(es, e -> e.l > 0 AND (m & e.ends) = e.ends AND (m & e.inner) = 0), e -> struct(e.s, e.id)))"))
+    kept = merged.withColumn("k", F.expr("array_sort(transform(filter(es, e -> (m & e.ends) = e.ends AND (m & e.inner) = 0), e -> struct(e.s, e.id)))"))
     table = f"array({','.join(map(str, byte_ids))})"
     fallback = f"""flatten(transform(filter(sequence(0, length(unit) - 1), i -> (m & shiftleft(1L, i)) != 0), i -> coalesce(
         transform(slice(filter(k, e -> e.s = i), 1, nullif(size(filter(k, e -> e.s = i)), 0)), e -> e.id),
@@ -154,7 +163,7 @@ def by_bucket(texts: list[str], n: int) -> dict[int, list[bytes]]:
 PACKED = "key long, block long, blob binary"
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, ids (little-endian uint32), n_tokens and decoded (the text of the ids) for every row.
 
     Blocks, their units and the units' ids travel compressed. Should a block come out
@@ -182,7 +191,7 @@ def encode(docs: DataFrame, path: str, block_bytes: int = 24 << 20) -> DataFrame
         units = set().union(*(opened(b) for b in t.column("blob").to_pylist()))
         return pa.table([pa.array(sorted(units), pa.binary()).cast(pa.string())], ["unit"])
 
-    units = listed.groupBy("key").applyInArrow(distinct, "unit string").repartition("unit")
+    units = listed.groupBy("key").applyInArrow(distinct, "unit string").repartition(n, "unit")  # by number: few bytes, much work
     known = encode_units(units.where(F.length("unit") <= MOST_CHARS), path).unionByName(encode_long(units.where(F.length("unit") > MOST_CHARS), path))
     known = known.withColumn("of", F.crc32(F.encode("unit", "UTF-8")) % n)
 
