@@ -62,26 +62,31 @@ def padded_bigrams(words: Column, before: str = "BBBB", after: str = "AAAA", sep
 
 
 def mention_words(mention: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(normal_numbers(F.regexp_replace(mention, "-", " ")), r"[^\p{L}0-9 ]", ""), r"\s+", " ")
+    clean = F.regexp_replace(F.regexp_replace(normal_numbers(F.regexp_replace(mention, "-", " ")), r"[^A-Za-z0 ]", ""), r"\s+", " ")
     return F.filter(F.split(F.trim(clean), " "), lambda w: w != "")
 
 
 def gram_features(mention: Column) -> Column:
-    """``pi:`` lower unigrams and ``pb:`` padded bigrams of a mention."""
-    w = mention_words(mention)
-    return F.concat(F.transform(w, lambda x: F.concat(F.lit("pi:"), F.lower(x))), F.transform(padded_bigrams(w), lambda x: F.concat(F.lit("pb:"), x)))
+    """``pi:`` unigrams and ``pb:`` padded bigrams of a mention, lower-case."""
+    w = F.transform(mention_words(mention), lambda x: F.lower(x))
+    return F.concat(F.transform(w, lambda x: F.concat(F.lit("pi:"), x)), F.transform(padded_bigrams(w), lambda x: F.concat(F.lit("pb:"), x)))
 
 
-#: Features too frequent to search by.
-STOP_FEATURES = ["h:The", "hi:the", "hi:a", "hi:an", "hi:i", "hi:s", "hi:0", "hi:00", "hi:000", "pi:the", "pi:a", "pi:an", "pi:i", "pi:s", "pi:0", "pi:00", "pi:000"]
+#: Prefixes of mention features, and the words and runs of zeros too frequent to search by.
+FEATURE_PREFIXES = ("p:", "pi:", "pb:", "h:", "hi:", "hp:", "hip:")
+STOP_WORDS = ("s_AAAA", "s", "i", "I", "a", "A", "the", "BBBB_the", "of")
+MOST_ZEROS = 9
+STOP_FEATURES = [p + w for p in FEATURE_PREFIXES for w in (*STOP_WORDS, *(x for n in range(1, MOST_ZEROS + 1) for x in ("0" * n, "0" * n + "_AAAA", "BBBB_" + "0" * n)))]
 
 
 def mention_features(mention: Column, heads: Column) -> Column:
-    """``h:`` and ``hi:`` headwords (with four digits or more, normalised), ``hp:`` and ``hip:`` padded head bigrams, then grams; stop features go."""
-    h = F.transform(heads, lambda x: F.when(x.rlike("[0-9]{4,}"), normal_numbers(x)).otherwise(x))
-    low = F.transform(h, lambda x: F.lower(x))
-    name = lambda p, a: F.transform(a, lambda x: F.concat(F.lit(p), x))
-    return F.array_except(F.concat(name("h:", h), name("hi:", low), name("hp:", padded_bigrams(h)), name("hip:", padded_bigrams(low)), gram_features(mention)), F.array(*[F.lit(s) for s in STOP_FEATURES]))
+    """Grams; ``h:`` a headword (normalised from four digits on), ``hi:`` in lower case and ``hp:`` as it is, where they differ from it. Stop features go."""
+    digits = lambda x: F.length(F.regexp_replace(x, "[^0-9]", ""))
+    form = lambda x: F.when(digits(x) >= 4, normal_numbers(x)).otherwise(x)
+    named = lambda x: F.array(F.concat(F.lit("h:"), form(x)), F.when(F.lower(x) != form(x), F.concat(F.lit("hi:"), F.lower(x))), F.when(x != form(x), F.concat(F.lit("hp:"), x)))
+    every = F.concat(gram_features(mention), F.flatten(F.transform(F.filter(heads, lambda x: x.isNotNull()), named)))
+    stop = F.array(*[F.lit(s) for s in STOP_FEATURES])
+    return F.filter(every, lambda f: f.isNotNull() & ~F.array_contains(stop, f))
 
 
 #: Weight of a feature by its prefix.

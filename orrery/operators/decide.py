@@ -137,7 +137,7 @@ def moving_average(values: Column, history: float) -> Column:
 # Priorities
 
 #: Rank of a relation in depth-first order.
-STAGE_RANKS = {"event1": -2.0, "predicate2": -1.0, "argument4": 0.0, "srl2": 1.0, "srl3": 2.0}
+STAGE_RANKS = {"event1": -2.0, "predicate2": -1.0, "srl2": 0.0, "srl3": 1.0, "argument4": 2.0}
 
 
 def stage_rank(rel: str, ranks: dict[str, float] | None = None, breadth: bool = False) -> Column:

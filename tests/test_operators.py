@@ -53,7 +53,13 @@ def test_text_functions(spark):
     df = spark.createDataFrame([(["DT", "JJ", "NNS", "NNS"], "Jean-Paul 1999")], "tags array<string>, m string")
     r = df.select(text.pos_pattern(F.col("tags")).alias("p"), text.gram_features(F.col("m")).alias("g"), text.majority(F.col("tags")).alias("top")).first()
     assert r.p == "D J N+" and r.top == "NNS"
-    assert r.g == ["pi:jean", "pi:paul", "pi:0000", "pb:BBBB_Jean", "pb:Jean_Paul", "pb:Paul_0000", "pb:0000_AAAA"]
+    assert r.g == ["pi:jean", "pi:paul", "pi:0000", "pb:BBBB_jean", "pb:jean_paul", "pb:paul_0000", "pb:0000_AAAA"]
+
+
+def test_mention_features(spark):
+    df = spark.createDataFrame([("the Bob", ["Bob", "A12345", "s"])], "m string, h array<string>")
+    got = df.select(text.mention_features(F.col("m"), F.col("h")).alias("f")).first().f
+    assert got == ["pi:bob", "pb:the_bob", "pb:bob_AAAA", "h:Bob", "hi:bob", "h:A00000", "hi:a12345", "hp:A12345"]
 
 
 def test_vectors(spark):
