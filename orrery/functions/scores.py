@@ -82,7 +82,7 @@ def easy_first(score: Column) -> Column:
     return F.tanh(score / 100)
 
 
-def oddness(lt: Column, gt: Column, n: Column, alpha: float = 1.0, beta: float = 0.1) -> Column:
+def oddness(lt: Column, gt: Column, n: Column, alpha: float = 64.0, beta: float = 0.01) -> Column:
     """Cost of a value with lt values up to it and gt values from it on."""
     return n / (n + alpha) * n / (F.least(lt, gt) + beta * n)
 

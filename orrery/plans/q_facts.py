@@ -204,7 +204,7 @@ def mass_prefix(t):
     return decide.mass_prefix(t.events.where("value > 0"), ["user_id"], "value", 0.75, ["event_id"]).select("event_id")
 
 
-@query("""SELECT event_id, lt, gt, n, round(n / (n + 1.0) * n / (least(lt, gt) + 0.1 * n), 6) AS cost FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY round(value)) AS lt, count(*) OVER (PARTITION BY event_type ORDER BY round(value) DESC) AS gt, count(*) OVER (PARTITION BY event_type) AS n FROM events)""")
+@query("""SELECT event_id, lt, gt, n, round(n / (n + 64.0) * n / (least(lt, gt) + 0.01 * n), 6) AS cost FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY round(value)) AS lt, count(*) OVER (PARTITION BY event_type ORDER BY round(value) DESC) AS gt, count(*) OVER (PARTITION BY event_type) AS n FROM events)""")
 def oddness(t):
     from ..functions.scores import oddness as cost
 
