@@ -125,7 +125,7 @@ def encode_long(units: DataFrame, path: str) -> DataFrame:
 
 
 def sealed(parts: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, 5))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, 5))
 
 
 def opened(blob: bytes) -> list[bytes]:
@@ -163,7 +163,7 @@ def by_bucket(texts: list[str], n: int) -> dict[int, list[bytes]]:
 PACKED = "key long, block long, blob binary"
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, ids (little-endian uint32), n_tokens and decoded (the text of the ids) for every row.
 
     Blocks, their units and the units' ids travel compressed. Should a block come out
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str, block_bytes: int = 12 << 20) -> DataFrame
         units = set().union(*(opened(b) for b in t.column("blob").to_pylist()))
         return pa.table([pa.array(sorted(units), pa.binary()).cast(pa.string())], ["unit"])
 
-    units = listed.groupBy("key").applyInArrow(distinct, "unit string").repartition(n, "unit")  # by number: few bytes, much work
+    units = listed.groupBy("key").applyInArrow(distinct, "unit string").repartition(4 * n, "unit")  # by number: few bytes, much work
     known = encode_units(units.where(F.length("unit") <= MOST_CHARS), path).unionByName(encode_long(units.where(F.length("unit") > MOST_CHARS), path))
     known = known.withColumn("of", F.crc32(F.encode("unit", "UTF-8")) % n)
 
