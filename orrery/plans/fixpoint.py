@@ -82,7 +82,7 @@ def shortest_hops(edges: DataFrame, sources: DataFrame, src: str = "src", dst: s
     return seen
 
 
-def random_walk(edges: DataFrame, source, restart: float = 0.15, rounds: int = 10, src: str = "src", dst: str = "dst", weight: str | None = None) -> DataFrame:
+def random_walk(edges: DataFrame, source, restart: float = 0.1, rounds: int = 10, src: str = "src", dst: str = "dst", weight: str | None = None) -> DataFrame:
     """(node, mass) after ``rounds`` of b = restart * e_source + (1 - restart) * P'b; mass at dead ends returns to the source."""
     w = F.col(weight) if weight else F.lit(1.0)
     e = edges.groupBy(F.col(src).alias("node"), F.col(dst).alias("next")).agg(F.sum(w).alias("w"))

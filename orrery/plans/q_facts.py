@@ -107,7 +107,7 @@ m1 AS (SELECT node, sum(mass) AS mass FROM s1 GROUP BY node),
 s2 AS (SELECT dst AS node, 0.85 * mass * p AS mass FROM m1 JOIN p ON node = src UNION ALL SELECT 3, 0.15 + 0.85 * coalesce((SELECT sum(mass) FROM m1 WHERE node NOT IN (SELECT src FROM e)), 0))
 SELECT node, round(sum(mass), 8) AS mass FROM s2 GROUP BY node""")
 def graph_random_walk(t):
-    return random_walk(small_graph(t), 3, rounds=2).select("node", F.round("mass", 8).alias("mass"))
+    return random_walk(small_graph(t), 3, restart=0.15, rounds=2).select("node", F.round("mass", 8).alias("mass"))
 
 
 def order_facts(t):
