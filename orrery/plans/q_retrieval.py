@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, vectors
 from ..operators import retrieval, sample, summarize
 from .q_text import WORDS
-from .registry import query
+from .registry import query, spread
 
 COUNTS = f"w AS (SELECT doc_id AS doc, unnest({WORDS}) AS term FROM documents), c AS (SELECT doc, term, count(*) AS tf FROM w GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(DISTINCT doc) AS n FROM c)"
 
 
 def counts(t):
-    return vectors.term_counts(t.documents.select("doc_id", text.tokens(F.col("text")).alias("w")), "doc_id", "w")
+    return vectors.term_counts(spread(t.documents.select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("w")), "doc_id", "w")
 
 
 def idf(t, c, compat=True):

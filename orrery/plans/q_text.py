@@ -8,13 +8,13 @@ from ..functions import text
 from ..operators import facts
 from ..sources import sinks
 from ..sources import text as src
-from .registry import query
+from .registry import query, spread
 
 WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}0-9]+'), lambda w: w <> '')"
 
 
 def words(t):
-    return t.documents.select("doc_id", text.tokens(F.col("text")).alias("w"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("w"))
 
 
 @query(f"SELECT doc_id, len({WORDS})::INT AS n, len(list_distinct({WORDS}))::INT AS n_distinct FROM documents")

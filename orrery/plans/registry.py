@@ -22,6 +22,15 @@ class Tables:
         return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its scan has fewer splits than that, as a small file of one row group has.
+
+    For plans that do much work a row; larger tables come in enough splits and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Registers a function of Tables."""
 
