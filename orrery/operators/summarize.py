@@ -2,53 +2,107 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coverage_summary(rows: DataFrame, by: str, budget: int, exact_below: int = 18) -> DataFrame:
+def best_cover(has: np.ndarray, length: np.ndarray, weight: np.ndarray, budget: int) -> tuple[float, list[int]]:
+    """Rows of ``has`` (sentence, concept) whose concepts weigh most in all within the budget, at any number of rows.
+
+    Branch and bound. Where the constraint that a concept needs one of its sentences is
+    priced at mu <= weight, a node is worth at most what it covers, the open concepts at
+    weight - mu and a fractional knapsack of sentences at mu. Every such mu bounds from
+    above; a few subgradient steps bring it near the linear relaxation, and nodes take
+    the best of it, mu = weight and all open weights. The time is exponential at worst, never the result.
+    """
+    plus = np.maximum(weight, 0.0)
+    keep = np.flatnonzero(length <= budget)
+    keep = keep[np.lexsort((keep, length[keep], -has[keep].sum(1)))]
+    if (weight >= 0).all():
+        # a sentence is never needed if an earlier one here is as short and covers the same
+        x, n, needed = has[keep].astype(np.float32), len(keep), np.ones(len(keep), bool)
+        for at in range(0, n, 256):
+            within = x[at : at + 256] @ x.T >= x[at : at + 256].sum(1)[:, None]
+            within &= (length[keep][None] <= length[keep][at : at + 256, None]) & (np.arange(n)[None] < np.arange(at, min(n, at + 256))[:, None])
+            needed[at : at + 256] = ~within.any(1)
+        keep = keep[needed]
+    has, length = has[keep].astype(float), length[keep]
+    size, usable = np.maximum(length, 1e-9), np.ones(len(keep), bool)
+
+    def packed(gain: np.ndarray, live: np.ndarray, room: float) -> tuple[float, np.ndarray]:
+        """Fractional knapsack and the share taken of each sentence."""
+        taken = np.zeros(len(gain))
+        ids = np.flatnonzero(live & (gain > 0))
+        ids = ids[np.argsort(-gain[ids] / size[ids], kind="stable")]
+        before = np.cumsum(length[ids]) - length[ids]
+        taken[ids] = np.clip((room - before) / size[ids], 0.0, 1.0)
+        taken[ids[length[ids] == 0]] = 1.0
+        return float(gain @ taken), taken
+
+    best, pick = 0.0, []
+    used, chosen, open_ = 0, [], np.ones(len(weight))
+    while True:  # greedy start
+        gain = np.where(usable & (used + length <= budget), has @ (weight * open_), 0.0)
+        if not len(gain) or gain.max() <= 0:
+            break
+        i = int(np.argmax(gain / size))
+        chosen.append(i)
+        used += length[i]
+        open_ = open_ * (1 - has[i])
+    if chosen:
+        best, pick = float(weight @ (1 - open_)), chosen
+    mu, least, price = plus.copy(), np.inf, plus.copy()
+    for step in range(60):
+        bound, taken = packed(has @ mu, usable, budget)
+        bound += float((plus - mu).sum())
+        if bound < least - 1e-12:
+            least, price = bound, mu.copy()
+        slope = has.T @ taken - 1  # of the bound in mu
+        if bound <= best or not (norm := float(slope @ slope)):
+            break
+        mu = np.clip(mu - (bound - best) / norm / (1 + step / 10) * slope, 0.0, plus)
+    stack = [(0, np.ones(len(weight)), usable, ())]
+    while stack:
+        used, open_, live, chosen = stack.pop()
+        value = float(weight @ (1 - open_))
+        if value > best + 1e-12:
+            best, pick = value, list(chosen)
+        live = live & (used + length <= budget)
+        gain = has @ (plus * open_)
+        live = live & (gain > 0)
+        if not live.any():
+            continue
+        reach = float((plus * open_) @ (has[live].max(0)))
+        if value + min(reach, packed(gain, live, budget - used)[0]) <= best + 1e-12:
+            continue
+        priced = packed(has @ (price * open_), live, budget - used)[0] + float(((plus - price) * open_) @ has[live].max(0))
+        if value + priced <= best + 1e-12:
+            continue
+        i = int(np.argmax(np.where(live, gain / size, -1.0)))
+        without = live.copy()
+        without[i] = False
+        stack.append((used, open_, without, chosen))
+        stack.append((used + length[i], open_ * (1 - has[i]), without, (*chosen, i)))
+    return best, sorted(keep[pick].tolist())
+
+
+def coverage_summary(rows: DataFrame, by: str, budget: int) -> DataFrame:
     """Sentences whose covered concepts weigh most within a length budget, per group.
 
-    Rows are (by, sent, length, concept, weight). Up to ``exact_below`` sentences the
-    choice is exact by branch and bound; beyond, greedy by gain a word. A group is the
-    sentences of one entity.
+    Rows are (by, sent, length, concept, weight); a concept has one weight in a group.
+    The choice is exact for groups of every size. A group is the sentences of one entity.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        sents: dict = {}
-        for s, n, c, w in pdf[["sent", "length", "concept", "weight"]].itertuples(index=False):
-            sents.setdefault(s, (int(n), {}))[1][c] = float(w)
-        names = sorted(sents)
-        best, pick = 0.0, []
-        if len(names) <= exact_below:
-            rest = [0.0] * (len(names) + 1)
-            for i in range(len(names) - 1, -1, -1):
-                rest[i] = rest[i + 1] + sum(sents[names[i]][1].values())
-            stack = [(0, 0, {}, [])]
-            while stack:
-                i, used, have, chosen = stack.pop()
-                value = sum(have.values())
-                if value > best + 1e-12:
-                    best, pick = value, chosen
-                if i == len(names) or value + rest[i] <= best + 1e-12:
-                    continue
-                n, concepts = sents[names[i]]
-                stack.append((i + 1, used, have, chosen))
-                if used + n <= budget:
-                    stack.append((i + 1, used + n, have | concepts, [*chosen, names[i]]))
-        else:
-            used, have = 0, {}
-            while True:
-                gains = [(sum(w for c, w in sents[s][1].items() if c not in have) / max(1, sents[s][0]), s) for s in names if s not in pick and used + sents[s][0] <= budget]
-                gain, s = max(gains, key=lambda g: (g[0], -names.index(g[1])), default=(0.0, None))
-                if gain <= 0:
-                    break
-                pick.append(s)
-                used += sents[s][0]
-                have |= sents[s][1]
-                best = sum(have.values())
-        return pd.DataFrame({by: pdf[by].iloc[0], "sent": sorted(pick), "value": best})
+        at, names = pd.factorize(pdf["sent"], sort=True, use_na_sentinel=False)
+        on, concepts = pd.factorize(pdf["concept"], sort=True, use_na_sentinel=False)
+        has, length, weight = np.zeros((len(names), len(concepts)), bool), np.zeros(len(names), np.int64), np.zeros(len(concepts))
+        has[at, on], length[at], weight[on] = True, pdf["length"], pdf["weight"]
+        columns, same = np.unique(has, axis=1, return_inverse=True)  # concepts of the same sentences are one
+        best, pick = best_cover(columns, length, np.bincount(same.reshape(-1), weight), budget)
+        return pd.DataFrame({by: pdf[by].iloc[0], "sent": [names[i] for i in pick], "value": best})
 
     kind = dict(rows.dtypes)
     return rows.groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, sent {kind['sent']}, value double")

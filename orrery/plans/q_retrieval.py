@@ -286,7 +286,13 @@ def divisive_clustering(t):
 
 @query()
 def coverage_summary(t):
-    x = t.lineitem.select((F.col("l_suppkey") % 50).alias("entity"), (F.col("l_orderkey") % 12).alias("sent"), (F.col("l_orderkey") % 12 + 5).alias("length"), F.col("l_returnflag").alias("concept"), F.lit(1.0).alias("weight")).distinct()
+    """A conversation's sentences; a word weighs the number of sentences that have it."""
+    parts = F.split("text", r"(?<=[.!?])\s+|\n+")
+    s = t.conversations.select(F.col("conv_id").alias("entity"), "turn", F.posexplode(parts).alias("at", "s"))
+    s = s.select("entity", F.struct("turn", "at").alias("sent"), F.filter(F.split("s", r"\s+"), lambda w: w != "").alias("words"))
+    x = s.select("entity", "sent", F.size("words").alias("length"), F.explode(F.array_distinct(F.transform("words", F.lower))).alias("concept"))
+    x = x.withColumn("weight", F.count("*").over(Window.partitionBy("entity", "concept")).cast("double"))
+    x = x.withColumn("sent", F.dense_rank().over(Window.partitionBy("entity").orderBy("sent")) - 1)
     return summarize.coverage_summary(x, "entity", 30)
 
 

@@ -36,6 +36,28 @@ def test_knapsack_and_summary_against_brute_force(spark):
     assert out.value == best
 
 
+def test_large_summary_is_exact(spark):
+    """Groups beyond 18 sentences, against every set of concepts that sentences can cover."""
+    rng = random.Random(5)
+    rows = [(e, s, 2 + (5 * s + e) % 7, c, float(c + 1)) for e in range(20) for s in range(24) for c in rng.sample(range(12), rng.randrange(1, 5))]
+    best = {}
+    for e in range(20):
+        cover, states = {}, {0: 0}  # concepts covered, least length
+        for _, s, n, c, _ in (r for r in rows if r[0] == e):
+            cover[s] = (n, cover.get(s, (n, 0))[1] | 1 << c)
+        for n, m in cover.values():
+            for k, used in list(states.items()):
+                if used + n <= 15 and states.get(k | m, 16) > used + n:
+                    states[k | m] = used + n
+        best[e] = max(sum(c + 1.0 for c in range(12) if m >> c & 1) for m in states)
+    out = summarize.coverage_summary(spark.createDataFrame(rows, "e int, sent int, length int, concept int, weight double"), "e", 15).collect()
+    assert {r.e: r.value for r in out} == best
+    for e in best:
+        picked = {r.sent for r in out if r.e == e}
+        assert sum(2 + (5 * s + e) % 7 for s in picked) <= 15
+        assert sum(c + 1 for c in {r[3] for r in rows if r[0] == e and r[1] in picked}) == best[e]
+
+
 def test_tree_distance():
     a = (["f", "d", "e", "a", "c", "b"], [-1, 0, 0, 1, 1, 4])
     b = (["f", "c", "e", "d", "a", "b"], [-1, 0, 0, 1, 3, 3])
