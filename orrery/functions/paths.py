@@ -15,18 +15,37 @@ def chain(tokens: Column, at: Column, most: int = MOST_DEPTH) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(most), F.size(tokens))), start, step)
 
 
+def rounds(tokens: Column) -> Column:
+    """Enough doublings for a chain through all tokens."""
+    return F.sequence(F.lit(1), F.ceil(F.log2(F.size(tokens) + 1)).cast("int") + 1)
+
+
 def depths(tokens: Column) -> Column:
-    """Distance of every token from the root."""
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.size(chain(tokens, i)) - 1)
+    """Distance of every token from the root, by pointers that double their reach; the number of tokens on a cycle."""
+    start = F.transform(tokens, lambda t: F.struct(F.coalesce(t["head"], F.lit(-1)).cast("int").alias("up"), F.when(t["head"] >= 0, 1).otherwise(0).alias("far")))
+    end = F.struct(F.lit(-1).alias("up"), F.lit(0).alias("far"))
+
+    def double(acc, _):
+        def further(s):
+            to = F.coalesce(F.when(s["up"] >= 0, F.get(acc, s["up"])), end)
+            return F.struct(to["up"].alias("up"), (s["far"] + to["far"]).alias("far"))
+
+        return F.transform(acc, further)
+
+    return F.transform(F.aggregate(rounds(tokens), start, double), lambda s: F.least(s["far"], F.size(tokens)))
 
 
 def tree_path(tokens: Column, a: Column, b: Column) -> Column:
     """up (from a to the common ancestor) and down (from below it to b); null without one."""
-    x, y = chain(tokens, a), chain(tokens, b)
-    top = F.get(F.filter(x, lambda i: F.array_contains(y, i)), F.lit(0))
-    up = F.slice(x, F.lit(1), F.array_position(x, top).cast("int"))
-    down = F.reverse(F.slice(y, F.lit(1), F.greatest(F.array_position(y, top).cast("int") - 1, F.lit(0))))
-    return F.when(top.isNotNull(), F.struct(up.alias("up"), down.alias("down")))
+
+    def meet(s):
+        x, y = s["x"], s["y"]
+        top = F.get(F.filter(x, lambda i: F.array_contains(y, i)), F.lit(0))
+        up = F.slice(x, F.lit(1), F.array_position(x, top).cast("int"))
+        down = F.reverse(F.slice(y, F.lit(1), F.greatest(F.array_position(y, top).cast("int") - 1, F.lit(0))))
+        return F.when(top.isNotNull(), F.struct(up.alias("up"), down.alias("down")))
+
+    return F.get(F.transform(F.array(F.struct(chain(tokens, a).alias("x"), chain(tokens, b).alias("y"))), meet), F.lit(0))
 
 
 def path_text(tokens: Column, a: Column, b: Column, show: str = "deprel", most: int = 20) -> Column:
@@ -52,7 +71,10 @@ def attribute_paths(tokens: Column, name: Column, hops: int = 3) -> Column:
 
 def subtree(tokens: Column, at: Column) -> Column:
     """The span of a token and all it governs."""
-    own = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.array_contains(chain(tokens, i), at.cast("int")))
+    at = at.cast("int")
+    start = F.transform(tokens, lambda t, i: F.when((i == at) | F.coalesce(t["head"] < 0, F.lit(True)), i).otherwise(t["head"].cast("int")))
+    top = F.aggregate(rounds(tokens), start, lambda acc, _: F.transform(acc, lambda p: F.coalesce(F.get(acc, p), p)))
+    own = F.filter(F.transform(top, lambda p, i: F.when(p == at, i)), lambda i: i.isNotNull())
     return F.struct(F.array_min(own).alias("start"), (F.array_max(own) + 1).alias("end"))
 
 

@@ -7,23 +7,42 @@ from pyspark.sql import functions as F
 from ..functions import infogain as ig
 from ..functions import paths
 from ..operators import extras
-from .q_features import sentences
+from .q_features import openings, sentences
 from .q_stats import OBS, observations
 from .registry import query
 
 
-@query("SELECT conv_id, (count(*) - 1)::INT AS depth, string_agg('d' || role || '<', '' ORDER BY turn DESC) FILTER (WHERE turn > first) AS path FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id")
-def dependency_paths(t):
-    s = sentences(t)
+def paths_of(s):
     last = F.size("tokens") - 1
     text = paths.path_text(F.col("tokens"), last, F.lit(0), most=1 << 30)
     return s.select("conv_id", F.array_max(paths.depths(F.col("tokens"))).alias("depth"), F.nullif(text, F.lit("")).alias("path"))
 
 
+def spans_of(s):
+    return s.select("conv_id", paths.subtree(F.col("tokens"), F.lit(0)).alias("s")).select("conv_id", "s.start", "s.end")
+
+
+@query("SELECT conv_id, (count(*) - 1)::INT AS depth, string_agg('d' || role || '<', '' ORDER BY turn DESC) FILTER (WHERE turn > first) AS path FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id")
+def dependency_paths(t):
+    """Over the first words of turns, as the SQL counts turns; dependency_paths_words takes all words."""
+    return paths_of(openings(t))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, len(string_split(text, ' ')) AS n, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)
+SELECT conv_id, (sum(n) - 1)::INT AS depth, nullif(string_agg(repeat('d' || role || '<', (n - (turn = first)::INT)::INT), '' ORDER BY turn DESC), '') AS path FROM t GROUP BY conv_id""")
+def dependency_paths_words(t):
+    return paths_of(sentences(t))
+
+
 @query("SELECT conv_id, 0 AS start, count(*)::INT AS \"end\" FROM conversations GROUP BY conv_id")
 def dependency_spans(t):
-    s = sentences(t)
-    return s.select("conv_id", paths.subtree(F.col("tokens"), F.lit(0)).alias("s")).select("conv_id", "s.start", "s.end")
+    """Over the first words of turns, as the SQL counts turns; dependency_spans_words takes all words."""
+    return spans_of(openings(t))
+
+
+@query("SELECT conv_id, 0 AS start, sum(len(string_split(text, ' ')))::INT AS \"end\" FROM conversations GROUP BY conv_id")
+def dependency_spans_words(t):
+    return spans_of(sentences(t))
 
 
 @query("""WITH c AS (SELECT l_returnflag AS y, p_brand AS x, count(*) AS c FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) SELECT y, x, round(ln((c + 1.0) / (sum(c) OVER (PARTITION BY y) + (SELECT count(DISTINCT x) FROM c))), 8) AS ll FROM c""")

@@ -11,32 +11,54 @@ from .registry import query
 TOKENS = "array<struct<word:string,lemma:string,pos:string,deprel:string,head:int>>"
 
 
-def sentences(t):
-    """Conversations as sentences: a word a turn, each depending on the one before."""
-    tok = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s, i: F.struct(F.substring_index(s["text"], " ", 1).alias("word"), F.lower(F.substring_index(s["text"], " ", 1)).alias("lemma"), s["role"].alias("pos"), F.concat(F.lit("d"), s["role"]).alias("deprel"), (i - 1).cast("int").alias("head")))
-    x = t.conversations.groupBy("conv_id").agg(tok.cast(TOKENS).alias("tokens"))
+def spans(x):
+    """Conversations of tokens with a target of their first two tokens and their last token as argument."""
     return x.select("conv_id", "tokens", F.struct(F.lit(0).alias("start"), F.least(F.lit(2), F.size("tokens")).alias("end")).alias("target"), F.struct((F.size("tokens") - 1).alias("start"), F.size("tokens").alias("end")).alias("arg"), F.lit("f").alias("frame"), F.lit("r").alias("role"))
 
 
-def extracted(t, spec="Span1-First-Pos*Span2-Last-Pos + Span1-Head-Word + Span1-Span2-Relation"):
-    return tp.extracted(sentences(t), ["conv_id"], tp.compiled(spec, tp.basic_templates()))
+def chained(words):
+    """Tokens of an ordered array of (word, role), each depending on the one before."""
+    return F.transform(words, lambda s, i: F.struct(s["word"].alias("word"), F.lower(s["word"]).alias("lemma"), s["role"].alias("pos"), F.concat(F.lit("d"), s["role"]).alias("deprel"), (i - 1).cast("int").alias("head"))).cast(TOKENS)
+
+
+def sentences(t):
+    """Conversations as sentences of all words of all turns."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    words = F.flatten(F.transform(turns, lambda s: F.transform(F.split(s["text"], " "), lambda w: F.struct(w.alias("word"), s["role"].alias("role")))))
+    return spans(t.conversations.groupBy("conv_id").agg(chained(words).alias("tokens")))
+
+
+def openings(t):
+    """Conversations as sentences of the first word of each turn, for queries whose SQL is over turns."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.substring_index("text", " ", 1).alias("word"))))
+    return spans(t.conversations.groupBy("conv_id").agg(chained(turns).alias("tokens")))
+
+
+def extracted(x, spec="Span1-First-Pos*Span2-Last-Pos + Span1-Head-Word + Span1-Span2-Relation"):
+    return tp.extracted(x, ["conv_id"], tp.compiled(spec, tp.basic_templates()))
 
 
 @query("""WITH o AS (SELECT conv_id, list(role ORDER BY turn) AS r, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, 'Span1-First-Pos*Span2-Last-Pos' AS template, r[1] || '_' || r[-1] AS x FROM o
 UNION ALL SELECT conv_id, 'Span1-Span2-Relation', CASE WHEN least(2, n) <= n - 1 THEN 'before' WHEN n = 1 THEN 'same' ELSE 'covers' END FROM o""")
 def feature_products(t):
-    return extracted(t, "Span1-First-Pos*Span2-Last-Pos + Span1-Span2-Relation")
+    return extracted(openings(t), "Span1-First-Pos*Span2-Last-Pos + Span1-Span2-Relation")
+
+
+@query("""WITH o AS (SELECT conv_id, list(role ORDER BY turn) AS r, sum(len(string_split(text, ' '))) AS n FROM conversations GROUP BY 1) SELECT conv_id, 'Span1-First-Pos*Span2-Last-Pos' AS template, r[1] || '_' || r[-1] AS x FROM o
+UNION ALL SELECT conv_id, 'Span1-Span2-Relation', CASE WHEN least(2, n) <= n - 1 THEN 'before' WHEN n = 1 THEN 'same' ELSE 'covers' END FROM o""")
+def feature_products_words(t):
+    return extracted(sentences(t), "Span1-First-Pos*Span2-Last-Pos + Span1-Span2-Relation")
 
 
 @query("""WITH o AS (SELECT conv_id, list(split_part(text, ' ', 1) ORDER BY turn) AS w FROM conversations GROUP BY 1), x AS (SELECT w[1] AS x, count(*) AS n FROM o GROUP BY 1) SELECT x, n FROM (SELECT x, n, row_number() OVER (ORDER BY n DESC, x) AS r FROM x) WHERE r <= 10""")
 def feature_top_k(t):
-    obs = extracted(t, "Span1-Head-Word")
+    obs = extracted(sentences(t), "Span1-Head-Word")
     return tp.top_k(ig.feature_counts(obs), 10).select("x", "n")
 
 
 @query("""WITH o AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1), x AS (SELECT r[1] AS x, count(*) AS n FROM o GROUP BY 1) SELECT x, n FROM x WHERE n >= 8""")
 def feature_cnt_k(t):
-    return tp.at_least(ig.feature_counts(extracted(t, "Span1-First-Pos")), 8).select("x", "n")
+    return tp.at_least(ig.feature_counts(extracted(sentences(t), "Span1-First-Pos")), 8).select("x", "n")
 
 
 @query("""SELECT l_returnflag || '_' || l_linestatus AS x, count(*) AS n FROM lineitem GROUP BY 1""")

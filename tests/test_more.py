@@ -102,3 +102,20 @@ def test_classifier_templates_summary(spark):
     assert [r.sent for r in summarize.summaries(s, i, "e", 10).collect()] == [0]
     assert summarize.mention_costs(i, 2.0).agg(F.max("weight")).first()[0] == 0
     assert [r.value for r in extras.piped(spark.createDataFrame([("a",), ("b",)], "value string").coalesce(1), ["tr", "a-z", "A-Z"]).collect()] == ["A", "B"]
+
+
+def test_sentences_hold_all_words(spark):
+    from types import SimpleNamespace
+
+    from orrery.functions import paths
+    from orrery.plans.q_features import sentences
+
+    turns = [(1, 1, "bot", "so it is"), (1, 0, "user", "Is it so"), (2, 0, "user", "Yes")]
+    got = {r.conv_id: r for r in sentences(SimpleNamespace(conversations=spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"))).collect()}
+    assert [(t.word, t.lemma, t.pos, t.head) for t in got[1].tokens] == [("Is", "is", "user", -1), ("it", "it", "user", 0), ("so", "so", "user", 1), ("so", "so", "bot", 2), ("it", "it", "bot", 3), ("is", "is", "bot", 4)]
+    assert tuple(got[1].arg) == (5, 6) and [t.word for t in got[2].tokens] == ["Yes"]
+    trees = [(0, [-1, 0, 1, 1, 0, 7]), (1, [1, 2, 0, 1, -1, 4]), (2, [-1])]
+    df = spark.createDataFrame([(i, [(h,) for h in heads]) for i, heads in trees], "i int, tokens array<struct<head:int>>")
+    r = {x.i: x for x in df.select("i", paths.depths(F.col("tokens")).alias("d"), F.transform("tokens", lambda _, i: F.size(paths.chain(F.col("tokens"), i)) - 1).alias("c"), paths.subtree(F.col("tokens"), F.lit(0)).alias("s")).collect()}
+    assert all(x.d == x.c for x in r.values())
+    assert [tuple(r[i].s) for i in range(3)] == [(0, 5), (0, 4), (0, 1)]
