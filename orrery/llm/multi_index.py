@@ -12,8 +12,11 @@ A cell is dealt in parts of residents against parts of visitors, so a full cell
 many bounded tasks; a task compares its two sides as matrices and gives out counts
 and a spanning forest, never the pairs.
 
-Edge cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite parts link with nothing; rows that share a vec_id are one node; an empty
+Every vector length present has an index of its own; vectors of one component link by
+their sign.
+
+Edge cases: vectors that are null, zero, empty, or hold null or non-finite parts link
+with nothing; rows that share a vec_id are one node; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -23,6 +26,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,25 +149,18 @@ def unit_rows(batch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return x / np.linalg.norm(x, axis=1, keepdims=True), good
 
 
-def index_for(vectors: DataFrame, rules: IndexRules) -> Index | None:
-    n = vectors.where(F.col("embedding").isNotNull()).count()
-    if not n:
-        return None
-    drawn = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(rules.fit_rows).select("embedding").toArrow()
-    sizes = np.array(drawn.column("embedding").combine_chunks().value_lengths().fill_null(0).to_pylist(), np.int64)
-    if not len(sizes) or not sizes.max():
-        return None
-    width = int(np.bincount(sizes).argmax())
-    if width == 0:
-        return None
-    x, _ = unit_rows(drawn, width)
-    return fit(x, n, rules) if len(x) and width > 1 else None
+def index_for(vectors: DataFrame, n: int, width: int, rules: IndexRules) -> Index:
+    """An index for the ``n`` sound vectors of length ``width``."""
+    drawn = vectors.where(valid(width)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(rules.fit_rows).select("embedding").toArrow()
+    return fit(unit_rows(drawn, width)[0], n, rules)
 
 
-def valid(index: Index):
+def valid(width: int | None = None):
+    """Rows whose vector is sound and, where given, of that length."""
     e = F.col("embedding")
+    long = F.size(e) == width if width else F.size(e) > 0
     sound = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-    return F.coalesce(F.col("vec_id").isNotNull() & (F.size(e) == index.width) & sound, F.lit(False))
+    return F.coalesce(F.col("vec_id").isNotNull() & long & sound, F.lit(False))
 
 
 PLACED = "vec_id long, copies long, home long, cell long, visits array<long>, embedding array<double>"
@@ -239,18 +236,28 @@ def cell_links(placements: DataFrame, index: Index, rules: IndexRules) -> DataFr
     return residents.unionByName(visitors).groupBy("cell", "part", "vpart").applyInArrow(meet, "vec_id long, n long, least long")
 
 
+def nodes_of(rows: DataFrame, n: int, width: int, rules: IndexRules) -> DataFrame:
+    """key, node, copies, n, component of the ``n`` sound vectors of length ``width``."""
+    sound = rows.where(valid(width)).select("vec_id", "key", "embedding")
+    if width == 1:  # rows of one sign are copies of one node
+        return sound.groupBy("key").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("copies")).withColumns({"n": F.lit(0).cast("long"), "component": F.lit(None).cast("long")})
+    index = index_for(sound, n, width, rules)
+    nodes = cut(sound.select("vec_id", "embedding").distinct().groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    found = cut(cell_links(placed(nodes.select(F.col("node").alias("vec_id"), "copies", "embedding"), index), index, rules))
+    counts = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("n").alias("n"))
+    labels = components(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
+    return nodes.join(counts, "node", "left").join(labels, "node", "left").select(F.col("embedding").alias("key"), "node", "copies", F.coalesce("n", F.lit(0)).alias("n"), "component")
+
+
 def near_vectors(vectors: DataFrame, rules: IndexRules | None = None) -> DataFrame:
     """vec_id, n_links, component_id for every row of ``vectors`` (vec_id, embedding)."""
     rules = rules or IndexRules()
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    index = index_for(rows, rules)
-    if index is None:
+    sizes = rows.where(valid()).groupBy(F.size("embedding").alias("width")).count().collect()
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    sound = rows.where(valid(index)).distinct()
-    nodes = cut(sound.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    found = cut(cell_links(placed(nodes.select(F.col("node").alias("vec_id"), "copies", "embedding"), index), index, rules))
-    counts = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("n").alias("n"))
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
-    per_node = nodes.join(counts, "node", "left").join(labels, "node", "left").select("embedding", "node", "copies", F.coalesce("n", F.lit(0)).alias("n"), "component")
-    per_vector = rows.withColumn("key", F.when(valid(index), F.col("embedding"))).join(per_node.withColumnRenamed("embedding", "key"), "key", "left")
+    e, kind = F.col("embedding"), rows.schema["embedding"].dataType
+    rows = rows.withColumn("key", F.when(valid(), F.when(F.size(e) == 1, F.transform(e, F.signum).cast(kind)).otherwise(e)))
+    per_node = reduce(DataFrame.unionByName, [nodes_of(rows, r["count"], r["width"], rules) for r in sorted(sizes)])
+    per_vector = rows.join(per_node, "key", "left")
     return per_vector.select("vec_id", F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "node", "vec_id").alias("component_id"))

@@ -274,6 +274,18 @@ def test_embeddings(spark):
     assert multi_index.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_of_many_lengths(spark):
+    rows = [(i, [float(i % 3 == k) + 0.01 * (i == k) for k in range(8)]) for i in range(12)]
+    rows += [(20, [1.0, 2.0, 3.0]), (21, [1.0, 2.0, 3.0]), (22, [2.0, 4.0, 6.1]), (23, [-1.0, 2.0, 0.0]), (30, [2.0]), (31, [5.0]), (32, [-1.0]), (33, [2.0]), (34, [0.0]), (35, []), (36, [-4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    link = lambda a, b: len(a) == len(b) and np.dot(a, b) >= 0.9 * np.linalg.norm(a) * np.linalg.norm(b) > 0
+    near = {i: [j for j, b in rows if j != i and link(a, b)] for i, a in rows}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_vectors(df).collect()}
+    assert got == {i: (len(js), min([i, *js])) for i, js in near.items()}
+    ones = {r.vec_id: r.n_links for r in multi_index.near_vectors(df.where("size(embedding) <= 1")).collect()}
+    assert ones == {30: 2, 31: 2, 32: 1, 33: 2, 34: 0, 35: 0, 36: 1}
+
+
 def test_quality_model(spark):
     rng = random.Random(0)
     good = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "and", "slept"]) for _ in range(80)) + "." for _ in range(120)]
