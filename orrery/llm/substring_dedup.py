@@ -1,10 +1,10 @@
-"""Substring dedup over words: prefix-partitioned suffix trees.
+"""Substring dedup over words: windows matched by minimum-hash anchors.
 
-Suffixes are split by variable-length prefixes: first by the words of an anchor
-(``gram`` words), and where such a group is large, by the whole window. Each group
-of suffixes is small enough for memory; its sorted suffixes with their common
-prefixes are its suffix tree, and an internal node at least ``length`` words deep
-is a maximal repeat, whose leaves other than the earliest one are removed.
+Windows of ``length`` words are dealt by their anchor (the gram of ``gram`` words in
+them with the least hash). In a small group the windows are sorted and equal
+neighbours are one repeat, of which all but the earliest are removed; groups of more
+than ``group_limit`` contexts are settled by hashes of whole windows in repeats.py.
+No suffix tree is built.
 
 Edge cases: null or empty text has no words and nothing to remove; a text repeated
 within itself keeps its first copy; ties are decided by (doc_id, start); an empty
@@ -25,10 +25,7 @@ GRAM_WORDS = 8
 
 
 def deep_nodes(items: dict[str, np.ndarray], contexts: list[bytes], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of every suffix below a node ``length`` words deep, but for the earliest below it.
-
-    The contexts of one anchor hold that anchor's suffixes, so every group is a subtree.
-    """
+    """(doc, start) of every window of ``length`` words that equals an earlier one of its anchor."""
     order = np.argsort(items["h"], kind="stable")
     h = items["h"][order]
     cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist()
@@ -43,7 +40,7 @@ def deep_nodes(items: dict[str, np.ndarray], contexts: list[bytes], spec: Spec)
         suffixes.sort()
         above: list[bytes] | None = None
         for words, doc, s in suffixes:
-            if words == above:  # common prefix as deep as the window: same node as the leaf before
+            if words == above:  # the same window as the one before
                 docs.append(doc)
                 starts.append(s)
             above = words
