@@ -146,16 +146,14 @@ def dense_rows(entries: DataFrame, row: str, col: str, n: str, least_entry: int,
     return big.join(rows.select(row), row, "left_semi")
 
 
-def dense_core(entries: DataFrame, row: str, col: str, least: int, rounds: int = 20) -> DataFrame:
+def dense_core(entries: DataFrame, row: str, col: str, least: int) -> DataFrame:
     """Entries left when rows and columns with fewer than ``least`` entries are dropped again and again."""
     from ..plans.lineage import cut
 
-    n = entries.count()
-    for _ in range(rounds):
+    n, m = None, entries.count()
+    while m != n:
         entries = cut(frequent(frequent(entries, row, least), col, least))
-        if (m := entries.count()) == n:
-            break
-        n = m
+        n, m = m, entries.count()
     return entries
 
 

@@ -58,6 +58,14 @@ def test_large_summary_is_exact(spark):
         assert sum(c + 1 for c in {r[3] for r in rows if r[0] == e and r[1] in picked}) == best[e]
 
 
+def test_dense_core_of_a_chain(spark):
+    """A path that loses its free end a round, for more than 20 rounds, tied to a square that stays."""
+    path = [(100, 0)] + [(i, i) for i in range(23)] + [(i, i + 1) for i in range(22)]
+    square = [(100 + i, 100 + j) for i in range(2) for j in range(2)]
+    got = facts.dense_core(spark.createDataFrame(path + square, "r int, c int"), "r", "c", 2).collect()
+    assert sorted((x.r, x.c) for x in got) == square
+
+
 def test_tree_distance():
     a = (["f", "d", "e", "a", "c", "b"], [-1, 0, 0, 1, 1, 4])
     b = (["f", "c", "e", "d", "a", "b"], [-1, 0, 0, 1, 3, 3])
