@@ -3,7 +3,8 @@
 Documents keep their order. The tokens of a stretch of documents form a line, and
 cuts are chosen on it so that every window holds at most ``size`` tokens and the
 sum of padding and truncation penalties is least: a cut at a document's end is
-free, one at a sentence's end costs little, any other costs more. The best cost
+free, one at a sentence's end costs little (of several ends within ``grain`` tokens the
+last one counts), any other costs more. The best cost
 up to a place is the least over a sliding range of earlier places of
 cost + place, kept by a monotone queue, so a stretch takes linear time.
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .arrow import blobs, chunks, doc_columns
-from .words import byte_bpe_units, memo, ragged
+from .words import byte_bpe_cut, memo, ragged
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class PackRules:
     sentence_penalty: int = 4
     hard_penalty: int = 24
     step: int = 32
+    grain: int = 16
 
 
 def best_cuts(places: list[int], penalty: list[int], size: int) -> list[int]:
@@ -86,13 +88,14 @@ class Line:
         self.doc, self.total, self.origin, self.begin = ([] for _ in range(4))  # origin: tokens of the document before; begin: place on the line
         self.places, self.penalty = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, docs: list[int], texts: list[str], tokenizer_path: str, rules: PackRules) -> None:
-        m = memo(tokenizer_path, True)
-        units = [byte_bpe_units(t) for t in texts]
-        m.learn(set().union(*units))
+    def add(self, docs: list[int], texts: pa.Array, tokenizer_path: str, rules: PackRules) -> None:
+        m = memo(tokenizer_path)
+        units, per_doc = byte_bpe_cut(texts)
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        m.learn(distinct)
         count, first, ends, pool = m.tables()
-        rows = np.concatenate([m.rows(u) for u in units])
-        per_doc = np.fromiter(map(len, units), np.int64, len(units))
+        rows = m.rows(distinct)[coded.indices.to_numpy()]
         lens = count[rows]
         # one more token, the end, after each document's units
         last = np.cumsum(per_doc)
@@ -101,11 +104,12 @@ class Line:
         doc_end = np.cumsum(n_tokens)
         body = pool[ragged(first[rows], lens)]
         ids = np.insert(body, upto[last], rules.end_id) if len(docs) else body
-        shift = np.repeat(np.arange(len(units)), per_doc)
+        shift = np.repeat(np.arange(len(docs)), per_doc)
         stop = (upto[1:] + shift)[ends[rows]]  # place after a sentence's last token
+        stop = stop[np.concatenate([stop[1:] // rules.grain != stop[:-1] // rules.grain, [True]])] if len(stop) else stop
         base = len(self.ids)
-        places, penalty = np.concatenate([stop, doc_end]), np.concatenate([np.full(len(stop), rules.sentence_penalty), np.zeros(len(doc_end), np.int64)])
-        order = np.lexsort((penalty, places))
+        places, penalty = np.concatenate([doc_end, stop]), np.concatenate([np.zeros(len(doc_end), np.int64), np.full(len(stop), rules.sentence_penalty)])
+        order = np.argsort(places, kind="stable")  # at one place a document's end stands first
         places, penalty = places[order], penalty[order]
         fresh = np.concatenate([[True], places[1:] != places[:-1]]) & (places > 0)
         places, penalty = places[fresh], penalty[fresh]
@@ -160,8 +164,8 @@ def pack(docs: DataFrame, tokenizer_path: str, rules: PackRules | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line, number = Line(), TaskContext.get().partitionId() << 32
-        for b in chunks(batches):
-            line.add(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), tokenizer_path, rules)
+        for b in chunks(batches, most=4 << 20):
+            line.add(b.column("doc_id").to_pylist(), b.column("text"), tokenizer_path, rules)
             places = [0, *line.places.tolist()]
             cuts = [places[j] for j in best_cuts(places, [0, *line.penalty.tolist()], rules.size)]
             if len(cuts) > 1:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct units a worker holds before it starts afresh; bounds its memory at about 200 MB.
+#: Distinct units a worker holds, and their bytes, before it starts afresh.
 MEMO_UNITS = 700_000
+MEMO_BYTES = 24 << 20
 
 
 def load_tokenizer(path: str):
@@ -49,85 +51,127 @@ def ranked(path: str):
     return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Grown:
+    """A numpy array that grows at its end without being copied whole each time."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.empty(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        stop = self.n + len(more)
+        if stop > len(self.held):
+            wider = np.empty(max(stop, 2 * len(self.held)), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n : stop] = more
+        self.n = stop
+
+    def view(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Memo:
-    """unit -> row of (count, flag, ids) for the units met so far.
+    """unit -> row of (count, first id's place, sentence end) for the units met so far, and their ids.
 
-    ``keep_ids`` False keeps only the counts, so ids are never held.
+    Bounded by units and by bytes: a chunk that finds it full starts it afresh, so it
+    never holds more than the bounds and one chunk.
     """
 
-    def __init__(self, path: str, keep_ids: bool, most: int = MEMO_UNITS):
-        self.tok, self.keep_ids, self.most = load_tokenizer(path), keep_ids, most
-        self.ranked = ranked(path) if keep_ids else None
+    def __init__(self, path: str, most: int = MEMO_UNITS, most_bytes: int = MEMO_BYTES):
+        self.tok, self.ranked, self.most, self.most_bytes = load_tokenizer(path), ranked(path), most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.count, self.ends, self.pool = array("i"), array("b"), array("i")
-
-    def learn(self, units: set[str]) -> None:
-        """Tokenises the units not met before."""
-        new = [u for u in units if u not in self.row]
-        if len(self.row) + len(new) > self.most and self.row:
+        self.row: dict[str, int] = {"": 0}
+        self.held = 0
+        self.count, self.first, self.ends, self.pool = Grown(np.int64), Grown(np.int64), Grown(bool), Grown(np.int32)
+        for x in (self.count, self.first, self.ends):
+            x.extend(np.zeros(1, x.held.dtype))
+
+    def learn(self, units: list[str]) -> None:
+        """Tokenises those of the distinct ``units`` (of byte_bpe_cut) that were not met before."""
+        if len(self.row) + len(units) > self.most or self.held > self.most_bytes:
             self.clear()
-            new = list(units)
+        new = [u for u in units if u not in self.row]
+        self.held += sum(map(len, new))
         if self.ranked:
-            plain = [u for u in new if PLAIN.fullmatch(u) and "<|" not in u]
+            plain = [u for u in new if not u[-1].isspace() and "<|" not in u]
             for at in range(0, len(plain), 512 * 64):
                 self.learn_plain(plain[at : at + 512 * 64])
             new = [u for u in new if u not in self.row]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for unit, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.row[unit] = len(self.count)
-                self.count.append(len(e))
-                self.ends.append(unit == "\n" or unit[-1:] in ".!?")
-                if self.keep_ids:
-                    self.pool.extend(e.ids)
+            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            self.keep(part, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.int32))
 
     def learn_plain(self, units: list[str]) -> None:
-        """Units without inner white space, many to a text: a line end between two is a token of its own."""
+        """Units that hold no white space but one leading space, many to a text: a line end between two is a token of its own."""
         mark = self.ranked.encode_ordinary("\n")[0]
         texts = ["\n".join([*units[i : i + 512], ""]) for i in range(0, len(units), 512)]
         ids = np.concatenate([np.array(self.ranked.encode_ordinary(t), np.int32) for t in texts])
         marks = np.flatnonzero(ids == mark)
-        self.row.update(zip(units, range(len(self.count), len(self.count) + len(units)), strict=True))
-        self.count.frombytes((np.diff(np.concatenate([[-1], marks])) - 1).astype(np.int32).tobytes())
-        self.ends.frombytes(np.fromiter((u[-1] in ".!?" for u in units), np.int8, len(units)).tobytes())
-        self.pool.frombytes(ids[ids != mark].tobytes())
+        self.keep(units, np.diff(np.concatenate([[-1], marks])) - 1, ids[ids != mark])
+
+    def keep(self, units: list[str], count: np.ndarray, ids: np.ndarray) -> None:
+        self.row.update(zip(units, range(self.count.n, self.count.n + len(units)), strict=True))
+        self.first.extend(self.pool.n + np.cumsum(count) - count)
+        self.count.extend(count)
+        self.ends.extend(np.fromiter((u == "\n" or u[-1:] in ".!?" for u in units), bool, len(units)))
+        self.pool.extend(ids)
 
     def rows(self, units: list[str]) -> np.ndarray:
         return np.fromiter(map(self.row.__getitem__, units), np.int64, len(units))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Counts, first place in the pool, sentence-end flags and pooled ids, by row."""
-        count = np.array(self.count, np.int64)
-        first = np.cumsum(count) - count
-        return count, first, np.array(self.ends, bool), np.array(self.pool, np.int32)
+        return self.count.view(), self.first.view(), self.ends.view(), self.pool.view()
 
 
-_MEMOS: dict[tuple[str, bool], Memo] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
-def memo(path: str, keep_ids: bool) -> Memo:
+def memo(path: str) -> Memo:
     """The worker's memo for a tokenizer; workers outlive tasks, so units stay known."""
-    if (path, keep_ids) not in _MEMOS:
-        _MEMOS[path, keep_ids] = Memo(path, keep_ids)
-    return _MEMOS[path, keep_ids]
+    if path not in _MEMOS:
+        _MEMOS[path] = Memo(path)
+    return _MEMOS[path]
+
 
+#: Unicode white space besides the space and the line end, as part of a character class.
+OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Spacing after which pre-tokens don't simply end before every space and around every line end.
+ODD = f"[\\x00{OTHER_SPACE}]|\n\n\n|\n\n\\z|  | \n|\n | \\z|<\\|"
+#: White space and a word that may hold a special string, which ends the white space before it.
+SPECIAL_UNIT = f"[ \n{OTHER_SPACE}]*(?=[^ \n{OTHER_SPACE}]*<\\|)[^ \n{OTHER_SPACE}]+|"
+#: The units of such a text: a word with one space before it; white space up to its last sign; the rest.
+ODD_UNITS = f" ?[^ \n{OTHER_SPACE}]+|[ \n{OTHER_SPACE}]+(?=[ \n{OTHER_SPACE}][^ \n{OTHER_SPACE}])|[ \n{OTHER_SPACE}]+\\Z|[ \n{OTHER_SPACE}]"
+ODD_UNITS, ODD_UNITS_SPECIAL = re.compile(ODD_UNITS), re.compile(SPECIAL_UNIT + ODD_UNITS)
 
-#: A unit that can share a text with others: no white space but one leading space.
-PLAIN = re.compile(r" ?\S+")
-#: White space other than spaces and line ends, or the mark used to split.
-OTHER = re.compile(r"[^\S \n]|\x00")
+
+def byte_bpe_cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All units of the texts in order, cut where byte-level BPE pre-tokens always end, and units per text.
+
+    Empty units may stand among them. Any spacing is cut, so no unit is longer than a word or a run of white space.
+    """
+    odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+    signs = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~odd)), " ", "\x00 "), "\n", "\x00\n\x00")
+    lists = pc.split_pattern(signs, "\x00")
+    flat, per = lists.flatten(), np.zeros(len(texts), np.int64)
+    per[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return flat, per
+    others = [(ODD_UNITS_SPECIAL if "<|" in t else ODD_UNITS).findall(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+    per[odd] = [len(u) for u in others]
+    both = pa.concat_arrays([flat, pa.array([u for us in others for u in us], flat.type)])
+    begin = np.zeros(len(texts), np.int64)
+    for which, base in ((~odd, 0), (odd, len(flat))):
+        begin[which] = base + np.cumsum(per[which]) - per[which]
+    return both.take(pa.array(ragged(begin, per))), per
 
 
 def byte_bpe_units(text: str) -> list[str]:
-    """``text`` cut where byte-level BPE pre-tokens always end; a text with other spacing stays whole."""
-    if not text:
-        return []
-    if OTHER.search(text) or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return [text]
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+    """The units of one text, without empty ones."""
+    return [u for u in byte_bpe_cut(pa.array([text], pa.string()))[0].to_pylist() if u]
 
 
 def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import lattice, multi_index, near_dedup, packing, quality_model, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
-from orrery.llm.words import byte_bpe_units, load_tokenizer
+from orrery.llm.words import Memo, byte_bpe_units, load_tokenizer
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,19 +109,54 @@ def test_units_concatenate():
         assert ids == tok.encode(t or "", add_special_tokens=False).ids
 
 
+def odd_texts(seed, n):
+    """Texts of signs that pre-tokenisers treat in their own ways."""
+    rng = random.Random(seed)
+    parts = ["ab", "c", " ", "  ", "\n", "\n\n", "\t", "é", "'s", ".", "\u3000", "\xa0", "\x1c", "12", "<|endoftext|>", "\u200b", "!?", "\x00", "\r\n", "İ", "ß", "e\u0301", "A.", "<\u0338"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 15))) for _ in range(n)]
+
+
+def test_units_of_odd_spacing():
+    path = tokenizers.path("byte_bpe_50k.json")
+    tok, m = load_tokenizer(path), Memo(path)
+    for t in odd_texts(3, 2000):
+        units = byte_bpe_units(t)
+        m.learn(units)
+        count, first, _, pool = m.tables()
+        ids = [int(x) for k in m.rows(units) for x in pool[first[k] : first[k] + count[k]]]
+        assert "".join(units) == t and ids == tok.encode(t, add_special_tokens=False).ids
+    assert max(len(u) for u in byte_bpe_units("word. " * 50 + "\n\n" + "\tindented\n\n\n" * 50)) < 12
+
+
+def test_memo_is_bounded():
+    m = Memo(tokenizers.path("byte_bpe_50k.json"), most=50, most_bytes=400)
+    for i in range(100):
+        units = [f" w{i}x{k}" for k in range(20)]
+        m.learn(units)
+        assert len(m.row) <= 50 and m.held <= 400 + sum(map(len, units))
+        count, first, _, pool = m.tables()
+        assert [int(x) for k in m.rows(units[:1]) for x in pool[first[k] : first[k] + count[k]]] == m.tok.encode(units[0], add_special_tokens=False).ids
+
+
 def test_token_counts(spark):
     path = tokenizers.path("word_bpe_49k.json")
     tok = load_tokenizer(path)
-    got = {r.doc_id: r for r in token_counts.count_tokens(corpus(spark, TEXTS), path, 50).collect()}
-    for i, t in enumerate(TEXTS):
-        n = len(tok.encode(t or "", add_special_tokens=False).ids)
-        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 50)
+    texts = [*TEXTS, *odd_texts(5, 300), "x" * 100_000]
+    for df in (corpus(spark, texts), corpus(spark, texts).repartition(3)):
+        got = {r.doc_id: r for r in token_counts.count_tokens(df, path, 50).collect()}
+        for i, t in enumerate(texts):
+            n = len(tok.encode(t or "", add_special_tokens=False).ids)
+            assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 50), t
+    twice = corpus(spark, ["a b", "a b"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.n_tokens for r in token_counts.count_tokens(twice, path).collect()] == [2, 2]
+    assert token_counts.count_tokens(corpus(spark, EMPTY), path).count() == 0
 
 
 def test_sentencepiece(spark):
     path = tokenizers.path("piece_bpe_32k.model")
     m = lattice.load_model(path)
-    texts = [*TEXTS, "日本語 🙂 x", "y" * 200 + " z", "tab\tend \n"]
+    rng = random.Random(4)
+    texts = [*TEXTS, "日本語 🙂 x", "y" * 200 + " z", "tab\tend \n", "e" * 62, "l" * 300, "s" * 3000 + "e", "".join(rng.choice("estinraol") for _ in range(900)), " ".join("".join(rng.choice("estinra") for _ in range(rng.randrange(55, 70))) for _ in range(40))]
     out = lattice.encode(corpus(spark, texts), path)
     got = {r.doc_id: r for r in out.collect()}
     for i, t in enumerate(texts):
