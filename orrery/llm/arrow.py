@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -57,25 +59,51 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a fresh temporary one only where none is set (tests)."""
+    """The folder that the session names in spark.checkpoint.dir and all executors share.
+
+    Only a session whose executors are threads of the driver may do without one; it gets a
+    temporary folder. Elsewhere the executors would not see the driver's folder, so this raises.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
         sc.setCheckpointDir(named)
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    return named
+
+
+#: Folder of the tables that cut() writes inside of scratch().
+_SCRATCH: ContextVar[str | None] = ContextVar("orrery_scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that cut() writes meanwhile are deleted at the end; what is made from them must be written by then."""
+    folder = f"{checkpoint_dir(spark)}/orrery-scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared checkpoint folder and read again.
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as a table written to the shared checkpoint folder and read again, in folders by a column if ``by`` is given.
 
     It survives lost executors, and carries none of the lineage, constraints and
-    orderings that a checkpointed plan keeps, which multiply in iterative joins.
+    orderings that a checkpointed plan keeps, which multiply in iterative joins. Tables
+    written outside of scratch() stay until the job's checkpoint folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/orrery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_SCRATCH.get() or checkpoint_dir(spark)}/orrery-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

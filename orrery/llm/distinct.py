@@ -6,7 +6,7 @@ every block gets the answers of its own units in the order of its list. Texts tr
 codes of the block's units. Lists, codes and answers are compressed, and all per-unit
 work is vectorised.
 
-A block's key is a hash of its ids and texts, and it is cut twice: once for its list and
+A block's key is a hash of its place, ids and texts, and it is cut twice: once for its list and
 once for its codes. Input that a shuffle could give out in another order is therefore
 written first (``stable``); should a block still come out otherwise, its answers are
 missing and the task fails instead of giving wrong results.
@@ -14,6 +14,7 @@ missing and the task fails instead of giving wrong results.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .arrow import blobs, chunks, cut, text_bytes
-from .repeats import TABLE, Hashes, U, mix
+from .hashing import TABLE, Hashes, U, mix
 
 PACKED = "key long, block long, blob binary"
 BLOCK_BYTES = 4 << 20
@@ -82,17 +84,18 @@ def stable(docs: DataFrame) -> DataFrame:
     return cut(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
-    """(key, doc_ids, texts) of a task's rows in order, about ``most`` bytes each or one longer text."""
-    held, size = [], 0
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(key, rows) of a task's rows in order, about ``most`` bytes of text each or one longer text."""
+    held, size, part, nth = [], 0, TaskContext.get().partitionId(), itertools.count()
 
     def block():
-        ids, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in ("doc_id", "text"))
-        h = xxhash.xxh3_64(ids.fill_null(-1).to_numpy().tobytes())
-        data, at = text_bytes(texts)
+        rows = pa.concat_batches(held)
+        h = xxhash.xxh3_64(f"{part}.{next(nth)}")
+        h.update(rows.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).tobytes())
+        data, at = text_bytes(rows.column("text"))
         h.update(np.ascontiguousarray(data))
         h.update(at.tobytes())
-        return int(np.uint64(h.intdigest()).view(np.int64)), ids, texts
+        return int(np.uint64(h.intdigest()).view(np.int64)), rows
 
     for b in chunks(batches, most=most):
         data, _ = text_bytes(b.column("text"))
@@ -113,15 +116,15 @@ def listed(rows: DataFrame, cutter: Cutter, n: int, most: int = BLOCK_BYTES) ->
     """(key: bucket, block, blob: the block's distinct units of the bucket) of rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in blocks_of(batches, most):
-            units = cutter(texts)[0].unique()
+        for block, own in blocks_of(batches, most):
+            units = cutter(own.column("text"))[0].unique()
             if not len(units):
                 continue
             bucket = (hashes_of(units) % U(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             units, size = units.take(pa.array(order)), np.bincount(bucket, minlength=n)
-            own, ends = np.flatnonzero(size), np.cumsum(size)
-            yield packed_rows(own.tolist(), [block] * len(own), [sealed(strings(units.slice(int(ends[b] - size[b]), int(size[b])))) for b in own.tolist()])
+            there, ends = np.flatnonzero(size), np.cumsum(size)
+            yield packed_rows(there.tolist(), [block] * len(there), [sealed(strings(units.slice(int(ends[b] - size[b]), int(size[b])))) for b in there.tolist()])
 
     return rows.mapInArrow(run, PACKED)
 
@@ -133,7 +136,8 @@ def held(rows: DataFrame, cutter: Cutter, n: int, ordered: bool, most: int = BLO
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in blocks_of(batches, most):
+        for block, own in blocks_of(batches, most):
+            texts = own.column("text")
             units, per = cutter(texts)
             coded = units.dictionary_encode()
             bucket = (hashes_of(coded.dictionary) % U(n)).astype(np.int64)
@@ -143,7 +147,7 @@ def held(rows: DataFrame, cutter: Cutter, n: int, ordered: bool, most: int = BLO
                 both, often = np.unique(np.repeat(np.arange(len(per)), per) * m + codes, return_counts=True)
                 codes, per = both % m, np.bincount(both // m, minlength=len(per))
             sizes = np.diff(text_bytes(texts)[1])
-            yield packed_rows([block], [block], [sealed((ids.to_pylist(), planes(sizes), planes(bucket), planes(codes), planes(per), planes(often)))])
+            yield packed_rows([block], [block], [sealed((own.column("doc_id").to_pylist(), planes(sizes), planes(bucket), planes(codes), planes(per), planes(often)))])
 
     return rows.mapInArrow(run, PACKED)
 

@@ -2,22 +2,24 @@
 
 A window is ``length`` consecutive symbols (words or bytes) of one document. Its
 anchor is the ``gram`` symbols inside it with the least hash, so equal windows have
-equal anchors at equal places. Consecutive windows with one anchor form a run, and
-only runs travel, about one for every (length - gram + 2) / 2 symbols:
-
-1. Runs are dealt by anchor hash. Runs of equal content (anchor and context hash)
-   are settled at once; each chunk settles its own copies before the shuffle, so a
-   text copied a million times sends one run a chunk. An anchor met in one place
-   only is done. Anchors with several contexts are put on request.
-2. Documents are dealt by doc_id; requested contexts are cut out of them and dealt by
-   anchor. Groups of up to ``group_limit`` contexts are resolved by the operator's own
-   suffix structure; larger ones are split further by the hash of the whole window,
-   so a frequent phrase spreads over many tasks.
-3. The windows found go back to their documents.
-
-Items travel packed in binary blobs keyed by bucket; all numeric work is vectorised.
-Nothing is capped: every repeated window is found. doc_ids should be unique; rows
-that share one share their removals, and a null doc_id counts as the least.
+equal anchors at equal places. Consecutive windows with one anchor form a run; its
+context is the text under its windows. Hashes only deal: whether windows are equal is
+decided by the operator's own suffix structure, from the contexts themselves.
+
+1. Documents form blocks as they are read. A block lists the hashes of its anchors by
+   bucket, and learns which of them occur elsewhere.
+2. Contexts around such anchors, each once a block with its number of copies, meet by
+   anchor. Copies that are equal byte by byte are laid together there, too, with their
+   numbers, and the operator's resolver sorts what is left and says which windows repeat.
+3. An anchor with more than ``group_limit`` contexts, a frequent phrase say, is not one
+   group: its windows are counted one by one as the anchors were, and those that occur
+   again meet by window, in groups of at most ``group_limit`` and the earliest copy.
+4. The answers return to the blocks.
+
+Blocks travel compressed with all their columns; all numeric work is vectorised, and
+arrays follow a block, a bucket's contexts or a million symbols of a long text. Nothing
+is capped: every repeated window is found. Rows that share a doc_id are told apart by
+their place in the input; a null doc_id counts as the least.
 """
 
 from __future__ import annotations
@@ -29,19 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .arrow import chunks, cut, offsets, shuffle_partitions
+from .arrow import blobs, cut, shuffle_partitions
+from .distinct import blocks_of, opened, planes, sealed, stable, whole
+from .hashing import BASE, TABLE, Hashes, U, long_word_line, mix, word_line
 
-U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-RUN = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("lead", "<u2"), ("span", "<u2"), ("dup", "u1")]
-RANGE = [("doc", "<i8"), ("s", "<u4"), ("n", "<u4")]
-ASK = [("h", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("span", "<u2"), ("big", "u1")]
-WINDOW = [("w", "<u8"), ("v", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("dup", "u1")]
-CONTEXT = [("h", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("span", "<u2"), ("size", "<u4")]
+#: Symbols of one line; longer texts are read in overlapping lines of so many.
+LINE = 1 << 20
+#: Low bits of an anchor's key that hold its place in a line.
+PLACE_BITS = U(22)
 
 
 @dataclass(frozen=True)
@@ -52,383 +51,458 @@ class Spec:
     length: int
     gram: int
     keep_first: bool  # the first occurrence stays, else every one goes
-    group_limit: int = 64
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-TABLE = mix(np.arange(1, 257, dtype=U) * BASE)
-
+    group_limit: int = 4096
+    block_bytes: int = 2 << 20
+    batch_bytes: int = 2 << 20
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, modulo 2 ** 64, for i up to ``n``."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        inverse = U(pow(int(BASE), -1, 1 << 64))
-        for k, b in enumerate((BASE, inverse)):
-            f = np.full(size, b, U)
-            f[0] = 1
-            _POWERS[k] = np.cumprod(f, dtype=U)
-    return _POWERS[0], _POWERS[1]
 
+def symbol_line(texts: list[bytes], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts in one line, and symbols per text."""
+    if spec.words:
+        return word_line(texts)[:2]
+    return TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.fromiter(map(len, texts), np.int64, len(texts))
 
-class Hashes:
-    """Hashes of any stretch of a symbol line in constant time."""
-
-    def __init__(self, symbols: np.ndarray):
-        up, self.down = powers(len(symbols))
-        self.upto = np.concatenate([np.zeros(1, U), np.cumsum(symbols * up[: len(symbols)], dtype=U)])
 
-    def of(self, start, stop) -> np.ndarray:
-        return mix((self.upto[stop] - self.upto[start]) * self.down[start])
+def lines(texts: list[bytes], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, symbols per piece, row and first symbol of each piece); pieces of a long text overlap by a window."""
+    held: list[int] = []
+    size = 0
 
+    def flush():
+        symbols, per = symbol_line([texts[i] for i in held], spec)
+        return symbols, per, np.array(held), np.zeros(len(held), np.int64)
 
-def word_line(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts, words per text, and each word's byte range in b" ".join(texts)."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    h = Hashes(TABLE[data]).of(start, stop) + (stop - start).astype(U) * BASE
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    ends = np.cumsum(sizes)
-    return mix(h), np.diff(np.concatenate([[0], np.searchsorted(start, ends)])), start, stop
+    for row, t in enumerate(texts):
+        if len(t) <= LINE:
+            held.append(row)
+            size += len(t)
+            if size >= LINE:
+                yield flush()
+                held, size = [], 0
+            continue
+        symbols = long_word_line(t)[0] if spec.words else np.frombuffer(t, np.uint8)
+        for p in range(0, max(1, len(symbols) - spec.length + 1), LINE):
+            own = symbols[p : p + LINE + spec.length - 1]
+            yield own if spec.words else TABLE[own], np.array([len(own)]), np.array([row]), np.array([p])
+    if held:
+        yield flush()
 
 
-def symbol_line(texts: list[bytes], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts in one line, and symbols per text."""
-    if spec.words:
-        return word_line(texts)[:2]
-    return TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.fromiter(map(len, texts), np.int64, len(texts))
+RUN = ("h", "c", "row", "s", "span")
 
 
-def runs_of(texts: list[bytes], docs: np.ndarray, spec: Spec) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor, in document order."""
-    symbols, per = symbol_line(texts, spec)
-    n, length, gram = len(symbols), spec.length, spec.gram
-    if n < length:
-        return {k: np.empty(0, t) for k, t in RUN}
-    hashes = Hashes(symbols)
-    at = np.arange(n - gram + 1)
-    grams = hashes.of(at, at + gram)
-    bits = U(max(20, n.bit_length()))
-    low = (mix(grams) >> bits << bits) | at.astype(U)
-    width, have = length - gram + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        have += step
-    anchor = (low & ((U(1) << bits) - U(1))).astype(np.int64)  # of the window at each place
-    ends = np.cumsum(per)
-    owner = np.repeat(np.arange(len(per)), per)[: len(anchor)]
-    valid = np.arange(len(anchor)) + length <= ends[owner]
-    first = valid.copy()
-    first[1:] &= ~(valid[:-1] & (anchor[1:] == anchor[:-1]))
-    last = valid.copy()
-    last[:-1] &= ~(valid[1:] & (anchor[1:] == anchor[:-1]))
-    s0, s1 = np.flatnonzero(first), np.flatnonzero(last)
-    a, o = anchor[s0], owner[s0]
-    lead, span = a - s0, s1 - s0 + 1
-    c = mix(hashes.of(s0, s1 + length) + lead.astype(U) * U(0xD6E8FEB86659FD93) + span.astype(U) * BASE)
-    return {"h": grams[a], "c": c, "doc": docs[o], "s": (s0 - (ends - per)[o]).astype("<u4"), "lead": lead.astype("<u2"), "span": span.astype("<u2"), "dup": np.zeros(len(s0), "u1")}
-
-
-def packed(items: dict[str, np.ndarray], kind: list, keys: np.ndarray, also: list[bytes] | None = None) -> Iterator[tuple[int, bytes]]:
-    """(key, blob) of the items by key; columns lie one after another, so they compress well."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    cols = [np.ascontiguousarray(items[k][order], t) for k, t in kind]
-    for i, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-        blob = int(z - i).to_bytes(4, "little") + b"".join(c[i:z].tobytes() for c in cols)
-        yield int(keys[i]), blob + b"".join(also[j] for j in order[i:z]) if also is not None else blob
-
-
-def unpacked(blobs: list[bytes], kind: list) -> tuple[dict[str, np.ndarray], list[bytes]]:
-    """The items of all blobs, and what follows them in each blob."""
-    parts: list[list[np.ndarray]] = [[] for _ in kind]
-    rest = []
-    for b in blobs:
-        n, at = int.from_bytes(b[:4], "little"), 4
-        for k, (_, t) in enumerate(kind):
-            parts[k].append(np.frombuffer(b, t, n, at))
-            at += n * np.dtype(t).itemsize
-        rest.append(b[at:])
-    return {k: np.concatenate(p) if p else np.empty(0, t) for (k, t), p in zip(kind, parts, strict=True)}, rest
-
-
-def take(items: dict[str, np.ndarray], which) -> dict[str, np.ndarray]:
-    return {k: v[which] for k, v in items.items()}
-
-
-def settle(runs: dict[str, np.ndarray], keep_first: bool, by: tuple[str, ...] = ("h", "c")) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The items sorted, and a mask: 1 for the first of each equal group.
-
-    Without ``keep_first`` the first one of a group of copies is marked in ``dup``.
-    """
-    order = np.lexsort((runs["s"], runs["doc"], *(runs[k] for k in reversed(by))))
-    r = take(runs, order)
-    n = len(order)
-    new = np.ones(n, bool)
-    if n > 1:
-        same = np.ones(n - 1, bool)
-        for k in by:
-            same &= r[k][1:] == r[k][:-1]
-        new[1:] = ~same
-    if not keep_first and n:
-        group = np.cumsum(new) - 1
-        many = np.bincount(group) > 1
-        dup = np.zeros(len(many), "u1")
-        np.maximum.at(dup, group, r["dup"])
-        r["dup"] = r["dup"].copy()
-        r["dup"][new] = dup | many
-    return r, new
+def runs_of(texts: list[bytes], spec: Spec) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: anchor and context hash, row, first window and number of windows."""
+    length, gram = spec.length, spec.gram
+    parts: list[tuple] = [(np.empty(0, U), np.empty(0, U), *[np.empty(0, np.int64)] * 3)]
+    for symbols, per, rows, bases in lines(texts, spec):
+        n = len(symbols)
+        if n < length:
+            continue
+        hashes = Hashes(symbols)
+        at = np.arange(n - gram + 1)
+        grams = hashes.of(at, at + gram)
+        low = (mix(grams) >> PLACE_BITS << PLACE_BITS) | at.astype(U)
+        width, have = length - gram + 1, 1
+        while have < width:
+            step = min(have, width - have)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            have += step
+        anchor = (low & ((U(1) << PLACE_BITS) - U(1))).astype(np.int64)  # of the window at each place
+        ends = np.cumsum(per)
+        owner = np.repeat(np.arange(len(per)), per)[: len(anchor)]
+        valid = np.arange(len(anchor)) + length <= ends[owner]
+        apart = anchor[1:] != anchor[:-1]
+        first, last = valid.copy(), valid.copy()
+        first[1:] &= ~valid[:-1] | apart
+        last[:-1] &= ~valid[1:] | apart
+        s0, s1 = np.flatnonzero(first), np.flatnonzero(last)
+        o, span = owner[s0], s1 - s0 + 1
+        parts.append((grams[anchor[s0]], hashes.of(s0, s1 + length) + span.astype(U) * BASE, rows[o], s0 - (ends - per)[o] + bases[o], span))
+    return dict(zip(RUN, map(np.concatenate, zip(*parts, strict=True)), strict=True))
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return (mix(h ^ U(0x5851F42D4C957F2D)) % U(n)).astype(np.int64)
 
 
-def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    return bucket_of(doc.astype(np.int64).view(U), n)
+def column_texts(batch) -> list[bytes]:
+    return [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+
+
+def ids(batch) -> np.ndarray:
+    return batch.column("doc_id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def ranges(doc: np.ndarray, s: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    return packed({"doc": doc, "s": s, "n": n}, RANGE, doc_bucket(doc, buckets))
+def contexts_of(text: bytes, s: np.ndarray, stop: np.ndarray, spec: Spec) -> list[bytes]:
+    """The symbols s .. stop - 1 of a text, words joined by one space."""
+    if not spec.words:
+        return [text[a:z] for a, z in zip(s.tolist(), stop.tolist(), strict=True)]
+    if len(text) <= LINE:
+        words = text.split()
+        return [b" ".join(words[a:z]) for a, z in zip(s.tolist(), stop.tolist(), strict=True)]
+    _, begin, end = long_word_line(text)
+    return [b" ".join(text[a:z].split()) for a, z in zip(begin[s].tolist(), end[stop - 1].tolist(), strict=True)]
 
 
 class Rows:
-    """Collects (bucket, kind, blob) and gives them out as batches of bounded size."""
+    """Collects (key, kind, block, blob) and gives them out as one table or batch."""
 
     def __init__(self):
-        self.b: list[int] = []
-        self.k: list[int] = []
-        self.d: list[bytes] = []
+        self.cols: list[list] = [[], [], [], []]
+
+    def add(self, key: int, kind: int, block: int, value) -> None:
+        for c, v in zip(self.cols, (key, kind, block, sealed(value)), strict=True):
+            c.append(v)
 
-    def add(self, kind: int, pairs: Iterator[tuple[int, bytes]]) -> None:
-        for b, d in pairs:
-            self.b.append(b)
-            self.k.append(kind)
-            self.d.append(d)
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int8(), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(self.cols, kinds, strict=False)), blobs(self.cols[3])], ["key", "kind", "block", "blob"])
 
     def table(self) -> pa.Table:
         return pa.Table.from_batches([self.batch()])
 
-    def batch(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.b, pa.int32()), pa.array(self.k, pa.int8()), pa.array(self.d, pa.binary())], ["bucket", "kind", "blob"])
-        self.__init__()
-        return out
 
+PACKED = "key long, kind byte, block long, blob binary"
+LISTED, COLD, HOT, OWN, OWN_HOT, HOT_CONTEXTS = range(6)
+UNIQUE, SHARED, CROWDED = range(3)
 
-PACKED = "bucket int, kind byte, blob binary"
-RUNS, FOUND, ASKED, CONTEXTS, WINDOWS = range(5)
 
+def groups(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by ``by``, first of each group in that order, and the group of every item."""
+    order = np.lexsort(by[::-1])
+    new = np.ones(len(order), bool)
+    for k, b in enumerate(by):
+        own = b[order]
+        new[1:] = (own[1:] != own[:-1]) if not k else new[1:] | (own[1:] != own[:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order, order[new], group
 
-def column_texts(batch) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
 
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, items in their order)."""
+    order = np.argsort(bucket, kind="stable")
+    size = np.bincount(bucket) if len(bucket) else np.empty(0, np.int64)
+    ends = np.cumsum(size)
+    for b in np.flatnonzero(size).tolist():
+        yield b, order[ends[b] - size[b] : ends[b]]
 
-def ids(batch) -> np.ndarray:
-    return batch.column("doc_id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
+def anchors(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors, the group of every run, contexts of each anchor, and whether one of them repeats."""
+    h, group = np.unique(runs["h"], return_inverse=True)
+    order, first, _ = groups(group, runs["c"])
+    contexts = np.bincount(group[first], minlength=len(h))
+    return h, group, contexts, np.bincount(group, minlength=len(h)) > contexts
 
-Resolver = Callable[[dict[str, np.ndarray], list[bytes], Spec], tuple[np.ndarray, np.ndarray]]
-
-
-def found_ranges(docs: DataFrame, spec: Spec, resolve: Resolver) -> tuple[DataFrame, DataFrame, int]:
-    """(bucket, kind, blob) with the removable ranges, documents dealt by bucket, bucket count."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows()
-        for b in chunks(batches):
-            r, new = settle(runs_of(column_texts(b), ids(b), spec), spec.keep_first)
-            if not len(new):
-                continue
-            rows.add(RUNS, packed(take(r, new), RUN, bucket_of(r["h"][new], n)))
-            old = take(r, ~new)
-            if len(old["h"]):  # settled here; they ride to some bucket and pass through it
-                rows.add(FOUND, packed({"doc": old["doc"], "s": old["s"], "n": old["span"]}, RANGE, bucket_of(old["c"] + U(int(b.num_rows)), n) if len(old["h"]) > 4096 else np.full(len(old["h"]), int(old["c"][0] % U(n)))))
-            yield rows.batch()
-
-    def meet(t: pa.Table) -> pa.Table:
-        kinds = t.column("kind").to_numpy()
-        blobs = t.column("blob").to_pylist()
-        rows = Rows()
-        old, _ = unpacked([b for b, k in zip(blobs, kinds, strict=True) if k == FOUND], RANGE)
-        doc, s, size = [old["doc"]], [old["s"]], [old["n"]]
-        r, new = settle(unpacked([b for b, k in zip(blobs, kinds, strict=True) if k == RUNS], RUN)[0], spec.keep_first)
-        gone = ~new if spec.keep_first else ~new | (r["dup"] > 0)
-        doc.append(r["doc"][gone])
-        s.append(r["s"][gone])
-        size.append(r["span"][gone].astype("<u4"))
-        rows.add(FOUND, ranges(np.concatenate(doc), np.concatenate(s), np.concatenate(size), n))
-        reps = take(r, new)
-        if len(reps["h"]):
-            edge = np.concatenate([[True], reps["h"][1:] != reps["h"][:-1]])
-            group = np.cumsum(edge) - 1
-            many = np.bincount(group)[group]
-            ask = take(reps, many > 1)
-            ask["big"] = (many[many > 1] > spec.group_limit).astype("u1")
-            rows.add(ASKED, packed(ask, ASK, doc_bucket(ask["doc"], n)))
-        return rows.table()
-
-    def look(docs_of: pa.Table, asked: pa.Table) -> pa.Table:
-        rows = Rows()
-        ask, _ = unpacked(asked.column("blob").to_pylist(), ASK)
-        if len(ask["h"]) and docs_of.num_rows:
-            order = np.argsort(ask["doc"], kind="stable")
-            ask = take(ask, order)
-            who = ids(docs_of)
-            lo, hi = np.searchsorted(ask["doc"], who, "left"), np.searchsorted(ask["doc"], who, "right")
-            texts, seen, held, parts = docs_of.column("text"), set(), 0, []
-            for i in np.flatnonzero(hi > lo).tolist():
-                if int(who[i]) in seen:
-                    continue
-                seen.add(int(who[i]))
-                text = (texts[i].as_py() or "").encode("utf-8", "replace")
-                parts.append((text, take(ask, slice(lo[i], hi[i]))))
-                held += len(text)
-                if held > 1 << 20:
-                    cut_out(parts, spec, n, rows)
-                    parts, held = [], 0
-            cut_out(parts, spec, n, rows)
-        return rows.table()
 
-    def decide(t: pa.Table) -> pa.Table:
-        kinds = t.column("kind").to_numpy()
-        blobs = t.column("blob").to_pylist()
-        w, new = settle(unpacked([b for b, k in zip(blobs, kinds, strict=True) if k == WINDOWS], WINDOW)[0], spec.keep_first, ("w", "v"))
-        gone = ~new if spec.keep_first else ~new | (w["dup"] > 0)
-        mine = [b for b, k in zip(blobs, kinds, strict=True) if k == CONTEXTS]
-        old, _ = unpacked([b for b, k in zip(blobs, kinds, strict=True) if k == FOUND], RANGE)
-        doc, s = np.concatenate([old["doc"], w["doc"][gone]]), np.concatenate([old["s"], w["s"][gone]])
-        if mine:
-            items, rest = unpacked(mine, CONTEXT)
-            texts, at = [], 0
-            for b in rest:
-                upto = 0
-                while upto < len(b):
-                    texts.append(b[upto : upto + int(items["size"][at])])
-                    upto += int(items["size"][at])
-                    at += 1
-            d2, s2 = resolve(items, texts, spec)
-            doc, s = np.concatenate([doc, d2]), np.concatenate([s, s2])
-        order = np.lexsort((s, doc))
-        doc, s = doc[order], s[order]
-        edge = np.ones(len(doc), bool)
-        edge[1:] = (doc[1:] != doc[:-1]) | (s[1:].astype(np.int64) != s[:-1].astype(np.int64) + 1)
-        first = np.flatnonzero(edge)
-        rows = Rows()
-        rows.add(FOUND, ranges(doc[first], s[first], np.diff(np.concatenate([first, [len(doc)]])).astype("<u4"), n))
-        return rows.table()
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    met = cut(narrow.mapInArrow(scan, PACKED).groupBy("bucket").applyInArrow(meet, PACKED))
-    held = with_bucket(docs, n)
-    asked = met.where(F.col("kind") == ASKED)
-    looked = held.select("doc_id", "text", "_bucket").groupBy("_bucket").cogroup(asked.groupBy("bucket")).applyInArrow(look, PACKED)
-    decided = looked.groupBy("bucket").applyInArrow(decide, PACKED)
-    return met.where(F.col("kind") == FOUND).unionByName(decided), held, n
-
-
-def with_bucket(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with the bucket of doc_id that doc_bucket() gives, computed in a small Arrow pass."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(doc_bucket(ids(b), n), pa.int32())], [*b.schema.names, "_bucket"])
-
-    schema = StructType([*docs.schema.fields, StructField("_bucket", IntegerType())])
-    return docs.mapInArrow(deal, schema)
-
-
-def cut_out(parts: list, spec: Spec, n: int, rows: Rows) -> None:
-    """Requested contexts of some texts: as bytes for small groups, as window hashes for large ones."""
-    if not parts:
-        return
-    contexts, blobs, windows = [], [], []
-    for text, ask in parts:
-        if spec.words:
-            words = text.split()
-        small = ask["big"] == 0
-        for h, doc, s, span in zip(*(ask[k][small].tolist() for k in ("h", "doc", "s", "span")), strict=True):
-            stop = s + span + spec.length - 1
-            blob = b" ".join(words[s:stop]) if spec.words else text[s:stop]
-            contexts.append((h, doc, s, span, len(blob)))
-            blobs.append(blob)
-        if (~small).any():
-            big = take(ask, ~small)
-            symbols, _ = symbol_line([text], spec)
-            span = big["span"].astype(np.int64)
-            at = np.repeat(big["s"].astype(np.int64), span) + (np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-            w = Hashes(symbols).of(at, at + spec.length)
-            v = Hashes(mix(symbols ^ U(0xA5A5A5A5A5A5A5A5))).of(at, at + spec.length)
-            windows.append({"w": w, "v": v, "doc": np.repeat(big["doc"], span), "s": at.astype("<u4"), "dup": np.zeros(len(at), "u1")})
-    if contexts:
-        cols = list(zip(*contexts, strict=True))
-        items = {k: np.array(c, t) for (k, t), c in zip(CONTEXT, cols, strict=True)}
-        rows.add(CONTEXTS, packed(items, CONTEXT, bucket_of(items["h"], n), blobs))
-    if windows:
-        w, new = settle({k: np.concatenate([x[k] for x in windows]) for k, _ in WINDOW}, spec.keep_first, ("w", "v"))
-        gone = take(w, ~new)
-        first = take(w, new)
-        rows.add(WINDOWS, packed(first, WINDOW, bucket_of(first["w"], n)))
-        if len(gone["doc"]):  # settled here; they pass through the next stage
-            rows.add(FOUND, ranges(gone["doc"], gone["s"], np.ones(len(gone["s"]), "<u4"), n))
-
-
-def removals(found: list[bytes], docs: np.ndarray, sizes: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each document a mask over its symbols, true where a found window covers it."""
-    r, _ = unpacked(found, RANGE)
-    order = np.argsort(r["doc"], kind="stable")
-    r = take(r, order)
-    lo, hi = np.searchsorted(r["doc"], docs, "left"), np.searchsorted(r["doc"], docs, "right")
-    out = []
-    for a, z, n in zip(lo.tolist(), hi.tolist(), sizes.tolist(), strict=True):
-        if a == z:
-            out.append(None)
-            continue
-        s = r["s"][a:z].astype(np.int64)
-        e = s + r["n"][a:z].astype(np.int64) + length - 1
-        step = np.bincount(np.minimum(s, n), minlength=n + 1) - np.bincount(np.minimum(e, n), minlength=n + 1)
-        out.append(np.cumsum(step[:n]) > 0)
-    return out
+def without_null(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def packed_batch(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_batch(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+#: (distinct contexts of whole groups; windows, copies, document and first place of each) -> a flag for every window:
+#: it repeats, or, where the first copy stays, an earlier window equals it.
+Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, Spec], np.ndarray]
+
+
+def met(lists: pa.Table, keys: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of a bucket, the group of every entry by its first ``keys`` columns, contexts of each group, and whether one repeats in a block."""
+    held = [opened(b) for b in lists.column("blob").to_pylist()]
+    group = groups(*(np.concatenate([np.frombuffer(x[i], "<u8") for x in held]) for i in range(keys)))[2]
+    n, again = np.concatenate([whole(x[keys]) for x in held]), np.concatenate([whole(x[keys + 1]) for x in held])
+    return held, group, np.bincount(group, n).astype(np.int64), np.bincount(group, again) > 0
 
 
 def without_repeats(docs: DataFrame, spec: Spec, resolve: Resolver) -> DataFrame:
     """All columns of ``docs``, then n_symbols, n_removed, n_spans and kept (binary)."""
-    docs = docs.drop("n_symbols", "n_removed", "n_spans", "kept", "_bucket")
-    found, held, _ = found_ranges(docs, spec, resolve)
-    names = docs.columns
+    docs = docs.drop("n_symbols", "n_removed", "n_spans", "kept")
+    rows, n = stable(without_null(docs)), 4 * shuffle_partitions(docs.sparkSession)  # buckets, several a partition, so that partitions are even
+    names, length = rows.columns, spec.length
+
+    def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own in blocks_of(batches, spec.block_bytes):
+            h, _, contexts, again = anchors(runs_of(column_texts(own), spec))
+            out = Rows()
+            for b, at in by_bucket(bucket_of(h, n)):
+                out.add(b, LISTED, block, (h[at].tobytes(), planes(contexts[at]), planes(again[at])))
+            yield out.batch()
+
+    def list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own in blocks_of(batches, spec.block_bytes):
+            out = Rows()
+            out.add(block, LISTED, block, packed_batch(own))
+            yield out.batch()
+
+    def count_anchors(t: pa.Table) -> pa.Table:
+        held, group, total, some = met(t, 1)
+        state = np.where(total > spec.group_limit, CROWDED, np.where((total > 1) | some, SHARED, UNIQUE))[group]
+        out, at = Rows(), 0
+        for x, block, bucket in zip(held, t.column("block").to_pylist(), t.column("key").to_pylist(), strict=True):
+            size = len(x[0]) // 8
+            out.add(block, LISTED, bucket, planes(state[at : at + size]))
+            at += size
+        return out.table()
+
+    def ask(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        out = Rows()
+        known = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
+        for block, blob in zip(blocks.column("block").to_pylist(), blocks.column("blob").to_pylist(), strict=True):
+            own = unpacked_batch(opened(blob))
+            texts, docs_ = column_texts(own), ids(own)
+            runs = runs_of(texts, spec)
+            h, group, _, _ = anchors(runs)
+            state = np.zeros(len(h), np.int64)
+            for b, at in by_bucket(bucket_of(h, n)):
+                if b not in known:
+                    raise RuntimeError("a block was read with other rows than before: write the input to a table first")
+                state[at] = whole(opened(known[b]))
+            state = state[group]
+            live = np.flatnonzero(state)
+            live = live[np.lexsort((runs["row"][live], runs["s"][live], docs_[runs["row"][live]]))]  # earliest copies first
+            # the contexts, equal ones once
+            text_of: list = [None] * len(live)
+            for row, at in by_bucket(runs["row"][live]):
+                s = runs["s"][live[at]]
+                for i, c in zip(at.tolist(), contexts_of(texts[row], s, s + runs["span"][live[at]] + length - 1, spec), strict=True):
+                    text_of[i] = c
+            number: dict[tuple[int, bytes], int] = {}
+            of = np.fromiter((number.setdefault(k, len(number)) for k in zip(runs["h"][live].tolist(), text_of, strict=True)), np.int64, len(live))
+            size = np.bincount(of, minlength=len(number))
+            first = np.full(len(number), len(live))
+            np.minimum.at(first, of, np.arange(len(live)))
+            lead = live[first]
+            items = {"h": runs["h"][lead], "doc": docs_[runs["row"][lead]], "s": runs["s"][lead], "span": runs["span"][lead], "copies": size}
+            contexts = [text_of[i] for i in first.tolist()]
+            hot = state[lead] == CROWDED
+            cold = np.flatnonzero(~hot)
+            order: list[np.ndarray] = [np.empty(0, np.int64)]
+            for b, at in by_bucket(bucket_of(items["h"][cold], n)):
+                order.append(cold[at])
+                ship(out, b, COLD, block, items, cold[at], contexts)
+            crowd = np.flatnonzero(hot)
+            place = np.empty(len(lead), np.int64)
+            place[np.concatenate([*order, crowd])] = np.arange(len(lead))
+            out.add(block, OWN, block, (place[of], runs["row"][live], runs["s"][live], runs["span"][live], first[of] == np.arange(len(live)), items["span"][np.argsort(place)], len(crowd)))
+            if len(crowd):
+                out.add(block, HOT_CONTEXTS, block, ({k: v[crowd] for k, v in items.items()}, [contexts[i] for i in crowd.tolist()]))
+        return out.table()
+
+    def ship(out: Rows, key: int, kind: int, block: int, items: dict, at: np.ndarray, contexts: list[bytes]) -> None:
+        texts = [contexts[i] for i in at.tolist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        out.add(key, kind, block, ([items["h"][at].tobytes(), items["doc"][at].tobytes(), items["s"][at].tobytes()], planes(items["span"][at]), planes(items["copies"][at]), planes(sizes), b"".join(texts)))
+
+    # windows of crowded anchors, one by one
+
+    def windows_of(items: dict, contexts: list[bytes]) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of some contexts: distinct ones (w, v, doc, s, copies), the distinct one of each, whether it is its earliest, its context and place."""
+        span = items["span"]
+        of, i = np.repeat(np.arange(len(span)), span), np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+        upto, hashed = np.cumsum([0, *map(len, contexts)]), ([], [])
+        for _, part in by_bucket(upto[:-1] // LINE):  # about a line's bytes at a time
+            symbols, per = symbol_line([contexts[k] for k in part.tolist()], spec)
+            at = np.repeat(np.cumsum(per) - per - np.cumsum(span[part]) + span[part], span[part]) + np.arange(span[part].sum())
+            for k in (0, 1):
+                hashed[k].append(Hashes(symbols, k).of(at, at + length))
+        w, v = map(np.concatenate, hashed)
+        doc, s = items["doc"][of], items["s"][of] + i
+        order, first, group = groups(w, v)
+        order = np.lexsort((s, doc, group))
+        earliest = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])] if len(order) else order
+        copies = np.bincount(group, items["copies"][of], minlength=len(earliest)).astype(np.int64)
+        is_first = np.zeros(len(of), bool)
+        is_first[earliest] = True
+        return {"w": w[earliest], "v": v[earliest], "doc": doc[earliest], "s": s[earliest], "copies": copies}, group, is_first, of[earliest], i[earliest]
+
+    def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, blob in zip(b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                x, *_ = windows_of(*opened(blob))
+                out = Rows()
+                for k, at in by_bucket(bucket_of(x["w"], n)):
+                    out.add(k, LISTED, block, (x["w"][at].tobytes(), x["v"][at].tobytes(), planes(np.ones(len(at), np.int64)), planes(x["copies"][at] > 1), x["doc"][at].tobytes(), x["s"][at].tobytes()))
+                yield out.batch()
+
+    def count_windows(t: pa.Table) -> pa.Table:
+        held, group, total, some = met(t, 2)
+        block = np.repeat(np.array(t.column("block").to_pylist(), np.int64), [len(x[0]) // 8 for x in held])
+        doc, s = (np.concatenate([np.frombuffer(x[i], "<i8") for x in held]) for i in (4, 5))
+        order = np.lexsort((block, s, doc, group))
+        leads = np.zeros(len(group), bool)
+        leads[order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]] = True
+        parts = np.where((total > 1) | some, -(-total // spec.group_limit), 0)[group]
+        out, at = Rows(), 0
+        for x, b, bucket in zip(held, t.column("block").to_pylist(), t.column("key").to_pylist(), strict=True):
+            size = len(x[0]) // 8
+            out.add(b, LISTED, bucket, (planes(parts[at : at + size]), planes(leads[at : at + size])))
+            at += size
+        return out.table()
+
+    def ask_windows(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        out = Rows()
+        known = dict(zip(replies.column("block").to_pylist(), replies.column("blob").to_pylist(), strict=True))
+        for block, blob in zip(blocks.column("block").to_pylist(), blocks.column("blob").to_pylist(), strict=True):
+            items, contexts = opened(blob)
+            x, group, is_first, of, i = windows_of(items, contexts)
+            parts, leads = np.zeros(len(of), np.int64), np.zeros(len(of), bool)
+            for b, at in by_bucket(bucket_of(x["w"], n)):
+                p, first = opened(known[b])
+                parts[at], leads[at] = whole(p), whole(first) > 0
+            # a window goes to one part of its group; the earliest of all goes to every part
+            sent = np.repeat(np.arange(len(of)), np.where(leads, parts, np.minimum(parts, 1)))
+            nth = np.arange(len(sent)) - np.searchsorted(sent, sent)
+            part = np.where(leads[sent], nth, int(np.int64(block) & np.int64(0x7FFFFFFFFFFFFFFF)) % np.maximum(parts[sent], 1))
+            cols = {"h": mix(x["w"][sent] + part.astype(U) * BASE), "doc": x["doc"][sent], "s": x["s"][sent], "span": np.ones(len(sent), np.int64), "copies": x["copies"][sent]}
+            texts: list = [None] * len(sent)
+            for c, at in by_bucket(of[sent]):
+                starts = i[sent[at]]
+                for k, t in zip(at.tolist(), contexts_of(contexts[c], starts, starts + length, spec), strict=True):
+                    texts[k] = t
+            order: list[np.ndarray] = [np.empty(0, np.int64)]
+            for b, at in by_bucket(bucket_of(cols["h"], n)):
+                order.append(at)
+                ship(out, b, HOT, block, cols, at, texts)
+            out.add(block, OWN_HOT, block, (group, is_first, len(of), sent[np.concatenate(order)]))
+        return out.table()
+
+    def decide(t: pa.Table) -> pa.Table:
+        held = [opened(b) for b in t.column("blob").to_pylist()]
+        h, doc, s = (np.concatenate([np.frombuffer(x[0][i], k) for x in held]) for i, k in enumerate(("<u8", "<i8", "<i8")))
+        span, copies = (np.concatenate([whole(x[i]) for x in held]) for i in (1, 2))
+        per = [len(x[0][0]) // 8 for x in held]
+        block = np.repeat(np.array(t.column("block").to_pylist(), np.int64), per)
+        texts: list[bytes] = []
+        for x in held:
+            ends = np.cumsum(whole(x[3])).tolist()
+            texts += [x[4][a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+        order = np.lexsort((block, s, doc, h))  # by anchor, the earliest copy first
+        number: dict[bytes, int] = {}  # equal contexts have one anchor; parts of a crowded window may meet here, too
+        of = np.empty(len(h), np.int64)
+        of[order] = np.fromiter((number.setdefault(texts[i], len(number)) for i in order.tolist()), np.int64, len(h))
+        first = np.full(len(number), len(h))
+        np.minimum.at(first, of[order], np.arange(len(h)))
+        lead = order[first]
+        weight = np.bincount(of, copies, minlength=len(number)).astype(np.int64)
+        contexts = [texts[i] for i in lead.tolist()]
+        sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        begins = np.concatenate([[True], h[lead][1:] != h[lead][:-1]])
+        part = (np.cumsum(sizes) - sizes)[np.flatnonzero(begins)] // spec.batch_bytes  # whole groups, about batch_bytes at a time
+        cuts = np.flatnonzero(begins)[np.concatenate([[True], part[1:] != part[:-1]])].tolist()
+        flags = []
+        for a, z in zip(cuts, [*cuts[1:], len(lead)], strict=True):
+            own = lead[a:z]
+            flags.append(resolve(contexts[a:z], span[own], weight[a:z], doc[own], s[own], spec))
+        flag = np.concatenate(flags)
+        begin = np.cumsum(span[lead]) - span[lead]
+        is_lead = (block == block[lead[of]]) & (doc == doc[lead[of]]) & (s == s[lead[of]])
+        out, at = Rows(), 0
+        for size, b, bucket, kind in zip(per, *(t.column(k).to_pylist() for k in ("block", "key", "kind")), strict=True):
+            own = np.arange(at, at + size)
+            where = np.repeat(begin[of[own]] - np.cumsum(span[own]) + span[own], span[own]) + np.arange(span[own].sum())
+            bits = flag[where]
+            if spec.keep_first:  # a later copy of a whole context goes
+                bits |= np.repeat(~is_lead[own], span[own])
+            out.add(b, kind, bucket, (size, np.packbits(bits).tobytes()))
+            at += size
+        return out.table()
 
     def finish(t: pa.Table, marks: pa.Table) -> pa.Table:
-        texts = column_texts(t)
-        sizes = np.array([len(x.split()) if spec.words else len(x) for x in texts], np.int64)
-        masks = removals(marks.column("blob").to_pylist(), ids(t), sizes, spec.length)
-        kept, removed, spans = [], [], []
-        for text, mask in zip(texts, masks, strict=True):
-            words = text.split() if spec.words else None
-            if mask is None or not mask.any():
-                kept.append(b" ".join(words) if spec.words else text)
-                removed.append(0)
-                spans.append(0)
-                continue
-            if spec.words:
-                kept.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m]))
-            else:
-                kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes())
-            removed.append(int(mask.sum()))
-            spans.append(int((mask[1:] & ~mask[:-1]).sum() + mask[0]))
-        out = [t.column(k) for k in names]
-        return pa.table([*out, pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_symbols", "n_removed", "n_spans", "kept"])
-
-    schema = StructType([*docs.schema.fields, *(StructField(k, LongType()) for k in ("n_symbols", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    return held.groupBy("_bucket").cogroup(found.groupBy("bucket")).applyInArrow(finish, schema)
+        found: dict[tuple[int, int], dict[int, bytes]] = {}
+        for key, kind, of, blob in zip(*(marks.column(k).to_pylist() for k in ("key", "kind", "block", "blob")), strict=True):
+            found.setdefault((key, kind), {})[of] = blob
+        tables = []
+        for block, blob in zip(t.column("block").to_pylist(), t.column("blob").to_pylist(), strict=True):
+            own = unpacked_batch(opened(blob))
+            place, row, s, span, first, spans, n_hot = opened(found[block, OWN][block])
+            cold = len(spans) - n_hot
+            flag = taken(found.get((block, COLD), {}), spans[:cold])
+            if n_hot:
+                group, is_first, n_windows, sent = opened(found[block, OWN_HOT][block])
+                hot = np.zeros(n_windows, bool)
+                np.logical_or.at(hot, sent, taken(found.get((block, HOT), {}), np.ones(len(sent), np.int64)))
+                again = hot[group]
+                if spec.keep_first:
+                    shown = np.zeros(n_windows, bool)
+                    shown[sent] = True
+                    again = again | (~is_first & shown[group])
+                flag = np.concatenate([flag, again])
+            begin = np.cumsum(spans) - spans
+            where = np.repeat(begin[place] - np.cumsum(span) + span, span) + np.arange(span.sum())
+            gone = flag[where]
+            if spec.keep_first:  # a later copy within the block goes
+                gone = gone | np.repeat(~first, span)
+            at = np.repeat(s - np.cumsum(span) + span, span) + np.arange(span.sum())
+            tables.append(cleaned(own, np.repeat(row, span)[gone], at[gone]))
+        return pa.concat_tables(tables)
+
+    def taken(replies: dict[int, bytes], spans: np.ndarray) -> np.ndarray:
+        """One flag a window, from the packed answers of the buckets in which the contexts lie, in order."""
+        if not len(spans):
+            return np.empty(0, bool)
+        upto = np.concatenate([[0], np.cumsum(spans)])
+        out, at = [], 0
+        for b in sorted(replies):
+            size, bits = opened(replies[b])
+            stop = at + size
+            out.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(upto[stop] - upto[at])).astype(bool))
+            at = stop
+        return np.concatenate(out)
+
+    def cleaned(own: pa.RecordBatch, row: np.ndarray, at: np.ndarray) -> pa.Table:
+        texts = column_texts(own)
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        lo, hi = np.searchsorted(row, np.arange(len(texts)), "left"), np.searchsorted(row, np.arange(len(texts)), "right")
+        sizes, removed, spans, kept = [], [], [], []
+        for text, a, z in zip(texts, lo.tolist(), hi.tolist(), strict=True):
+            size, gone, n_spans, left = without(text, at[a:z], spec)
+            sizes.append(size)
+            removed.append(gone)
+            spans.append(n_spans)
+            kept.append(left)
+        return pa.table([*(own.column(k) for k in names), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), blobs(kept)], [*names, "n_symbols", "n_removed", "n_spans", "kept"])
+
+    held = rows.mapInArrow(list_blocks, PACKED)
+    replies = rows.mapInArrow(list_anchors, PACKED).groupBy("key").applyInArrow(count_anchors, PACKED)
+    asked = cut(held.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(ask, PACKED), by="kind")
+    crowds = asked.where(F.col("kind") == HOT_CONTEXTS)
+    if not crowds.isEmpty():
+        counts = crowds.mapInArrow(list_windows, PACKED).groupBy("key").applyInArrow(count_windows, PACKED)
+        asked = asked.unionByName(cut(crowds.groupBy("key").cogroup(counts.groupBy("key")).applyInArrow(ask_windows, PACKED), by="kind"))
+    decided = asked.where(F.col("kind").isin(COLD, HOT)).groupBy("key").applyInArrow(decide, PACKED)
+    marks = asked.where(F.col("kind").isin(OWN, OWN_HOT)).unionByName(decided)
+    schema = StructType([*rows.schema.fields, *(StructField(k, LongType()) for k in ("n_symbols", "n_removed", "n_spans")), StructField("kept", BinaryType())])
+    return held.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(finish, schema)
+
+
+def without(text: bytes, starts: np.ndarray, spec: Spec) -> tuple[int, int, int, bytes]:
+    """Symbols of a text, how many lie under the windows at ``starts`` (rising), in how many spans, and what is left."""
+    if len(starts):  # windows that touch or overlap make one span
+        apart = np.flatnonzero(np.diff(starts) > spec.length)
+        a, z = starts[np.concatenate([[0], apart + 1])], starts[np.concatenate([apart, [-1]])] + spec.length
+    else:
+        a = z = np.empty(0, np.int64)
+    gone = int((z - a).sum())
+    if not spec.words:
+        keep = zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True)
+        return len(text), gone, len(a), b"".join([text[x:y] for x, y in keep]) if gone else text
+    if len(text) <= LINE:
+        words = text.split()
+        keep = zip([0, *z.tolist()], [*a.tolist(), len(words)], strict=True)
+        return len(words), gone, len(a), b" ".join([w for x, y in keep for w in words[x:y]])
+    _, begin, end = long_word_line(text)
+    n = len(begin)
+    parts = [b" ".join(text[begin[x] : end[min(x + 50_000, y) - 1]].split()) for p, y in zip([0, *z.tolist()], [*a.tolist(), n], strict=True) for x in range(p, y, 50_000)]
+    return n, gone, len(a), b" ".join(parts)

@@ -1,7 +1,7 @@
 """Exact substring dedup over bytes by two-stage suffix sorting.
 
-Candidate stretches of bytes are found by anchors (see repeats) and laid in one
-line, ended by a sign below all bytes. In the two-stage sort only the suffixes
+Candidate contexts are dealt by anchors (see repeats.py), and whole groups are laid in
+one line, every context ended by a sign below all bytes. In the two-stage sort only the suffixes
 smaller than their successor are sorted directly; the others follow by one scan
 over the buckets of first bytes. Adjacent suffixes that share ``length`` bytes are
 repeats, and every byte under one is removed, the first copy included.
@@ -17,10 +17,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .hashing import Hashes, U, mix
 from .repeats import Spec, without_repeats
 
 WINDOW_BYTES = 400
-GRAM_BYTES = 200
+GRAM_BYTES = 64
 
 
 def smaller_than_next(line: np.ndarray) -> np.ndarray:
@@ -41,10 +42,11 @@ def smaller_than_next(line: np.ndarray) -> np.ndarray:
 def words_at(line: np.ndarray) -> tuple[np.ndarray, int]:
     """The symbols from each place on packed into one number, and how many; past the end they are 0.
 
-    Eight symbols go into a number where all are below 256, else four.
+    Eight symbols go into a number where all are below 256, else four below 65,536, else two.
     """
     n = len(line)
-    step = 8 if n and int(line.max()) < 256 else 4
+    most = int(line.max()) if n else 0
+    step = 8 if most < 1 << 8 else 4 if most < 1 << 16 else 2
     bits = np.uint64(64 // step)
     ext = np.concatenate([line.astype(np.uint64), np.zeros(step, np.uint64)])
     keys, have = ext, 1
@@ -54,57 +56,101 @@ def words_at(line: np.ndarray) -> tuple[np.ndarray, int]:
     return keys[:n], step
 
 
-def direct_sort(places: np.ndarray, keys: np.ndarray, step: int, depth: int) -> np.ndarray:
+def direct_sort(places: np.ndarray, line: np.ndarray, depth: int) -> np.ndarray:
     """``places`` sorted by the first ``depth`` symbols of their suffixes, most significant symbols first.
 
-    Only places still tied with a neighbour are compared further; tied pairs, the usual
-    case, by one comparison.
+    Only places still tied with a neighbour are compared further, number by number of
+    words_at(). A tied group whose symbols all hash alike is left as it is: it needs no
+    order, and whoever asks for common prefixes compares the symbols themselves.
     """
-    n = len(keys)
-    places = places[np.argsort(keys[places], kind="stable")]
+    keys, step = words_at(line)
+    n = len(line)
+    places = places[np.argsort(keys[places])]
     k = keys[places]
     same = np.concatenate([[False], k[1:] == k[:-1]])
+    hashes = Hashes(mix(line.astype(np.uint64) + U(1)))
+    ext = np.concatenate([keys, np.zeros(depth + step, keys.dtype)])
+    at = still_tied(same, np.arange(len(same)))
     done = step
-    while done < depth:
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        nxt = places[at] + done
-        k = np.where(nxt < n, keys[np.minimum(nxt, n - 1)], 0)
-        head = np.flatnonzero(~same[at])
-        size = np.diff(np.concatenate([head, [len(at)]]))
-        pair = head[size == 2]
-        swap = pair[k[pair + 1] < k[pair]]
-        x, y = at[swap], at[swap + 1]
-        places[x], places[y] = places[y], places[x]
-        same[at[pair + 1]] = k[pair + 1] == k[pair]
-        if len(pair) < len(head):
-            more = np.repeat(size != 2, size)
-            own, k = at[more], k[more]
-            g = np.repeat(np.arange(len(head)), size)[more]
-            order = np.lexsort((k, g))
-            places[own] = places[own[order]]
-            k = k[order]
-            same[own[1:]] = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
-            same[own[0]] = False
+    while done < depth and len(at):
+        if done % (4 * step) == step:
+            whole = hashes.of(np.minimum(places[at] + done, n), np.minimum(places[at] + depth, n))
+            head = ~same[at]
+            group = np.cumsum(head) - 1
+            other = np.concatenate([[False], whole[1:] != whole[:-1]]) & ~head
+            at = at[(np.bincount(group[other], minlength=group[-1] + 1) > 0)[group]]
+            if not len(at):
+                break
+        k = ext[places[at] + done]
+        head = ~same[at]
+        group = np.cumsum(head) - 1
+        other = np.concatenate([[False], k[1:] != k[:-1]]) & ~head
+        moved = (np.bincount(group[other], minlength=group[-1] + 1) > 0)[group]
+        if moved.any():
+            sort_tied(places, same, at[moved], k[moved])
+            at = still_tied(same, at)
         done += step
     return places
 
 
-def two_stage_sort(line: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of ``line`` (small integers), ordered by ``depth`` symbols at least."""
+def still_tied(same: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of ``at`` that equal a neighbour so far."""
+    tied = same.copy()
+    tied[:-1] |= same[1:]
+    return at[tied[at]]
+
+
+def by_group(k: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Order by group ``g`` (rising), then ``k``: sorted by number first, then dealt by group without comparing."""
+    if not len(g) or g[-1] >= 1 << 16:
+        return np.lexsort((k, g))
+    order = np.argsort(k)
+    return order[np.argsort(g[order].astype(np.uint16), kind="stable")]
+
+
+def sort_tied(places: np.ndarray, same: np.ndarray, at: np.ndarray, k: np.ndarray) -> None:
+    """Sorts the groups of tied places ``at`` by their next symbols ``k``; tied pairs, the usual case, by one comparison."""
+    head = np.flatnonzero(~same[at])
+    size = np.diff(np.concatenate([head, [len(at)]]))
+    pair = head[size == 2]
+    swap = pair[k[pair + 1] < k[pair]]
+    x, y = at[swap], at[swap + 1]
+    places[x], places[y] = places[y], places[x]
+    same[at[pair + 1]] = k[pair + 1] == k[pair]
+    if len(pair) < len(head):
+        more = np.repeat(size != 2, size)
+        own, k = at[more], k[more]
+        g = np.repeat(np.arange(len(head)), size)[more]
+        order = by_group(k, g)
+        places[own] = places[own[order]]
+        k = k[order]
+        same[own[1:]] = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
+        same[own[0]] = False
+
+
+def two_stage_sort(line: np.ndarray, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Suffix array of ``line`` (small integers), ordered by ``depth`` symbols at least.
+
+    With ``starts``, a mask, only those suffixes are wanted: they and the ones after them up
+    to the next that is smaller than its successor are sorted, which is all that induction
+    needs; the array holds some others, too.
+    """
     n = len(line)
     if not n:
         return np.empty(0, np.int64)
     up = smaller_than_next(line)
-    sorted_up = direct_sort(np.flatnonzero(up), *words_at(line), depth)
+    need = np.ones(n, bool)
+    if starts is not None:
+        at = np.where(starts, np.arange(n), -1)
+        last = np.maximum.accumulate(at)  # the wanted suffix before each place
+        end = np.minimum.accumulate(np.where(up, np.arange(n), n - 1)[::-1])[::-1]  # where its induction begins
+        need = (last >= 0) & (np.arange(n) <= end[np.maximum(last, 0)])
+    sorted_up = direct_sort(np.flatnonzero(up & need), line, depth)
     top = int(line.max()) + 1
-    size = np.bincount(line, minlength=top)
+    size = np.bincount(line[need], minlength=top)
     start = np.cumsum(size) - size
-    out = np.full(n, -1, np.int64)
-    n_down = np.bincount(line[~up], minlength=top)
+    out = np.full(int(size.sum()), -1, np.int64)
+    n_down = np.bincount(line[need & ~up], minlength=top)
     head = start.copy()  # next free place of each bucket; larger suffixes stand before smaller-than-next ones
     up_start = start + n_down
     first = line[sorted_up]
@@ -112,33 +158,36 @@ def two_stage_sort(line: np.ndarray, depth: int) -> np.ndarray:
     for c in range(top):
         own = sorted_up[edges[c] : edges[c + 1]]
         out[up_start[c] : up_start[c] + len(own)] = own
+    induced = need & ~up
 
     def place(before: np.ndarray) -> None:
         """Appends suffixes, in order, to the buckets of their first symbols."""
         sym = line[before]
-        order = np.argsort(sym, kind="stable")
+        order = np.argsort(sym.astype(np.uint16) if top < 1 << 16 else sym, kind="stable")
         before, sym = before[order], sym[order]
         count = np.bincount(sym, minlength=top)
         upto = np.cumsum(count) - count
         out[head[sym] + np.arange(len(before)) - upto[sym]] = before
         head[:] += count
 
-    place(np.array([n - 1]))  # the last suffix precedes all that start like it
+    def before(own: np.ndarray) -> np.ndarray:
+        """The suffixes that those of ``own`` induce."""
+        prev = own[own > 0] - 1
+        return prev[induced[prev]]
+
+    if induced[n - 1]:
+        place(np.array([n - 1]))  # the last suffix precedes all that start like it
     for c in range(top):
         at = start[c]
         while at < head[c]:  # this bucket grows by suffixes whose successor lies in it
             stop = head[c]
-            prev = out[at:stop] - 1
-            prev = prev[prev >= 0]
-            prev = prev[~up[prev]]
+            more = before(out[at:stop])
             at = stop
-            if len(prev):
-                place(prev)
-        own = out[up_start[c] : start[c] + size[c]] - 1
-        own = own[own >= 0]
-        own = own[~up[own]]
-        if len(own):
-            place(own)
+            if len(more):
+                place(more)
+        more = before(out[up_start[c] : start[c] + size[c]])
+        if len(more):
+            place(more)
     return out
 
 
@@ -160,26 +209,24 @@ def common_at_least(line: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
     return out
 
 
-def repeated_windows(items: dict[str, np.ndarray], contexts: list[bytes], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of every asked window that another asked window equals."""
-    size = items["size"].astype(np.int64) + 1
+def repeated_windows(contexts: list[bytes], span: np.ndarray, copies: np.ndarray, doc: np.ndarray, s: np.ndarray, spec: Spec) -> np.ndarray:
+    """For every window of every context, whether an equal one stands elsewhere.
+
+    All contexts are sorted as one line; a context met several times has that many equal ones.
+    """
+    size = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
     begin = np.cumsum(size) - size
     line = np.frombuffer(b"\x00".join([*contexts, b""]) if contexts else b"", np.uint8).astype(np.int64) + 1
     line[begin + size - 1] = 0
-    span = items["span"].astype(np.int64)
-    starts = np.zeros(len(line), bool)
-    starts[np.repeat(begin, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)] = True
-    order = two_stage_sort(line, spec.length)
-    order = order[starts[order]]
-    if len(order) < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    eq = common_at_least(line, order[:-1], order[1:], spec.length)
-    hit = np.zeros(len(order), bool)
-    hit[:-1] |= eq
-    hit[1:] |= eq
-    at = order[hit]
-    k = np.searchsorted(begin, at, "right") - 1
-    return items["doc"][k], items["s"][k].astype(np.int64) + at - begin[k]
+    window = np.full(len(line), -1)
+    window[np.repeat(begin - np.cumsum(span) + span, span) + np.arange(span.sum())] = np.arange(span.sum())
+    order = two_stage_sort(line, spec.length, window >= 0)
+    order = order[window[order] >= 0]
+    equal = common_at_least(line, order[:-1], order[1:], spec.length)
+    out = np.repeat(copies > 1, span)
+    out[window[order[:-1]][equal]] = True
+    out[window[order[1:]][equal]] = True
+    return out
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
