@@ -1,18 +1,22 @@
 """Compression classifier: zstandard dictionaries of good and bad text, one calibrated score.
 
-Dictionaries are built from good and from bad labelled text, once from the text
-itself and once from its shape (letters, capitals and digits each as one sign, so
-all languages share it). A text is cut into blocks; every block is compressed with
-either dictionary, and the difference of the summed sizes divided by the text's
-bytes says which side it is nearer to. A logistic calibration, fitted on labelled texts that are not in the dictionaries,
-turns the difference into a score between 0 and 1.
-
-The fit uses a bounded sample of labelled rows (``most_rows``, taken in hash order);
-scoring reads every whole text in one pass without a shuffle.
+Dictionaries are trained on good and on bad labelled text, once on the text itself and
+once on its shape (letters, capitals and digits each as one sign, so all languages share
+it). A text is cut into blocks; every block is compressed with either dictionary, and the
+difference of the summed sizes divided by the text's bytes says which side it is nearer
+to. A logistic calibration, fitted on labelled texts that are not in the dictionaries,
+turns the two differences into a score between 0 and 1.
+
+The fit uses a bounded sample of labelled rows: ``most_rows``, half of them of either
+label, in hash order. Each row then counts for as many as its label has rows to a drawn
+one, so the score is calibrated to the labels' own shares at every size. Dictionaries
+learn ``pieces`` stretches of ``piece_chars`` characters at even distances of a whole
+text; calibration and scoring read whole texts, and scoring is one pass without a shuffle.
 
 Edge cases: null or empty text scores the calibrated value of a zero difference;
 labels that are null are ignored; without labels of both kinds every score is the
-share of good labels (0.5 if there are none); repeated rows score alike.
+share of good labels (0.5 if there are none); repeated rows score alike; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from .arrow import chunks, doc_columns
 class FitRules:
     most_rows: int = 6000
     dictionary_bytes: int = 112_640
-    sample_chars: int = 2_000
+    segment: int = 256
+    pieces: int = 4
+    piece_chars: int = 512
     block_bytes: int = 2_048
     level: int = 3
 
@@ -49,28 +55,22 @@ class Model:
     level: int
 
     def compressors(self) -> list:
-        return [
-            zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-            for d in self.dictionaries
-        ]
-
-    def features(self, text: bytes, compressors: list) -> tuple[float, ...]:
-        """Normalised size difference (positive: nearer to good) and the better ratio, of the text and of its shape."""
-        if not text:
-            return 0.0, 0.0, 0.0, 0.0
+        return [zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in self.dictionaries]
+
+    def differences(self, text: bytes, compressors: list) -> tuple[float, float]:
+        """Normalised size differences (positive: nearer to good) of the text and of its shape."""
         out: list[float] = []
         n = len(text)
         for view, (to_good, to_bad) in ((memoryview(text), compressors[:2]), (memoryview(shape(text)), compressors[2:])):
-            good = bad = 0
+            by = 0
             for at in range(0, n, self.block_bytes):
                 part = view[at : at + self.block_bytes]
-                good += len(to_good.compress(part))
-                bad += len(to_bad.compress(part))
-            out += [(bad - good) / n, min(good, bad) / n]
-        return tuple(out)
+                by += len(to_bad.compress(part)) - len(to_good.compress(part))
+            out.append(by / max(1, n))
+        return out[0], out[1]
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        z = np.clip(design(features) @ self.slope, -30, 30)
+    def score(self, differences: np.ndarray) -> np.ndarray:
+        z = np.clip(design(differences) @ self.slope, -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
@@ -82,62 +82,74 @@ def shape(text: bytes) -> bytes:
     return text.translate(SHAPE)
 
 
-def design(features: np.ndarray) -> np.ndarray:
-    """Scaled terms of the calibration: both differences, both ratios."""
-    return np.column_stack([np.ones(len(features)), features * np.array([20, 4, 20, 4])])
+def design(differences: np.ndarray) -> np.ndarray:
+    """Scaled terms of the calibration."""
+    return np.column_stack([np.ones(len(differences)), differences * 20])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the constant is not penalised."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton's method; the constant is not penalised."""
     w = np.zeros(x.shape[1])
     keep = ridge * np.eye(x.shape[1])
     keep[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + keep, x.T @ (weight * (y - p)) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rules: FitRules) -> list[tuple[int, str, int]]:
-    """At most ``most_rows`` (doc_id, text, label), first in hash order; the bound is checked before texts move.
-
-    The sample is drawn on the narrow label table, half a label at most from either
-    side, then joined to its texts by a broadcast of the drawn ids.
-    """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    half = rules.most_rows // 2
-    parts = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for q in (0, 1)]
-    drawn = parts[0].unionByName(parts[1])
-    text = doc_columns(docs).select("doc_id", F.substring("text", 1, 4 * rules.sample_chars).alias("text"))
-    rows = text.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rules.most_rows)
-    return [(r.doc_id, r.text or "", r.quality) for r in rows.collect()]
+def encoded(texts: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "replace") for t in texts.to_pylist()]
 
 
-def dictionary(texts: list[bytes], rules: FitRules) -> bytes:
-    """Evenly taken pieces of the texts, up to the dictionary's size."""
-    if not texts:
-        return b"."
-    share = max(64, rules.dictionary_bytes // len(texts))
-    return b"\n".join(t[:share] for t in texts)[-rules.dictionary_bytes :]
+def dictionary(pieces: list[bytes], rules: FitRules) -> bytes:
+    """A trained dictionary; of too little text, the text itself."""
+    size = min(rules.dictionary_bytes, sum(map(len, pieces)) // 4)
+    try:
+        return zstandard.train_dictionary(size, pieces, k=rules.segment, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(pieces)[-rules.dictionary_bytes :] or b"."
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: FitRules | None = None) -> Model:
-    """A model from the labelled rows of ``labels``; pass only rows that may be learnt from."""
+    """A model from the labelled rows of ``labels``; pass only rows that may be learnt from.
+
+    The sample is drawn on the narrow label table and then joined to its texts by a
+    broadcast of the drawn ids, whose number is bounded; the texts stay on the executors.
+    """
     rules = rules or FitRules()
-    rows = labelled_sample(docs, labels, rules)
-    base = math.log((sum(y for *_, y in rows) + 1) / (sum(1 - y for *_, y in rows) + 1)) if rows else 0.0
-    sides = {q: [t.encode("utf-8", "replace")[: rules.sample_chars] for i, t, y in rows if y == q and i % 2 == 0] for q in (1, 0)}
-    made = [dictionary([f(t) for t in sides[q]], rules) for f in (bytes, shape) for q in (1, 0)]
-    model = Model(tuple(made), np.array([base, 0, 0, 0, 0]), rules.block_bytes, rules.level)
-    held = [(t, y) for i, t, y in rows if i % 2]
-    if not sides[0] or not sides[1] or len({y for _, y in held}) < 2:
-        return model
-    c = model.compressors()
-    x = np.array([model.features(t.encode("utf-8", "replace"), c) for t, _ in held])
-    return Model(model.dictionaries, logistic(design(x), np.array([y for _, y in held], float)), rules.block_bytes, rules.level)
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    n = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    blank = Model((b".",) * 4, np.array([math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)) if n else 0.0, 0, 0]), rules.block_bytes, rules.level)
+    half = rules.most_rows // 2
+    parts = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for q in (0, 1)]
+    drawn = parts[0].unionByName(parts[1]).withColumn("learn", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0)
+    rows = doc_columns(docs).join(F.broadcast(drawn), "doc_id")
+    # stretches at even distances, one for a short text
+    last = F.greatest(F.length("text") - rules.piece_chars, F.lit(0))
+    every = F.transform(F.sequence(F.lit(0), F.lit(rules.pieces - 1)), lambda i: F.substring("text", F.floor(i * last / (rules.pieces - 1)).cast("int") + 1, F.lit(rules.piece_chars)))
+    whole = F.length("text") <= rules.pieces * rules.piece_chars
+    learnt = rows.where("learn").select("doc_id", "quality", F.explode(F.when(whole, F.array("text")).otherwise(every)).alias("piece")).collect()
+    sides = {q: [r.piece.encode("utf-8", "replace") for r in sorted(learnt, key=lambda r: (r.doc_id, r.piece)) if r.quality == q and r.piece] for q in (1, 0)}
+    if not sides[0] or not sides[1]:
+        return blank
+    model = Model(tuple(dictionary([f(p) for p in sides[q]], rules) for f in (bytes, shape) for q in (1, 0)), blank.slope, rules.block_bytes, rules.level)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = model.compressors()
+        for b in chunks(batches):
+            x = np.array([model.differences(t, c) for t in encoded(b.column("text"))]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "quality", "x", "z"])
+
+    held = sorted(map(tuple, rows.where("NOT learn").select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x double, z double").collect()))
+    y = np.array([r[1] for r in held], float)
+    if len(set(y)) < 2:
+        return blank
+    weight = np.where(y > 0, n[1] / (y > 0).sum(), n[0] / (y == 0).sum())
+    return Model(model.dictionaries, logistic(design(np.array([r[2:] for r in held])), y, weight * len(y) / weight.sum()), rules.block_bytes, rules.level)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -146,7 +158,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.compressors()
         for b in chunks(batches):
-            x = np.array([model.features(t.encode("utf-8", "replace"), c) for t in b.column("text").to_pylist()])
+            x = np.array([model.differences(t, c) for t in encoded(b.column("text"))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, score double")
@@ -159,7 +171,7 @@ def select(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.compressors()
         for b in chunks(batches):
-            x = np.array([model.features((t or "").encode("utf-8", "replace"), c) for t in b.column(at).to_pylist()])
+            x = np.array([model.differences(t, c) for t in encoded(b.column(at))])
             yield b.filter(pa.array(model.score(x) >= threshold))
 
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
