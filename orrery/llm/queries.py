@@ -53,7 +53,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen arrivals of ``documents`` as shards, compacted; each row with the shard of the version reached."""
+    """Sixteen arrivals of ``documents`` as shards, compacted; the rows of the version reached, and whether it has fewer shards."""
     import uuid
 
     from .arrow import checkpoint_dir
@@ -61,11 +61,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}", docs.schema)
-    store.append_all(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    last = store.append_all(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)))[-1:]
+    before = store.manifest(last[0]).count() if last else 0
     version = store.compact()
+    fewer = store.manifest(version).count() < before
     store.vacuum()
-    rows = store.read(version)
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"))
+    return store.read(version).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), F.lit(fewer).alias("compacted"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +127,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op5_quality_rules": sql.QUALITY_RULES,
     "op6_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op7_sharding": sql.SHARDING,
     "op9_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_near_dedup": sql.NEAR_DEDUP,
 }

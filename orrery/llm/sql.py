@@ -1,19 +1,25 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-QUALITY_RULES = r"""
+from .quality_rules import BOILERPLATE, ENDS, SEPARATORS
+
+#: The phrases and limits are those of quality_rules.
+QUALITY_RULES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 w AS (
   SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS own,
-    length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols
+    length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1) AS final
   FROM l),
+s AS (SELECT *, n BETWEEN 1 AND 4 AND NOT contains('{ENDS}', final) AS listed FROM w),
+u AS (SELECT *, sum((NOT listed)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s),
+v AS (SELECT *, listed AND count(*) FILTER (WHERE listed) OVER (PARTITION BY doc_id, island) >= 4 AS in_list FROM u),
 j AS (
   SELECT *, n > 0 AND row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup,
-    n > 0 AND (regexp_matches(line, '(?i)licensed under|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|sign up for our newsletter|subscribe to our|skip to content')
-      OR length(regexp_replace(line, '[^|»·]', '', 'g')) > 0.2 * n
+    n > 0 AND (regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')
+      OR length(regexp_replace(line, '[^{SEPARATORS}]', '', 'g')) > 0.2 * n
       OR (n > 2 AND length(regexp_replace(line, '[^!]', '', 'g')) > 0.25 * n)
-      OR symbols > 0.05 * length(line)) AS bad
-  FROM w),
+      OR symbols > 0.05 * length(line) OR in_list OR count(*) OVER (PARTITION BY doc_id, line) >= 4) AS bad
+  FROM v),
 a AS (
   SELECT doc_id, sum(n)::BIGINT AS n_words, sum(own)::BIGINT AS word_chars, sum(symbols)::BIGINT AS n_symbols, (count(*) FILTER (WHERE dup))::BIGINT AS n_dup_lines,
     (count(*) FILTER (WHERE bad))::BIGINT AS n_removed_lines, coalesce(sum(own) FILTER (WHERE bad), 0)::BIGINT AS lost_chars
@@ -86,3 +92,6 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.component_id, x.vec_id) AS component_id, coalesce(m.component_id, x.vec_id) = x.vec_id AS kept
 FROM x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN m ON m.node = x.vec_id
 """
+
+#: Every row once and unchanged, in fewer shards than arrived.
+SHARDING = """SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS text_md5, true AS compacted FROM documents"""
