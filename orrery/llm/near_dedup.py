@@ -12,8 +12,9 @@ one cluster. A cluster of up to ``cluster_rows`` sets is compared in one task, a
 matrices. In a larger one the member nearest to the most frequent signature values
 becomes the hub; in a group of near copies that is the text they were made from, so
 most members link to it directly. Only members outside of the hub's component are
-then compared with the whole cluster, in bounded blocks. Every pair that shares a
-bucket is so either compared on full shingle sets or already connected.
+then compared, with those that share a bucket with them, bucket by bucket in bounded
+blocks. Every pair that shares a bucket is so either compared on full shingle sets or
+already connected.
 
 Edge cases: null or empty text has no shingles and is linked with nothing; a text of
 fewer words than a shingle is one shingle; equal sets are one node, so groups of
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrow import chunks, cut, doc_columns
 from .components import components, smallest_linked
-from .repeats import BASE, Hashes, U, mix, word_line
+from .hashing import BASE, Hashes, U, long_word_line, mix, word_line
 
 
 @dataclass(frozen=True)
@@ -49,19 +50,31 @@ class NearRules:
     drawn: int = 64
 
 
+#: Bytes of a text that is read in pieces, and shingles ranked at once.
+LONG = 1 << 20
+RANKED = 1 << 17
+
+
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text, ASCII letters lower-cased."""
-    symbols, per, _, _ = word_line([t.lower() for t in texts])
+    short = [t for t in texts if len(t) <= LONG]
+    symbols, per, _, _ = word_line([t.lower() for t in short])
     h = Hashes(symbols)
-    out, at = [], 0
-    for n in per.tolist():
+    ends = np.cumsum(per)
+    each = iter(zip((ends - per).tolist(), per.tolist(), strict=True))
+
+    def set_of(h: Hashes, at: int, n: int) -> np.ndarray:
         width = min(shingle, n)
-        if n:
-            i = np.arange(at, at + n - width + 1)
-            out.append(np.unique(h.of(i, i + width) + U(width)))
-        else:
-            out.append(np.empty(0, U))
-        at += n
+        i = np.arange(at, at + n - width + 1)
+        return np.unique(h.of(i, i + width) + U(width)) if n else np.empty(0, U)
+
+    out = []
+    for t in texts:
+        if len(t) <= LONG:
+            out.append(set_of(h, *next(each)))
+        else:  # in pieces, so that no array but those of its words follows its length
+            own = long_word_line(t.lower())[0]
+            out.append(set_of(Hashes(own), 0, len(own)))
     return out
 
 
@@ -69,27 +82,34 @@ STEPS = np.arange(1, 512, 2, dtype=U) * BASE
 
 
 def super_minhash(sets: list[np.ndarray], size: int) -> np.ndarray:
-    """Signatures, one row a set; a value holds its step in the high byte and the rank below it."""
+    """Signatures, one row a set; a value holds its step in the high byte and the rank below it.
+
+    Shingles are ranked ``RANKED`` at a time; a later part of a set starts from what the
+    parts before it gave, so it stops the earlier.
+    """
     sig = np.full((len(sets), size), np.iinfo(np.uint64).max, U)
     flat = sig.reshape(-1)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    seed = np.concatenate(sets) if sets else np.empty(0, U)
-    perm = np.broadcast_to(np.arange(size, dtype=np.uint8), (len(seed), size)).copy()
-    row = np.arange(len(seed))
-    for j in range(size):
-        if not len(seed):
-            break
-        x = mix(seed + STEPS[j])
-        rank = (U(j) << U(56)) | (x >> U(8))
-        k = (mix(x ^ U(0x2545F4914F6CDD1D)) % U(size - j)).astype(np.int64) + j
-        taken = perm[row, k]
-        perm[row, k] = perm[:, j]
-        np.minimum.at(flat, owner * size + taken, rank)
-        done = (sig < (U(j + 1) << U(56))).all(axis=1)
-        live = ~done[owner]
-        if not live.all():
-            seed, owner, perm = seed[live], owner[live], perm[live]
-            row = np.arange(len(seed))
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    seeds = np.concatenate(sets) if sets else np.empty(0, U)
+    for part in range(0, len(seeds), RANKED):
+        seed, owner = seeds[part : part + RANKED], owners[part : part + RANKED]
+        own = slice(int(owner[0]), int(owner[-1]) + 1)
+        perm = np.broadcast_to(np.arange(size, dtype=np.uint8), (len(seed), size)).copy()
+        row = np.arange(len(seed))
+        for j in range(size):
+            x = mix(seed + STEPS[j])
+            rank = (U(j) << U(56)) | (x >> U(8))
+            k = (mix(x ^ U(0x2545F4914F6CDD1D)) % U(size - j)).astype(np.int64) + j
+            taken = perm[row, k]
+            perm[row, k] = perm[:, j]
+            np.minimum.at(flat, owner * size + taken, rank)
+            done = (sig[own] < (U(j + 1) << U(56))).all(axis=1)
+            live = ~done[owner - own.start]
+            if not live.all():
+                seed, owner, perm = seed[live], owner[live], perm[live]
+                row = np.arange(len(seed))
+                if not len(seed):
+                    break
     return sig
 
 
@@ -238,31 +258,39 @@ def hubs_of(nodes: DataFrame, rules: NearRules) -> DataFrame:
     return near.groupBy("cluster").agg(F.max_by("node", F.struct("agree", -F.col("node"))).alias("hub"))
 
 
-def across(nodes: DataFrame, labels: DataFrame, hubs: DataFrame, rules: NearRules) -> DataFrame | None:
-    """Links between members outside of their hub's component and all members of the cluster; None if there are none."""
+def across(nodes: DataFrame, banded: DataFrame, labels: DataFrame, hubs: DataFrame, rules: NearRules) -> DataFrame | None:
+    """Links between members outside of their hub's component and the members that share a bucket with them; None if there are none.
+
+    Pairs meet by bucket. Buckets with the same members are one, and a bucket whose
+    members are all connected already is none. A bucket is compared in bounded blocks.
+    """
     own = labels.select(F.col("node"), F.col("component").alias("own"))
     x = nodes.select("cluster", "node").join(own, "node", "left").select("cluster", "node", F.coalesce("own", "node").alias("own"))
     main = hubs.join(own.select(F.col("node").alias("hub"), F.col("own").alias("main")), "hub", "left").select("cluster", F.coalesce("main", "hub").alias("main"))
-    x = cut(x.join(main, "cluster").select("cluster", "node", "own", (F.col("own") != F.col("main")).alias("outside")))
-    size = x.groupBy("cluster").agg(F.count(F.when(F.col("outside"), 1)).alias("o"), F.count("*").alias("m")).where("o > 0")
+    x = x.join(main, "cluster").select("node", "own", (F.col("own") != F.col("main")).alias("outside"))
+    x = cut(banded.select(F.col("rep").alias("node"), "bucket").join(x, "node"))
+    size = x.groupBy("bucket").agg(F.count(F.when(F.col("outside"), 1)).alias("o"), F.count("*").alias("m"), F.min("own").alias("a"), F.max("own").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
+    size = size.where("o > 0 AND a < b").groupBy("members", "m", "o").agg(F.min("bucket").alias("bucket"))
     parts = lambda c: F.ceil(F.col(c) / rules.hub_members).cast("int")
-    size = size.select("cluster", parts("o").alias("lefts"), parts("m").alias("rights"))
+    size = cut(size.select("bucket", parts("o").alias("lefts"), parts("m").alias("rights")))
     if size.isEmpty():
         return None
-    x = x.join(size, "cluster").join(nodes.select("node", "grams"), "node")
+    x = x.join(size, "bucket").join(nodes.select("node", "grams"), "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = x.where("outside").select("cluster", deal("lefts").alias("l"), every("rights").alias("r"), "node", "own", "grams")
-    right = x.select(F.col("cluster").alias("c2"), every("lefts").alias("l2"), deal("rights").alias("r2"), F.col("node").alias("node2"), F.col("own").alias("own2"), F.col("grams").alias("grams2"))
+    left = x.where("outside").select("bucket", deal("lefts").alias("l"), every("rights").alias("r"), "node", "own", "grams")
+    right = x.select(F.col("bucket").alias("b2"), every("lefts").alias("l2"), deal("rights").alias("r2"), F.col("node").alias("node2"), F.col("own").alias("own2"), F.col("grams").alias("grams2"))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
-        links = linked(grams_of(a), grams_of(b, "grams2"), rules.percent)
-        links &= a.column("own").to_numpy()[:, None] != b.column("own2").to_numpy()[None]
+        apart = a.column("own").to_numpy()[:, None] != b.column("own2").to_numpy()[None]
+        if not apart.any():
+            return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        links = linked(grams_of(a), grams_of(b, "grams2"), rules.percent) & apart
         return forest(links, a.column("node").to_numpy(), b.column("node2").to_numpy())
 
-    return left.groupBy("cluster", "l", "r").cogroup(right.groupBy("c2", "l2", "r2")).applyInArrow(compare, EDGES)
+    return left.groupBy("bucket", "l", "r").cogroup(right.groupBy("b2", "l2", "r2")).applyInArrow(compare, EDGES)
 
 
 def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
@@ -286,7 +314,7 @@ def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFram
         hubs = cut(hubs_of(large, rules))
         pairs = large.select("cluster", "node").join(hubs, "cluster").where("node <> hub").select(F.col("node").alias("a"), "hub")
         to_hub = cut(verified(pairs, large.select(F.col("node").alias("doc_id"), "grams"), rules))
-        more = across(large, components(to_hub), hubs, rules)
+        more = across(large, banded, components(to_hub), hubs, rules)
         links = links.unionByName(to_hub)
         links = links.unionByName(cut(more)) if more is not None else links
     labels = components(links)
