@@ -6,8 +6,11 @@ order of summed distances (multi-sequence traversal of the product grid), as man
 reach the target recall for neighbours at the threshold. All vectors of a visited
 cell are then verified in double precision.
 
-Codebooks and the number of visits are fitted on a bounded sample (``fit_rows``,
-first in hash order); every vector is indexed. Rows with equal vectors are one node.
+Codebooks and the number of visits are fitted on a bounded sample (16 rows a codeword,
+``fit_rows`` at least and ``most_fit_rows`` at most, first in hash order); every vector is
+indexed. A cell holds about ``cell_rows`` vectors up to ``most_codes`` squared cells, that
+is, 1.6 billion vectors; beyond, cells grow. Visits are as many as the target recall
+needs, up to the whole grid. Rows with equal vectors are one node.
 A cell is dealt in parts of residents against parts of visitors, so a full cell is
 many bounded tasks; a task compares its two sides as matrices and gives out counts
 and a spanning forest, never the pairs.
@@ -42,8 +45,9 @@ class IndexRules:
     threshold: float = 0.9
     target_recall: float = 0.98
     fit_rows: int = 8192
+    most_fit_rows: int = 65_536
     cell_rows: int = 96
-    most_codes: int = 256
+    most_codes: int = 4096
     rounds: int = 12
     block: int = 512
 
@@ -101,6 +105,11 @@ def codebook(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     return c
 
 
+def codes_for(n_rows: int, rules: IndexRules) -> int:
+    """Codewords of a half that give cells of about ``cell_rows`` vectors."""
+    return min(rules.most_codes, max(2, round(math.sqrt(n_rows / rules.cell_rows))))
+
+
 def fit(sample: np.ndarray, n_rows: int, rules: IndexRules) -> Index:
     """Codebooks from unit vectors, sized for ``n_rows``; visits from made neighbours at the threshold.
 
@@ -108,7 +117,7 @@ def fit(sample: np.ndarray, n_rows: int, rules: IndexRules) -> Index:
     """
     width = sample.shape[1]
     sample = np.unique(np.round(sample, 9), axis=0)
-    k = int(min(rules.most_codes, max(2, round(math.sqrt(n_rows / rules.cell_rows))), max(1, len(sample) // 8)))
+    k = int(min(codes_for(n_rows, rules), max(1, len(sample) // 8)))
     half = max(1, width // 2)
     index = Index((codebook(sample[:, :half], k, rules.rounds), codebook(sample[:, half:], k, rules.rounds, 8)), 1, width)
     rng = np.random.default_rng(9)
@@ -119,16 +128,23 @@ def fit(sample: np.ndarray, n_rows: int, rules: IndexRules) -> Index:
     t = rules.threshold
     y = t * x + math.sqrt(max(0.0, 1 - t * t)) * noise
     grid = len(index.books[0]) * len(index.books[1])
-    depth = min(grid, 1024)
-    cx, cy = index.cells(x, depth), index.cells(y, depth)
 
-    def rank(cells: np.ndarray, of: np.ndarray) -> np.ndarray:
-        hit = cells == of[:, None]
-        return np.where(hit.any(1), hit.argmax(1), depth)
+    def ranks(depth: int) -> np.ndarray:
+        """Visits that find each made neighbour; beyond ``depth``, ``depth``."""
+        cx, cy = index.cells(x, depth), index.cells(y, depth)
+        found = []
+        for cells, of in ((cx, cy[:, 0]), (cy, cx[:, 0])):
+            hit = cells == of[:, None]
+            found.append(np.where(hit.any(1), hit.argmax(1), depth))
+        return np.sort(np.minimum(*found))
 
-    best = np.sort(np.minimum(rank(cx, cy[:, 0]), rank(cy, cx[:, 0])))
-    visits = int(best[min(len(best) - 1, math.ceil(rules.target_recall * len(best)) - 1)]) + 1
-    return Index(index.books, min(visits, grid), width)
+    depth = min(grid, 1024)
+    best = ranks(depth)
+    at = min(len(best) - 1, math.ceil(rules.target_recall * len(best)) - 1)
+    while best[at] >= depth < grid:
+        depth = min(grid, 4 * depth)
+        best = ranks(depth)
+    return Index(index.books, min(int(best[at]) + 1, grid), width)
 
 
 def unit_rows(batch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +167,7 @@ def unit_rows(batch, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def index_for(vectors: DataFrame, n: int, width: int, rules: IndexRules) -> Index:
     """An index for the ``n`` sound vectors of length ``width``."""
-    drawn = vectors.where(valid(width)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(rules.fit_rows).select("embedding").toArrow()
+    drawn = vectors.where(valid(width)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(rules.most_fit_rows, max(rules.fit_rows, 16 * codes_for(n, rules)))).select("embedding").toArrow()
     return fit(unit_rows(drawn, width)[0], n, rules)
 
 
@@ -163,7 +179,7 @@ def valid(width: int | None = None):
     return F.coalesce(F.col("vec_id").isNotNull() & long & sound, F.lit(False))
 
 
-PLACED = "vec_id long, copies long, home long, cell long, visits array<long>, embedding array<double>"
+PLACED = "vec_id long, copies long, home long, cell long, visits array<long>, embedding"
 
 
 def placed(nodes: DataFrame, index: Index) -> DataFrame:
@@ -186,7 +202,8 @@ def placed(nodes: DataFrame, index: Index) -> DataFrame:
                            pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.reshape(-1))), b.column("embedding").take(row)]
                 yield pa.RecordBatch.from_arrays(columns, ["vec_id", "copies", "home", "cell", "visits", "embedding"])
 
-    return nodes.select("vec_id", "copies", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, PLACED)
+    kind = nodes.schema["embedding"].dataType.simpleString()  # vectors travel as they came, and meet in double precision
+    return nodes.select("vec_id", "copies", "embedding").mapInArrow(run, f"{PLACED} {kind}")
 
 
 def cell_links(placements: DataFrame, index: Index, rules: IndexRules) -> DataFrame:
