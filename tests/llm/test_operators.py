@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,30 @@ def test_quality_rules(spark):
     assert quality_rules.clean(df).columns == df.columns
 
 
+LINE_TEXTS = [
+    "wow!\xa0ok\xa0yes!", "a!\u3000b! c!\nplain words here", "Home\nAbout us\nNews\nContact\nA sentence that ends.\nHome", "one\ntwo\nthree\nStop.", "one\n\ntwo\nthree\nfour\nfive\nsix",
+    "Read more\nx. " * 5, "same line here now please\n" * 4, "same line here now please\n" * 3, "a | b\n» c » d\n• e", "Tous Droits RÉSERVÉS 2020.\nUn texte.", "ends with a quote”\nshort)\nx\ny\nz \t", " \x0b\n\x1c\n#$ x", "Hello!!! you there",
+    "ﬁn\nẞ\nǅ x\nok\nInfo", None, "",
+]
+
+
+def test_quality_rules_of_lines(spark):
+    """Odd white space, menus, repeated lines and phrases against the SQL."""
+    import duckdb
+
+    from orrery.llm.sql import QUALITY_RULES
+
+    got = quality_rules.apply_rules(corpus(spark, LINE_TEXTS), with_text=False)
+    documents = pa.table({"doc_id": list(range(len(LINE_TEXTS))), "text": LINE_TEXTS})  # noqa: F841
+    want = duckdb.sql(QUALITY_RULES).fetchall()
+    names = [d[0] for d in duckdb.sql(QUALITY_RULES).description]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want)
+    rules = quality_rules.LineRules()
+    lines = ["Home", "About us", "News", "Contact", "A sentence that ends.", "x"]
+    assert quality_rules.faults(lines, [1, 2, 1, 1, 4, 1], rules) == [True] * 4 + [False] * 2
+    assert rules.fault("alle Rechte vorbehalten", 3) == "boilerplate" and rules.fault("eins › zwei", 3) == "navigation"
+
+
 def test_packing(spark):
     path = tokenizers.path("byte_bpe_50k.json")
     tok = load_tokenizer(path)
@@ -185,10 +210,10 @@ def test_substring_dedup(spark):
     df = corpus(spark, TEXTS).repartition(5, "doc_id")
     got = {r.doc_id: (r.n_symbols, r.n_removed, bytes(r.kept)) for r in substring_dedup.dedup_words(df).collect()}
     assert got == brute_words(TEXTS, 20)
-    odd = df.withColumn("kept", F.lit("k")).withColumn("n_removed", F.lit(7)).withColumn("_bucket", F.lit(1.5))
+    odd = df.withColumn("kept", F.lit("k")).withColumn("n_removed", F.lit(7)).withColumn("_bucket", F.lit(1.5)).withColumn("block", F.lit("b"))
     out = substring_dedup.clean(odd)
     assert out.columns == odd.columns and {tuple(r) for r in out.select("kept", "n_removed", "_bucket").distinct().collect()} == {("k", 7, 1.5)}
-    assert substring_dedup.dedup_words(odd).columns == [*df.columns, "n_symbols", "n_removed", "n_spans", "kept"]
+    assert substring_dedup.dedup_words(odd).columns == [*df.columns, "_bucket", "block", "n_symbols", "n_removed", "n_spans", "kept"]
     assert substring_dedup.dedup_words(corpus(spark, EMPTY)).count() == 0
 
 
@@ -200,9 +225,11 @@ def test_large_groups_are_split(spark):
     phrase = " ".join(f"p{i}" for i in range(9))
     tail = " ".join(f"q{i}" for i in range(15))
     texts = [" ".join(f"w{rng.randrange(1000)}" for _ in range(15)) + f" {phrase} " + (tail if i % 4 == 0 else " ".join(f"w{rng.randrange(1000)}" for _ in range(15))) for i in range(80)]
-    spec = Spec(words=True, length=20, gram=8, keep_first=True, group_limit=4)
-    got = {r.doc_id: (r.n_symbols, r.n_removed, bytes(r.kept)) for r in without_repeats(corpus(spark, texts), spec, substring_dedup.deep_nodes).collect()}
-    assert got == brute_words(texts, 20)
+    texts += texts[:40]  # equal copies of the whole phrase, too
+    for limit, block in ((4, 2 << 20), (4, 2000), (1, 500), (4096, 2000)):
+        spec = Spec(words=True, length=20, gram=8, keep_first=True, group_limit=limit, block_bytes=block, batch_bytes=3000)
+        got = {r.doc_id: (r.n_symbols, r.n_removed, bytes(r.kept)) for r in without_repeats(corpus(spark, texts).repartition(3, "doc_id"), spec, substring_dedup.earlier_windows).collect()}
+        assert got == brute_words(texts, 20)
 
 
 def brute_bytes(texts, window):
@@ -219,21 +246,69 @@ def brute_bytes(texts, window):
     return {i: (len(b), sum(m), hashlib.sha256(bytes(x for x, g in zip(b, m, strict=True) if not g)).hexdigest()) for i, (b, m) in enumerate(zip(raw, masks, strict=True))}
 
 
-@pytest.mark.parametrize("limit", [2, 64])
-def test_suffix_dedup(spark, limit):
+@pytest.mark.parametrize(("limit", "block"), [(2, 2 << 20), (2, 3000), (4096, 3000)])
+def test_suffix_dedup(spark, limit, block):
     from orrery.llm.repeats import Spec, without_repeats
 
-    spec = Spec(words=False, length=100, gram=50, keep_first=False, group_limit=limit)
+    spec = Spec(words=False, length=100, gram=50, keep_first=False, group_limit=limit, block_bytes=block, batch_bytes=5000)
     got = {r.doc_id: (r.n_symbols, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in without_repeats(corpus(spark, TEXTS), spec, suffix_dedup.repeated_windows).collect()}
     assert got == brute_bytes(TEXTS, 100)
     assert suffix_dedup.dedup_bytes(corpus(spark, EMPTY)).count() == 0
 
 
+def test_nothing_is_removed_but_by_the_resolver(spark):
+    """Hashes deal contexts; with a resolver that finds nothing, only further copies of a whole context in a block go, and none where all copies go."""
+    from orrery.llm.repeats import Spec, without_repeats
+
+    nothing = lambda contexts, span, *_: np.zeros(span.sum(), bool)
+    for limit in (2, 4096):
+        out = without_repeats(corpus(spark, TEXTS), Spec(words=False, length=100, gram=50, keep_first=False, group_limit=limit), nothing)
+        assert out.agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_repeats_in_long_texts(spark, monkeypatch):
+    """Texts longer than a line are read in overlapping lines; the result is the same."""
+    from orrery.llm import repeats
+
+    monkeypatch.setattr(repeats, "LINE", 300)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
+    passage = " ".join(word() for _ in range(70))
+    texts = [" ".join(word() for _ in range(200)) + "\n" + passage + "  " + " ".join(word() for _ in range(rng.randrange(400))) for _ in range(6)]
+    runs = repeats.runs_of([t.encode() for t in texts], repeats.Spec(words=True, length=20, gram=8, keep_first=True))
+    assert runs["span"].sum() == sum(len(t.split()) - 19 for t in texts)
+    for t in texts:
+        starts = np.array(sorted(rng.sample(range(len(t.split()) - 20), 5)))
+        gone = {i for s in starts.tolist() for i in range(s, s + 20)}
+        want = b" ".join(w for i, w in enumerate(t.encode().split()) if i not in gone)
+        got = repeats.without(t.encode(), starts, repeats.Spec(words=True, length=20, gram=8, keep_first=True))
+        assert (got[0], got[1], got[3]) == (len(t.split()), len(gone), want)
+
+
+def test_prefix_sets_and_nodes():
+    rng = np.random.default_rng(3)
+    line = np.concatenate([rng.integers(1, 4, 400), [0]])
+    places = np.arange(380)
+    for most in (1, 7, 1000):
+        seen = []
+        for k, leaves in substring_dedup.prefix_sets(line, places, 6, most):
+            heads = [tuple(line[p : p + k]) for p in leaves]
+            assert heads == sorted(heads) and (k == 6 or max(heads.count(x) for x in set(heads)) <= most)
+            order, node = substring_dedup.deep_nodes(line, leaves, 8)
+            for a, b, same in zip(order[:-1], order[1:], node[1:] == node[:-1], strict=True):
+                assert same == (a + 8 <= len(line) and b + 8 <= len(line) and (line[a : a + 8] == line[b : b + 8]).all())
+            seen += leaves.tolist()
+        assert sorted(seen) == places.tolist()
+
+
 def test_two_stage_sort():
     rng = random.Random(1)
     for _ in range(200):
         a = [rng.randrange(rng.choice([1, 2, 6])) for _ in range(rng.randrange(1, 60))]
-        assert suffix_dedup.two_stage_sort(np.array(a), 100).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+        want = sorted(range(len(a)), key=lambda i: a[i:])
+        assert suffix_dedup.two_stage_sort(np.array(a), 100).tolist() == want
+        some = np.array([rng.random() < 0.3 for _ in a])
+        assert [i for i in suffix_dedup.two_stage_sort(np.array(a), 100, some).tolist() if some[i]] == [i for i in want if some[i]]
 
 
 def near_truth(texts, shingle, percent):
@@ -336,6 +411,40 @@ def test_quality_model(spark):
     assert quality_model.select(df, model, 0.5).columns == df.columns
     none = quality_model.fit(df, labels.where("false"))
     assert {r.score for r in quality_model.score(df, none).collect()} == {0.5}
+    one = quality_model.fit(df, labels.where("quality = 1"))
+    assert len({r.score for r in quality_model.score(df, one).collect()}) == 1
+    assert quality_model.score(corpus(spark, EMPTY), model).count() == 0 and quality_model.select(corpus(spark, EMPTY), model).count() == 0
+    assert {r.score for r in quality_model.score(corpus(spark, [None, ""]), model).collect()} == {got[0]}
+
+
+def test_quality_scores_by_brute_force(spark):
+    """The size differences taken again from the model's dictionaries, and their logistic value."""
+    import zstandard
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["the", "Cat", "sat", "on", "a", "mat", "12"]) + ("." if rng.random() < 0.1 else "") for _ in range(rng.randrange(1, 2000))) for _ in range(60)]
+    texts += [" | ".join(rng.choice(["BUY", "now", "click", "99%"]) for _ in range(rng.randrange(1, 300))) for _ in range(60)]
+    df = corpus(spark, texts)
+    model = quality_model.fit(df, spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int"))
+    for r in quality_model.score(df, model).collect():
+        t, d = texts[r.doc_id].encode(), []
+        for view, pair in ((t, model.dictionaries[:2]), (quality_model.shape(t), model.dictionaries[2:])):
+            sizes = []
+            for own in pair:
+                c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(own), write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes.append(sum(len(c.compress(view[i : i + 2048])) for i in range(0, len(view), 2048)))
+            d.append((sizes[1] - sizes[0]) / len(t))
+        z = model.slope[0] + 20 * (model.slope[1] * d[0] + model.slope[2] * d[1])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-12
+
+
+def test_quality_prior_does_not_follow_the_sample(spark):
+    """Scores keep the labels' own shares when half a label is drawn of either side."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"] if (i % 10) or rng.random() < 0.5 else ["cat", "mat", "buy", "now"]) for _ in range(40)) for i in range(600)]
+    df, labels = corpus(spark, texts), spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(600)], "doc_id long, quality int")
+    means = [quality_model.score(df, quality_model.fit(df, labels, quality_model.FitRules(most_rows=n))).agg(F.avg("score")).first()[0] for n in (120, 6000)]
+    assert abs(means[0] - 0.9) < 0.06 and abs(means[1] - 0.9) < 0.06
 
 
 def test_shards(spark, tmp_path):
@@ -352,12 +461,50 @@ def test_shards(spark, tmp_path):
     with pytest.raises(sharding.VersionTaken):
         store.commit(store.manifest(), 7)
     assert store.append(df.limit(0)) == 8 and key(store.read()) == key(df)
-    assert store.compact() == 8
+    assert store.compact() == 8 and key(store.read(3)) == key(df.where("doc_id % 6 < 3"))
     assert store.vacuum() > 0 and key(store.read()) == key(df)
     many = sharding.ShardStore(spark, str(tmp_path / "t"), df.schema)
     assert many.append_all(df, F.col("doc_id") % 5) == [1, 2, 3, 4, 5]
     assert many.read(1).count() < many.read(5).count() == len(TEXTS)
 
 
+def test_shards_of_similar_size_are_merged(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id AS doc_id", "repeat(md5(string(id)), 8) AS text")
+    rules = sharding.TierRules(target_bytes=60_000, min_run=3)
+    store = sharding.ShardStore(spark, str(tmp_path), df.schema, rules)
+    for n in (1, 1, 1, 900, 900, 1):
+        store.append(df.where(f"doc_id < {n}").coalesce(1))
+    tiers = {r.path: (r.tier, r.rows) for r in store.manifest().collect()}
+    chosen = {r.path for r in store.plan(store.manifest()).collect()}
+    assert sorted(tiers[p] for p in chosen) == [max(tiers.values())] * 4  # the tiny ones only
+    store.compact()
+    assert sorted(r.rows for r in store.manifest().collect()) == [4, 900, 900] and store.read().count() == 1804
+
+
+def test_shards_with_other_writers(spark, tmp_path):
+    """Two writers at once lose nothing, and vacuum() spares what is about to be committed."""
+    df = corpus(spark, TEXTS).withColumn("_metadata", F.lit("m"))
+    store, other = (sharding.ShardStore(spark, str(tmp_path), df.schema) for _ in range(2))
+    for i in range(5):
+        store.append(df.where(F.col("doc_id") % 6 == i).coalesce(1))
+    commit, late = store.commit, []
+
+    def slow(entries, version, base=False):
+        if not late:  # while this writer is about to commit, another appends and cleans up
+            late.append(other.append(df.where("doc_id % 6 = 5").coalesce(1)))
+            other.vacuum()
+        return commit(entries, version, base)
+
+    store.commit = slow
+    assert store.append(df.limit(3).coalesce(1)) == 7 and late == [6]
+    late.clear()
+    other.append = lambda rows: sharding.ShardStore.append(other, df.limit(2).coalesce(1))
+    assert store.compact() >= 9 and late == [8]
+    store.vacuum()
+    key = lambda d: sorted((r.doc_id, r.text or "", r._metadata) for r in d.collect())
+    assert key(store.read()) == sorted(key(df) + key(df.limit(3)) + key(df.limit(2)))
+    assert not list((tmp_path / "open").glob("[!.]*"))
+
+
 def test_crc_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\x01\x00\x00\x00")).alias("c")).first().c == zlib.crc32(b"\x01\x00\x00\x00")

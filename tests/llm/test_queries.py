@@ -1,6 +1,7 @@
 """The registered queries against their SQL, the pipeline end to end, at the smallest scale."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from orrery.llm.queries import ORACLE_SQL, QUERIES
@@ -27,14 +28,38 @@ def test_query(spark, name):
 
 
 def test_pipeline(spark):
+    """Every stage against a brute-force version of it, on what the stage before it kept."""
     import corpus_pipeline
+    from orrery.llm import quality_model, quality_rules, queries
+    from orrery.llm.words import load_tokenizer
+
+    from .test_operators import brute_words, near_truth
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    columns, raw = docs.columns, docs
+    now = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF).cache()
-        now = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert docs.columns == columns and now and now <= ids, name
-        ids = now
+        got = {r.doc_id: r.text for r in docs.collect()}
+        assert docs.columns == columns and got and set(got) <= set(now), name
+        if name == "quality_rules":
+            judged = {i: quality_rules.judge(t or "", quality_rules.LineRules()) for i, t in now.items()}
+            want = {i: j[-1] for i, j in judged.items() if j[-2]}
+        elif name == "quality_classifier":
+            model = queries.quality_model(spark, raw, SF)
+            x = np.array([model.differences(t.encode(), model.compressors()) for t in now.values()])
+            want = {i: t for (i, t), s in zip(now.items(), model.score(x), strict=True) if s >= 0.3}
+            assert isinstance(model, quality_model.Model)
+        elif name == "near_dedup":
+            ids = sorted(now)
+            truth = near_truth([now[i] for i in ids], 5, 80)
+            want = {i: now[i] for k, i in enumerate(ids) if truth[k][1] == k}
+        else:
+            ids = sorted(now)
+            truth = brute_words([now[i] for i in ids], 20)
+            want = {i: truth[k][2].decode() if truth[k][1] else now[i] for k, i in enumerate(ids)}
+        assert got == want, name
+        now = got
+    tok = load_tokenizer(queries.tokenizer_file("byte_bpe_50k.json"))
     pieces = corpus_pipeline.run(spark, SF).groupBy("doc_id").sum("length").collect()
-    assert {r.doc_id for r in pieces} == ids
+    assert {r.doc_id: r[1] for r in pieces} == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in now.items()}
