@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
-of ``documents``.
+of ``documents``, others that docs may have included.
+
+Edge cases: null text counts as empty, and an empty text fails the quality rules; rows
+without doc_id are kept by near-dedup and count as the least in substring dedup; repeated
+rows are one document to near-dedup; an empty table passes through all stages as an empty
+table; a very long text is held by one task at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import near_dedup, packing, quality_model, quality_rules, queries, substring_dedup
-from orrery.llm.arrow import checkpoint_dir
+from orrery.llm.arrow import checkpoint_dir, scratch
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents``; the stages' tables lie in the shared checkpoint folder."""
+    """The packed pieces of ``documents``; the stages' tables lie in the shared checkpoint folder.
+
+    What a stage writes for itself goes when its table is there.
+    """
     docs = queries.table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 from contextvars import ContextVar
@@ -13,11 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
+#: Bytes of a batch on its way to a worker and back; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session sends at most BATCH_BYTES at once to Python workers from now on.
+
+    By rows alone, 10,000 long texts make a batch that is held several times over.
+    """
+    conf = docs.sparkSession.conf
+    now = conf.get(BATCH_SETTING).rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return docs
 
 
 def doc_columns(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string) of ``docs``; null text becomes the empty text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -33,6 +49,14 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    tidy()
+
+
+def tidy() -> None:
+    """Gives unused memory back to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def offsets(column: pa.Array) -> np.ndarray:

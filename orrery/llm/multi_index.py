@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import cut
+from .arrow import bounded, cut
 from .components import components, smallest_linked
 
 
@@ -269,7 +269,7 @@ def nodes_of(rows: DataFrame, n: int, width: int, rules: IndexRules) -> DataFram
 def near_vectors(vectors: DataFrame, rules: IndexRules | None = None) -> DataFrame:
     """vec_id, n_links, component_id for every row of ``vectors`` (vec_id, embedding)."""
     rules = rules or IndexRules()
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    rows = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sizes = rows.where(valid()).groupBy(F.size("embedding").alias("width")).count().collect()
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

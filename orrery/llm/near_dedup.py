@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import chunks, cut, doc_columns
+from .arrow import chunks, cut, doc_columns, tidy
 from .components import components, smallest_linked
 from .hashing import BASE, Hashes, U, long_word_line, mix, word_line
 
@@ -157,6 +157,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, rules: NearRules) -> DataFra
         for b in chunks(batches):
             grams = [s.tobytes() for s in shingle_sets(batch_texts(b), rules.shingle)]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), b.column("n"), pa.array(grams, pa.binary())], ["node", "cluster", "n", "grams"])
+        tidy()
 
     texts = doc_columns(docs).withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
     return texts.mapInArrow(run, "node long, cluster long, n long, grams binary")

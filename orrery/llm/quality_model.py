@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import chunks, doc_columns
+from .arrow import bounded, chunks, doc_columns
 
 
 @dataclass(frozen=True)
@@ -174,4 +174,4 @@ def select(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             x = np.array([model.differences(t, c) for t in encoded(b.column(at))])
             yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
+    return bounded(docs).withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import chunks, doc_columns
+from .arrow import bounded, chunks, doc_columns
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Fixed phrases of boilerplate lines, in lower case.
@@ -171,4 +171,4 @@ def clean(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
                 cols[size] = pa.array([len(r[-1]) for r in out], b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(keep)
 
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
+    return bounded(docs).withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .arrow import blobs, cut, shuffle_partitions
+from .arrow import blobs, bounded, cut, shuffle_partitions
 from .distinct import blocks_of, opened, planes, sealed, stable, whole
 from .hashing import BASE, TABLE, Hashes, U, long_word_line, mix, word_line
 
@@ -198,7 +198,7 @@ def anchors(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def without_null(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return bounded(docs).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def packed_batch(rows: pa.RecordBatch) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -78,9 +79,14 @@ class Memo:
     """
 
     def __init__(self, path: str, most: int = MEMO_UNITS, most_bytes: int = MEMO_BYTES):
-        self.tok, self.ranked, self.most, self.most_bytes = load_tokenizer(path), ranked(path), most, most_bytes
+        self.path, self.ranked, self.most, self.most_bytes = path, ranked(path), most, most_bytes
         self.clear()
 
+    @functools.cached_property
+    def tok(self):
+        """The library's tokenizer, for what the ranks don't say: special strings, or all where there are none."""
+        return load_tokenizer(self.path)
+
     def clear(self) -> None:
         self.row: dict[str, int] = {"": 0}
         self.held = 0
@@ -98,6 +104,9 @@ class Memo:
             plain = [u for u in new if not u[-1].isspace() and "<|" not in u]
             for at in range(0, len(plain), 512 * 64):
                 self.learn_plain(plain[at : at + 512 * 64])
+            spaces = [u for u in new if u[-1].isspace() and "<|" not in u]
+            ids = [self.ranked.encode_ordinary(u) for u in spaces]
+            self.keep(spaces, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.int32))
             new = [u for u in new if u not in self.row]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
