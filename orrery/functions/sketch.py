@@ -85,9 +85,10 @@ def heavy_hitters(freqs: DataFrame, key: str, tok: str, doc: str, k: int) -> tup
     return top, freqs.join(top.select(key), key, "left_anti")
 
 
-def bucket_cardinality(freqs: DataFrame, key: str, n: str, bits: int) -> DataFrame:
+def bucket_cardinality(freqs: DataFrame, key: str, n: str, bits: int, hashed: Column | None = None) -> DataFrame:
     """Largest frequency by masked hash."""
-    return freqs.groupBy(F.hash(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.max(n).alias("n"))
+    h = F.hash(key) if hashed is None else hashed
+    return freqs.groupBy(h.bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.max(n).alias("n"))
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list) -> DataFrame:

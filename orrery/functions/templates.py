@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import span_relation
+from .text import digest_hash, span_relation
 
 
 def one(col: Column) -> Column:
@@ -122,8 +122,9 @@ def indexed(obs: DataFrame, alph: DataFrame, frozen: bool = True) -> DataFrame:
     return out.withColumn("t", F.coalesce("t", F.lit(-1))).withColumn("f", F.coalesce("f", F.lit(-1)))
 
 
-def hashed(x: Column, dims: int) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(dims))
+def hashed(x: Column, dims: int, portable: bool = False) -> Column:
+    """A string's number among ``dims``; ``portable`` takes a digest that any engine can repeat."""
+    return F.pmod(digest_hash(x, 60) if portable else F.xxhash64(x), F.lit(dims))
 
 
 def flat_index(values: list[Column], cards: list[int]) -> Column:

@@ -105,6 +105,16 @@ def namespace(feature: Column, sep: str = ":") -> Column:
     return F.when(F.instr(feature, sep) > 0, F.substring_index(feature, sep, 1)).otherwise(F.raise_error(F.concat(F.lit("no namespace: "), feature)))
 
 
+def digest_hash(key: Column, bits: int = 31) -> Column:
+    """A hash that any engine can repeat: the first ``bits`` (60 at most) of the MD5 digest."""
+    return F.shiftright(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), 60 - bits)
+
+
+def digest_slice(key: Column, i: int, digits: int) -> Column:
+    """The ``i``-th run of ``digits`` hexadecimal digits of the MD5 digest as a number."""
+    return F.conv(F.substring(F.md5(key), i * digits + 1, digits), 16, 10).cast("long")
+
+
 def bit_slice(key: Column, i: int, bits: int) -> Column:
     """The ``i``-th bucket number of ``bits`` bits for a key."""
     return F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit((1 << bits) - 1))
@@ -195,3 +205,23 @@ def sentence_key(words: Column, idf: Column, mids: Column, k: int = 2) -> Column
     w = F.filter(F.zip_with(F.sequence(F.lit(0), F.size(words) - 1), F.zip_with(words, idf, lambda a, b: F.struct(a.alias("w"), b.alias("idf"))), lambda i, p: F.struct((-p["idf"]).alias("r"), i.alias("i"), p["w"].alias("w"))), lambda x: x["r"].isNotNull())
     top = F.array_sort(F.transform(F.slice(F.array_sort(w), 1, k), lambda x: F.struct(x["i"], x["w"])))
     return F.concat_ws("#", F.array_join(mids, "_"), F.array_join(F.transform(top, lambda x: x["w"]), "#"))
+
+
+QUOTES = ("''", "``", '"')
+
+
+def target_head(tags: Column, start: Column, end: Column) -> Column:
+    """Place of the head of a span by tags: quotes and signs around it are left out, also a relative pronoun at its end.
+
+    Then of the rest the last noun before the first preposition, else the first verb, else the last token.
+    """
+    at = F.sequence(start, end - 1)
+    outer = lambda i: F.get(tags, i).rlike(r"^[^A-Za-z]+$")
+    inner = F.filter(at, lambda i: ~outer(i))
+    last = F.element_at(inner, -1)
+    inner = F.when((F.size(inner) > 1) & F.get(tags, last).isin("WP", "WDT"), F.slice(inner, 1, F.size(inner) - 1)).otherwise(inner)
+    cut = F.get(F.filter(inner, lambda i: F.get(tags, i).isin("IN", "TO")), F.lit(0))
+    front = F.filter(inner, lambda i: cut.isNull() | (i < cut))
+    noun = F.try_element_at(F.filter(front, lambda i: F.get(tags, i).startswith("N")), F.lit(-1))
+    verb = F.get(F.filter(inner, lambda i: F.get(tags, i).startswith("V")), F.lit(0))
+    return F.coalesce(noun, verb, F.try_element_at(inner, F.lit(-1)), end - 1)

@@ -123,6 +123,12 @@ def largest(fs: Column) -> Column:
     return F.aggregate(fs, F.lit(0.0), lambda a, f: F.greatest(a, f["weight"]))
 
 
+def largest_by_name(fs: Column) -> Column:
+    """One feature a name, with its largest weight."""
+    keys = F.array_distinct(names(fs))
+    return F.transform(keys, lambda k: F.struct(k.alias("name"), F.array_max(F.transform(F.filter(fs, lambda f: f["name"] == k), lambda f: f["weight"])).alias("weight")))
+
+
 def mean(fs: Column) -> Column:
     return F.when(F.size(fs) > 0, total(fs) / F.size(fs)).otherwise(0.0)
 

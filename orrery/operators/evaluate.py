@@ -89,14 +89,35 @@ def win_rates(judgements: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.col("wins") / F.col("games"))
 
 
-def best_threshold(scored: DataFrame, score: str, gold: str) -> DataFrame:
+def best_threshold(scored: DataFrame, score: str, gold: str, parts: int = 64) -> DataFrame:
     """The threshold of largest F1 over all scores, from one pass of running sums; of equals the largest.
 
-    Rows are counted by score first, so the ordered pass sees distinct scores only.
+    Rows are counted by score first. Distinct scores fall into ``parts`` ranges by
+    quantiles; sums run within a range and start from a table of one row a range.
     """
     by = scored.groupBy(F.col(score).alias("t")).agg(F.sum(F.col(gold).cast("int")).alias("pos"), F.count("*").alias("n"))
-    total = by.agg(F.sum("pos").alias("all_pos"))
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("tp", F.sum("pos").over(w)).withColumn("taken", F.sum("n").over(w)).crossJoin(F.broadcast(total))  # one row
+    edges = sorted(set(by.approxQuantile("t", [i / parts for i in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e >= F.col("t").cast("double"))) if edges else F.lit(0)
+    by = by.withColumn("part", part)  # 0 holds the largest scores
+    sums = by.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = sums.select("part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"), F.sum("p").over(Window.partitionBy()).alias("all_pos"))
+    w = Window.partitionBy("part").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.withColumn("tp", F.sum("pos").over(w)).withColumn("taken", F.sum("n").over(w)).join(F.broadcast(sums), "part")  # one row a range
+    run = run.withColumn("tp", F.col("tp") + F.col("p")).withColumn("taken", F.col("taken") + F.col("m"))
     f1 = 2 * F.col("tp") / (F.col("taken") + F.col("all_pos"))
     return run.withColumn("f1", f1).orderBy(F.desc("f1"), F.desc("t")).limit(1).select("t", "tp", "taken", "f1")
+
+
+def stopping_step(df: DataFrame, by: list[str], step: str, metric: str, patience: int) -> DataFrame:
+    """The first step at which the metric has not risen above its best for ``patience`` steps, null if it never stops."""
+    w = Window.partitionBy(*by).orderBy(step)
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("_n", F.row_number().over(w)).withColumn("_up", F.coalesce(F.col(metric) > F.max(metric).over(upto), F.lit(True)))
+    x = x.withColumn("_best", F.max(F.when(F.col("_up"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(*by).agg(F.min(F.when(F.col("_n") - F.col("_best") >= patience, F.col(step))).alias("stop"))
+
+
+def step_size(step: Column, rate: float, decay: float) -> Column:
+    """Learning rate that falls with the step: rate / (1 + decay * step)."""
+    return F.lit(rate) / (1 + decay * step)

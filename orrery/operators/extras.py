@@ -126,3 +126,37 @@ def common_predicates(paths: DataFrame) -> DataFrame:
     x = paths.join(p.withColumn("lp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy()))), "path")
     a, b = (x.select("sent", "predicate", F.col("arg").alias(k), F.col("lp").alias(f"lp_{k}"), F.col("length").alias(f"len_{k}")) for k in ("a", "b"))
     return a.join(b, ["sent", "predicate"]).where("a < b").withColumn("score", (F.col("lp_a") + F.col("lp_b")) * (F.col("len_a") + F.col("len_b")))
+
+
+def gated(df: DataFrame, by: list[str], ts: str, tie: str, seconds: float) -> DataFrame:
+    """Rows that come at least ``seconds`` after the last one let through, the first row of a group included.
+
+    A group's rows are folded in order as one array.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(ts).cast("timestamp").cast("double").alias("t"), F.col(tie).alias("k"))))
+    step = lambda acc, r: F.when(acc["last"].isNull() | (r["t"] - acc["last"] >= seconds), F.struct(r["t"].alias("last"), F.concat(acc["kept"], F.array(r["k"])).alias("kept"))).otherwise(acc)
+    kind = df.schema[tie].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+    return df.groupBy(*by).agg(F.aggregate(rows, start, step)["kept"].alias("kept")).select(*by, F.explode("kept").alias(tie))
+
+
+def walk_features(edges: DataFrame, starts: DataFrame, hops: int, label: str = "rel") -> DataFrame:
+    """(node, feature): labels along every walk of up to ``hops`` edges from a node of the fact graph, with the node it ends at.
+
+    ``edges`` are (src, dst, label). A walk does not go back over the node it came from.
+    """
+    e = edges.select(F.col("src").alias("at"), "dst", F.col(label).alias("rel")).distinct()
+    walk = starts.select("node", F.col("node").alias("at"), F.lit(None).cast(edges.schema["src"].dataType).alias("last"), F.lit("").alias("path"))
+    out = None
+    for _ in range(hops):
+        walk = walk.join(e, "at").where(F.col("last").isNull() | (F.col("dst") != F.col("last")))
+        walk = walk.select("node", F.col("dst").alias("to"), F.col("at").alias("last"), F.concat("path", F.lit("/"), "rel").alias("path")).withColumnRenamed("to", "at")
+        own = walk.select("node", F.concat("path", F.lit("="), F.col("at").cast("string")).alias("feature")).distinct()
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def inverse_nominal(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Words with the verbs a lexicon (noun, verb) gives for them, by lemma; those without one stay with none."""
+    own = lexicon.groupBy(F.col("noun").alias("lemma")).agg(F.array_sort(F.collect_set("verb")).alias("verbs"))
+    return words.join(own, "lemma", "left")

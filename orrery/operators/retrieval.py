@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..functions.scores import harmonic, smoothed_jaccard, triage_score
 from ..functions.text import byte_count
 
@@ -22,19 +23,23 @@ def build_index(mentions: DataFrame, words: DataFrame, idf: DataFrame, top: int
     return {"f2t": f2t, "t2c": t2c, "c2w": c2w}
 
 
-def feature_frequencies(f2t: DataFrame, doc: Column) -> DataFrame:
-    """feat, tok_freq and doc_freq; ``doc`` gives the document of a token."""
+def feature_frequencies(f2t: DataFrame, doc: Column, query: DataFrame | None = None) -> DataFrame:
+    """feat, tok_freq and doc_freq, of the features of a ``query`` only if there is one; ``doc`` gives the document of a token."""
+    f2t = f2t if query is None else f2t.join(query.select("feat").distinct(), "feat", "left_semi")
     return f2t.groupBy("feat").agg(F.count("*").alias("tok_freq"), F.countDistinct(doc).alias("doc_freq"))
 
 
-def intersective(f2t: DataFrame, query: DataFrame, most_postings: int = 8_000_000) -> DataFrame:
+def intersective(f2t: DataFrame, query: DataFrame, most_postings: int | None = 8_000_000) -> DataFrame:
     """tok, score: over pairs of query features (feat, s) that a token has, the sum of s * s.
 
-    Features with more postings than ``most_postings`` are skipped, as the index
-    defines. The double sum is ((sum s)^2 - sum s^2) / 2, so no pairs are made.
+    Features with more postings than ``most_postings`` are skipped, as the index defines
+    (8,000,000 is its rule; None takes all). Only the query's features are counted. The
+    double sum is ((sum s)^2 - sum s^2) / 2, so no pairs are made.
     """
-    q = query.join(f2t.groupBy("feat").agg(F.count("*").alias("n")), "feat").where(F.col("n") <= most_postings)
-    hits = f2t.join(q.select("feat", "s"), "feat")
+    hits = f2t.join(query.select("feat", "s"), "feat")
+    if most_postings is not None:
+        n = hits.groupBy("feat").agg(F.count("*").alias("n")).where(F.col("n") > most_postings)
+        hits = hits.join(n.select("feat"), "feat", "left_anti")
     both = hits.groupBy("tok").agg(((F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))) / 2).alias("score"), F.count("*").alias("n"))
     return both.where("n > 1").select("tok", "score")
 
@@ -93,6 +98,36 @@ def attribute_rerank(results: DataFrame, query_comm: Column, query_tok: Column)
     return results.withColumn("score", s).orderBy(F.desc("score"))
 
 
+def attribute_cosine(results: DataFrame, query: Column) -> DataFrame:
+    """Results by the cosine of their attributes to the query's; a token's attribute weighs 2, a document's 1.
+
+    ``query``, comm_attrs and tok_attrs are arrays of strings; the query's weigh 1.
+    """
+    both = vectors.indexed(vectors.feats(F.col("tok_attrs"), 2.0), vectors.feats(F.col("comm_attrs"), 1.0))
+    return results.withColumn("score", vectors.cosine(both, vectors.feats(query))["cos"])
+
+
+class SearchService:
+    """Search over a stored index as one call: triage, rerank by similarity, one result a document."""
+
+    def __init__(self, tables: dict[str, DataFrame], doc: Column, n_docs: int, name: str = "entity search", version: str = "1"):
+        self.tables, self.doc, self.n_docs, self.name, self.version = tables, doc, n_docs, name, version
+
+    def about(self) -> dict[str, str]:
+        return {"name": self.name, "version": self.version}
+
+    def alive(self) -> bool:
+        """Whether the index can be read."""
+        return all(not t.limit(1).isEmpty() for t in self.tables.values())
+
+    def search(self, query: DataFrame, similarity: DataFrame, k: int = 100) -> DataFrame:
+        """The ``k`` best documents of a query (feat, s): tok, comm, score."""
+        freqs = feature_frequencies(self.tables["f2t"], self.doc, query)
+        hits = search(triage(self.tables["f2t"], query, freqs, self.n_docs), self.tables["t2c"], similarity)
+        best = hits.groupBy("comm").agg(F.max_by(F.struct("tok", "score"), F.struct(F.round("score", 9), "tok")).alias("b"))
+        return best.select("b.tok", "comm", "b.score").orderBy(F.desc(F.round("score", 9)), "comm").limit(k)
+
+
 def frequency_filter(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "tok").limit(n)
 
@@ -182,10 +217,8 @@ def verb_plausibility(triples: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def argument_type_counts(triples: DataFrame) -> DataFrame:
     """Counts of (s, v, o), (s, v) and (v, o) in one pass of grouping sets."""
-    spark = triples.sparkSession
-    name = f"_triples_{id(triples)}"
-    triples.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT s, v, o, count(*) AS n FROM {name} GROUP BY GROUPING SETS ((s, v, o), (s, v), (v, o))")
+    s, v, o = F.col("s"), F.col("v"), F.col("o")
+    return triples.groupingSets([[s, v, o], [s, v], [v, o]], s, v, o).agg(F.count("*").alias("n"))
 
 
 def slot_matches(sentences: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -37,35 +37,35 @@ def stratified(df: DataFrame, freq: str, key: Column, n_test: int, n_dev: int, b
     return df.withColumn("bucket", bucket).withColumn("_at", at).withColumn("section", F.when(F.col("_at") <= n_test, "test").when(F.col("_at") <= n_test + n_dev, "dev").otherwise("train")).drop("_at")
 
 
-def bernoulli(df: DataFrame, key: Column, p: float, seed: int = 0) -> DataFrame:
-    return df.where(unit(key, seed=seed) < p)
+def bernoulli(df: DataFrame, key: Column, p: float, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    return df.where((unit(key, seed=seed) if draw is None else draw) < p)
 
 
-def reservoir(df: DataFrame, by: list[str], key: Column, n: int, seed: int = 0) -> DataFrame:
+def reservoir(df: DataFrame, by: list[str], key: Column, n: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
     """``n`` rows a group, drawn evenly."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)) if draw is None else draw, key)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def weighted_choice(df: DataFrame, by: list[str], item: str, weight: Column, seed: int = 0) -> DataFrame:
-    """One item a group, with probability in proportion to its weight."""
-    draw = -F.log(unit(F.col(item), seed=seed)) / weight
-    return df.where(weight > 0).groupBy(*by).agg(F.min_by(item, draw).alias(item))
+def weighted_choice(df: DataFrame, by: list[str], item: str, weight: Column, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """One item a group, with probability in proportion to its weight; of equals the least."""
+    wait = -F.log(unit(F.col(item), seed=seed) if draw is None else draw) / weight
+    return df.where(weight > 0).groupBy(*by).agg(F.min_by(item, F.struct(wait, item)).alias(item))
 
 
-def weighted_key(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+def weighted_key(df: DataFrame, key: str, seed: int = 0, draw: Column | None = None) -> DataFrame:
     """A key with probability in proportion to its rows."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
-    return n.agg(F.min_by(key, -F.log(unit(F.col(key), seed=seed)) / F.col("n")).alias(key))
+    return n.agg(F.min_by(key, F.struct(-F.log(unit(F.col(key), seed=seed) if draw is None else draw) / F.col("n"), key)).alias(key))
 
 
-def sharded(df: DataFrame, key: Column, n: int, i: int) -> DataFrame:
-    return df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+def sharded(df: DataFrame, key: Column, n: int, i: int, hashed: Column | None = None) -> DataFrame:
+    return df.where(F.pmod(F.xxhash64(key) if hashed is None else hashed, F.lit(n)) == i)
 
 
-def shuffled(df: DataFrame, doc: str, order: str, seed: int = 0) -> DataFrame:
+def shuffled(df: DataFrame, doc: str, order: str, seed: int = 0, draw: Column | None = None) -> DataFrame:
     """Documents in hash order, rows of each in their own."""
-    return df.orderBy(F.xxhash64(F.col(doc), F.lit(seed)), doc, order)
+    return df.orderBy(F.xxhash64(F.col(doc), F.lit(seed)) if draw is None else draw, doc, order)
 
 
 def grid(**options: DataFrame) -> DataFrame:
@@ -76,11 +76,11 @@ def grid(**options: DataFrame) -> DataFrame:
     return out.withColumn("job", F.row_number().over(Window.orderBy(*out.columns)) - 1)
 
 
-def sampled_pairs(df: DataFrame, label: str, fractions: dict[str, float], key: Column, seed: int = 0) -> DataFrame:
+def sampled_pairs(df: DataFrame, label: str, fractions: dict[str, float], key: Column, seed: int = 0, draw: Column | None = None) -> DataFrame:
     """Rows drawn by label at given rates."""
     out = F.lit(False)
     for v, p in fractions.items():
-        out |= (F.col(label) == v) & (unit(key, seed=seed) < p)
+        out |= (F.col(label) == v) & ((unit(key, seed=seed) if draw is None else draw) < p)
     return df.where(out)
 
 

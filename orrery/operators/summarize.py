@@ -190,16 +190,15 @@ def tree_distance(a: tuple[list, list[int]], b: tuple[list, list[int]], ins: flo
         for i, p in enumerate(parents):
             kids.setdefault(p, []).append(i)
         order, first = [], []
-
-        def walk(i):
-            start = len(order)
-            for c in kids.get(i, []):
-                walk(c)
-            first.append(start if kids.get(i) else len(order))
-            order.append(labels[i])
-
-        for r in kids.get(-1, []):
-            walk(r)
+        stack = [(r, None) for r in reversed(kids.get(-1, []))]
+        while stack:  # children before their parent, from the left
+            i, start = stack.pop()
+            if start is None:
+                stack.append((i, len(order)))
+                stack += [(c, None) for c in reversed(kids.get(i, []))]
+            else:
+                first.append(start)
+                order.append(labels[i])
         roots = [i for i in range(len(first)) if first[i] not in first[i + 1 :]]
         return order, first, roots
 

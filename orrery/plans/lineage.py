@@ -9,11 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir and all executors share.
+
+    Only a session whose executors are threads of the driver may do without one; it gets a
+    temporary folder. Elsewhere the executors would not see the driver's folder, so this raises.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(named)
+    return named
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh place in the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -110,6 +110,23 @@ def graph_random_walk(t):
     return random_walk(small_graph(t), 3, restart=0.15, rounds=2).select("node", F.round("mass", 8).alias("mass"))
 
 
+TRADE = """SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_quantity > 48 UNION SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 48"""
+
+
+def trade_graph(t):
+    """Suppliers to parts, and through large lines parts to orders and orders to suppliers; it has cycles and hubs."""
+    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    big = t.lineitem.where("l_quantity > 48")
+    e = t.lineitem.select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst"))
+    return e.union(big.select(node("p", "l_partkey"), node("o", "l_orderkey"))).union(big.select(node("o", "l_orderkey"), node("s", "l_suppkey"))).distinct()
+
+
+@query(f"""WITH RECURSIVE e AS ({TRADE}), r(n, h) AS (SELECT 's1', 0 UNION SELECT e.dst, h + 1 FROM r JOIN e ON r.n = e.src WHERE h < 9) SELECT 's1' AS start, n AS node, min(h)::INT AS hops FROM r GROUP BY n""")
+def graph_reach(t):
+    """Breadth-first rounds from one supplier, nine hops far."""
+    return shortest_hops(trade_graph(t), t.spark.createDataFrame([("s1",)], "node string"), most=9)
+
+
 def order_facts(t):
     """Orders, brands and nations as generic facts."""
     a = t.orders.select(F.lit("order_by").alias("rel"), F.array(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("args"))
@@ -313,10 +330,11 @@ def pairwise_ranks(t):
     return evaluate.win_rates(j).withColumn("rate", F.round("rate", 6))
 
 
-@query("""SELECT k, 'key' AS what, sign FROM ((SELECT c_nationkey AS k, '-' AS sign FROM customer EXCEPT SELECT s_nationkey, '-' FROM supplier) UNION ALL (SELECT s_nationkey, '+' FROM supplier EXCEPT SELECT c_nationkey, '+' FROM customer))""")
+@query("""WITH a AS (SELECT DISTINCT p_size AS k FROM part WHERE p_partkey % 40 = 3), b AS (SELECT DISTINCT p_size AS k FROM part WHERE p_partkey % 40 = 7) SELECT k, 'key' AS what, '-' AS sign FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'key', '+' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def key_diff(t):
-    a, b = t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
-    return facts.diff(a.distinct(), b.distinct()).withColumn("what", F.lit("key")).select("k", "what", "sign")
+    """Sizes that only one of two groups of parts has."""
+    side = lambda r: t.part.where(F.col("p_partkey") % 40 == r).select(F.col("p_size").alias("k")).distinct()
+    return facts.diff(side(3), side(7)).withColumn("what", F.lit("key")).select("k", "what", "sign")
 
 
 @query("SELECT DISTINCT lang, source FROM documents UNION SELECT DISTINCT lang, source FROM documents")
@@ -331,9 +349,11 @@ def state_insert(t):
     return facts.insert(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["text"]).join(d.groupBy("text").agg(F.min("doc_id").alias("m")), "text").select(F.col("m").alias("doc_id"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
 def agenda_dedup(t):
-    return facts.not_known(t.part.select("p_partkey"), t.lineitem.select(F.col("l_partkey").alias("p_partkey")), key=["p_partkey"])
+    """Parts that are neither pending nor accepted."""
+    side = lambda c: t.lineitem.where(c).select(F.col("l_partkey").alias("p_partkey"))
+    return facts.not_known(t.part.select("p_partkey"), side("l_quantity > 45"), side("l_discount > 0.09"), key=["p_partkey"])
 
 
 @query("SELECT p_brand, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text, vectors
 from ..operators import retrieval, sample, summarize
+from .lineage import cut
 from .q_text import WORDS
 from .registry import query, spread
 
@@ -14,23 +15,33 @@ COUNTS = f"w AS (SELECT doc_id AS doc, unnest({WORDS}) AS term FROM documents),
 
 
 def counts(t):
+    """Words of documents, counted once and kept, as idf, weights and norms all start from them."""
+    return cut(term_rows(t))
+
+
+def term_rows(t):
     return vectors.term_counts(spread(t.documents.select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("w")), "doc_id", "w")
 
 
+def documents_in(c):
+    """One row: the number of documents that have a term."""
+    return c.select("doc").distinct().agg(F.count("*").alias("n"))
+
+
 def idf(t, c, compat=True):
-    n = c.agg(F.countDistinct("doc").alias("n"))
+    n = documents_in(c)
     return vectors.document_frequency(c).crossJoin(F.broadcast(n)).select("term", "df", scores.idf(F.col("n"), F.col("df"), compat).alias("idf"))  # one row
 
 
 @query(f"WITH {COUNTS} SELECT doc, term, tf FROM c")
 def term_counts(t):
-    return counts(t)
+    return term_rows(t)
 
 
 @query(f"WITH {COUNTS} SELECT term, df, round(ln(n // df), 8) AS idf, round(ln(n / df), 8) AS exact, round(ln(n) - ln(df + 1), 8) AS raw, round(ln((n + 1) / (df + 1)), 8) AS cluster FROM d, n")
 def inverse_df(t):
     c = counts(t)
-    n = c.agg(F.countDistinct("doc").alias("n"))
+    n = documents_in(c)
     d = vectors.document_frequency(c).crossJoin(F.broadcast(n))  # one row
     r = lambda x, k: F.round(x, 8).alias(k)
     return d.select("term", "df", r(scores.idf(F.col("n"), F.col("df")), "idf"), r(scores.idf(F.col("n"), F.col("df"), False), "exact"), r(scores.raw_idf(F.col("n"), F.col("df")), "raw"), r(scores.cluster_idf(F.col("n"), F.col("df")), "cluster"))
@@ -133,14 +144,14 @@ e AS (SELECT tok, sum(ln(100000) - ln(f)) AS m FROM f2t JOIN q USING (feat) JOIN
 @query(f"{TRIAGE} SELECT tok, round(m, 6) AS ent_match FROM e")
 def triage(t):
     f2t = tables(t)["f2t"]
-    fr = retrieval.feature_frequencies(f2t, F.substring_index("tok", "-", 1))
+    fr = retrieval.feature_frequencies(f2t, F.substring_index("tok", "-", 1), query_feats(t))
     return retrieval.triage(f2t, query_feats(t), fr, 100000).select("tok", F.round("ent_match", 6).alias("ent_match"))
 
 
 @query(f"{TRIAGE}, x AS (SELECT tok, split_part(tok, '-', 1)::BIGINT AS comm, m, (split_part(tok, '-', 1)::BIGINT % 10) / 10.0 AS s FROM e) SELECT tok, comm, round(s + m + 10 * m * (0.1 + s), 5) AS score FROM x WHERE s + m + 10 * m * (0.1 + s) >= 1e-4 AND NOT (s < 0.05 AND m < 0.001)")
 def triage_search(t):
     ix = tables(t)
-    fr = retrieval.feature_frequencies(ix["f2t"], F.substring_index("tok", "-", 1))
+    fr = retrieval.feature_frequencies(ix["f2t"], F.substring_index("tok", "-", 1), query_feats(t))
     sim = t.orders.select(F.col("o_orderkey").alias("comm"), (F.col("o_orderkey") % 10 / 10).alias("tfidf"))
     return retrieval.search(retrieval.triage(ix["f2t"], query_feats(t), fr, 100000), ix["t2c"], sim).select("tok", "comm", F.round("score", 5).alias("score"))
 
@@ -160,7 +171,7 @@ def ner_search(t):
 
 @query(f"WITH {F2T}, f AS (SELECT feat, count(DISTINCT split_part(tok, '-', 1)) AS df FROM f2t JOIN q USING (feat) GROUP BY 1), i AS (SELECT feat, ln(100000.0 / df) AS idf FROM f), b AS (SELECT feat, idf, coalesce(sum(idf) OVER (ORDER BY idf DESC, feat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(idf) OVER () AS b FROM i) SELECT feat, round(idf, 6) AS idf FROM b WHERE b < 0.75")
 def fast_triage(t):
-    fr = retrieval.feature_frequencies(tables(t)["f2t"], F.substring_index("tok", "-", 1))
+    fr = retrieval.feature_frequencies(tables(t)["f2t"], F.substring_index("tok", "-", 1), query_feats(t))
     return retrieval.covering_features(fr, query_feats(t), 100000).select("feat", F.round("idf", 6).alias("idf"))
 
 
@@ -207,9 +218,9 @@ def entity_lines(t):
     return retrieval.entity_lines(f, mids, dirs).groupBy("dir").agg(F.count("*").alias("n"))
 
 
-@query("""WITH m AS (SELECT DISTINCT l_orderkey AS sent, l_suppkey % 15 AS ent FROM lineitem) SELECT a.ent AS a, b.ent AS b, count(*) AS n FROM m a JOIN m b ON a.sent = b.sent AND a.ent <> b.ent GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS sent, l_suppkey AS ent FROM lineitem) SELECT a.ent AS a, b.ent AS b, count(*) AS n FROM m a JOIN m b ON a.sent = b.sent AND a.ent <> b.ent GROUP BY 1, 2""")
 def related_entities(t):
-    return retrieval.related_entities(t.lineitem.select(F.col("l_orderkey").alias("sent"), (F.col("l_suppkey") % 15).alias("ent")))
+    return retrieval.related_entities(t.lineitem.select(F.col("l_orderkey").alias("sent"), F.col("l_suppkey").alias("ent")))
 
 
 @query("""WITH x AS (SELECT c_custkey AS m, s_suppkey AS e, 1.0 - abs(c_acctbal - s_acctbal) / 10000 AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey), r AS (SELECT m, e, s, row_number() OVER (PARTITION BY m ORDER BY s DESC, e) AS n FROM x WHERE s > 0.9) SELECT c_custkey AS mention, e AS entity, round(coalesce(s, 0.9), 6)::DOUBLE AS score FROM customer LEFT JOIN r ON m = c_custkey AND n = 1""")
@@ -219,22 +230,22 @@ def entity_linking(t):
     return retrieval.link_entities(m, e, "k", 1.0 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 10000, 0.9).select("mention", "entity", F.round("score", 6).alias("score"))
 
 
-@query("""WITH a AS (SELECT l_orderkey % 50 AS a, l_suppkey % 10 AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2, 3), b AS (SELECT l_orderkey % 50 AS b, l_suppkey % 10 AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3)
+@query("""WITH a AS (SELECT l_orderkey AS a, l_partkey AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2, 3), b AS (SELECT l_orderkey AS b, l_partkey AS e, l_returnflag AS f, sum(l_quantity) AS w FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3)
 SELECT a, b, round(sum(sqrt(a.w * b.w)), 4) AS score FROM a JOIN b USING (e, f) GROUP BY 1, 2""")
 def situation_linking(t):
-    side = lambda n: t.lineitem.where(F.col("l_linestatus") == n).groupBy((F.col("l_orderkey") % 50).alias("situation"), (F.col("l_suppkey") % 10).alias("entity"), F.col("l_returnflag").alias("feat")).agg(F.sum("l_quantity").alias("w"))
+    side = lambda n: t.lineitem.where(F.col("l_linestatus") == n).groupBy(F.col("l_orderkey").alias("situation"), F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("feat")).agg(F.sum("l_quantity").alias("w"))
     return retrieval.link_situations(side("O"), side("F")).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH j AS (SELECT l_returnflag AS y, CASE WHEN p_size % 2 = 0 THEN 'm:' ELSE 'z:' END || p_brand AS x, count(*) AS n_yx FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), c AS (SELECT y, x, n_yx, sum(n_yx) OVER (PARTITION BY y) AS n_y, sum(n_yx) OVER (PARTITION BY x) AS n_x, sum(n_yx) OVER () AS n FROM j),
 d AS (SELECT y, x, ln(n_yx::DOUBLE * n / (n_y * n_x)) * n_yx / (n_yx + 2) AS v FROM c), r AS (SELECT y, x, v, row_number() OVER (PARTITION BY y ORDER BY round(v, 9) DESC, x) AS k FROM d WHERE x LIKE 'm:%')
-SELECT l_orderkey AS inst, y, round(sum(round(v, 9)), 6) AS score FROM lineitem JOIN part ON p_partkey = l_partkey JOIN r ON r.x = 'm:' || p_brand WHERE k <= 8 AND p_size % 2 = 0 GROUP BY 1, 2""")
+SELECT l_orderkey AS inst, y, round(sum(round(v, 9)::DECIMAL(18, 9)), 6)::DOUBLE AS score FROM lineitem JOIN part ON p_partkey = l_partkey JOIN r ON r.x = 'm:' || p_brand WHERE k <= 8 AND p_size % 2 = 0 GROUP BY 1, 2""")
 def slot_predictor(t):
     from ..functions import infogain as ig
 
     x = t.lineitem.join(t.part, t.lineitem.l_partkey == t.part.p_partkey).select(F.col("l_returnflag").alias("y"), F.concat(F.when(F.col("p_size") % 2 == 0, "m:").otherwise("z:"), "p_brand").alias("x"), F.col("l_orderkey").alias("inst"))
-    table = ig.pmi_table(x, "y", "x", 2.0).withColumn("dpmi", F.round("dpmi", 9))
-    return retrieval.predicted(x.select("inst", "x"), retrieval.slot_predictor(table, 8)).select("inst", "y", F.round("score", 6).alias("score"))
+    table = ig.pmi_table(x, "y", "x", 2.0).withColumn("dpmi", F.round("dpmi", 9).cast("decimal(18,9)"))  # sums don't depend on their order
+    return retrieval.predicted(x.select("inst", "x"), retrieval.slot_predictor(table, 8)).select("inst", "y", F.round("score", 6).cast("double").alias("score"))
 
 
 @query("""SELECT page_id, rel FROM pages, (VALUES ('link', 'href='), ('image', '<img')) p(rel, pattern) WHERE regexp_matches(html, pattern)""")

@@ -6,6 +6,12 @@ text source works. What depends on the order of lines is computed within a file.
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Callable
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +24,39 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df
 
 
-def in_file() -> Window:
-    return Window.partitionBy("file").orderBy("ord")
+#: Low bits of ord that count within one split of a file, as lines() gives it.
+SPLIT_BITS = 33
+
+
+def by_split(df: DataFrame) -> tuple[DataFrame, Window]:
+    """``df`` with the split of every line, and the order of lines within it; no task holds more than a split of a file."""
+    return df.withColumn("_split", F.shiftright(F.col("ord").cast("long"), SPLIT_BITS)), Window.partitionBy("file", "_split").orderBy("ord")
+
+
+def running(df: DataFrame, **values: Column) -> DataFrame:
+    """Running sums over a file's lines: sums within splits, and those of the splits before from a table of one row a split."""
+    own, w = by_split(df)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = own.groupBy("file", "_split").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("file", "_split", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in values])
+    for k, v in values.items():
+        own = own.withColumn(k, F.sum(v).over(upto))
+    own = own.join(sums, ["file", "_split"])
+    for k in values:
+        own = own.withColumn(k, F.col(k) + F.col(f"_{k}"))
+    return own.drop("_split", *[f"_{k}" for k in values])
+
+
+def last_before(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The last value that is not null up to each line of its file, carried over splits as running() does."""
+    own, w = by_split(df)
+    own = own.withColumn("_v", value).withColumn(name, F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lasts = own.where("_v IS NOT NULL").groupBy("file", "_split").agg(F.max_by("_v", "ord").alias("_l"))
+    every = own.select("file", "_split").distinct().join(lasts, ["file", "_split"], "left")
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("file", "_split", F.last("_l", ignorenulls=True).over(before).alias("_l"))
+    return own.join(every, ["file", "_split"]).withColumn(name, F.coalesce(name, "_l")).drop("_split", "_v", "_l")
 
 
 def without_comment(line: Column) -> Column:
@@ -35,10 +72,10 @@ def fact_lines(df: DataFrame, skip: Column | None = None) -> DataFrame:
     """``cmd rel arg ... # comment`` lines; blank ones go, ``skip`` is applied to the raw line."""
     df = df.where(~skip) if skip is not None else df
     tokens = F.filter(F.split(without_comment(F.col("value")), r"\s+"), lambda t: t != "")
-    out = df.withColumn("tokens", tokens).where(F.size("tokens") > 0)
+    out = running(df.withColumn("tokens", tokens).where(F.size("tokens") > 0), _line=F.lit(1))
     return out.select(
         "file", "ord", F.col("tokens")[0].alias("cmd"), F.try_element_at("tokens", F.lit(2)).alias("rel"), F.expr("slice(tokens, 3, greatest(size(tokens) - 2, 0))").alias("args"),
-        comment(F.col("value")).alias("comment"), F.concat(F.lit("line "), F.row_number().over(in_file()).cast("string"), F.lit(" of "), F.col("file")).alias("provenance"))
+        comment(F.col("value")).alias("comment"), F.concat(F.lit("line "), F.col("_line").cast("string"), F.lit(" of "), F.col("file")).alias("provenance"))
 
 
 def many_docs(facts: DataFrame, dedup: bool = False) -> DataFrame:
@@ -46,8 +83,7 @@ def many_docs(facts: DataFrame, dedup: bool = False) -> DataFrame:
 
     ``dedup`` keeps the first of equal lines in a document.
     """
-    doc = F.last(F.when(F.col("cmd") == "startdoc", F.col("rel")), ignorenulls=True).over(in_file())
-    out = facts.withColumn("docid", doc).where("cmd <> 'startdoc'")
+    out = last_before(facts, "docid", F.when(F.col("cmd") == "startdoc", F.col("rel"))).where("cmd <> 'startdoc'")
     if dedup:
         first = Window.partitionBy("docid", "cmd", "rel", "args").orderBy("file", "ord")
         out = out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
@@ -88,11 +124,11 @@ def sentences(df: DataFrame, fields: list[str], sep: str = r"\s+", doc_mark: str
     """
     blank = F.trim("value") == ""
     mark = F.col("value").startswith(doc_mark) if doc_mark else F.lit(False)
-    w = in_file()
-    out = df.withColumn("doc", F.sum(mark.cast("int")).over(w)).withColumn("sent", F.sum((blank | mark).cast("int")).over(w)).where(~blank & ~mark)
+    out = running(df, doc=mark.cast("int"), sent=(blank | mark).cast("int")).where(~blank & ~mark)
     out = out.withColumn("at", F.row_number().over(Window.partitionBy("file", "sent").orderBy("ord")) - 1)
     # gaps of several blank lines must not skip numbers
-    out = out.withColumn("sent", F.dense_rank().over(Window.partitionBy("file").orderBy("sent")) - 1)
+    numbers = out.select("file", "sent").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("sent")) - 1)
+    out = out.join(numbers, ["file", "sent"]).withColumn("sent", F.col("_n")).drop("_n")
     parts = F.split(F.trim("value"), sep)
     return out.select("file", "doc", "sent", "at", *[F.try_element_at(parts, F.lit(i + 1)).alias(f) for i, f in enumerate(fields)])
 
@@ -120,10 +156,11 @@ def column_facts(tokens: DataFrame, columns: list[str]) -> DataFrame:
 LINK = r"\[FREEBASE mid=(/m/[0-9a-z_]+) ([^\]]+)\]"
 
 
-def linked_sentences(df: DataFrame, most_tokens: int = 100) -> DataFrame:
+def linked_sentences(df: DataFrame, most_tokens: int | None = 100) -> DataFrame:
     """Sentences with [FREEBASE mid=... text] spans: text without marks, links and token count.
 
-    Lines with a mark that does not close, or longer than ``most_tokens``, are dropped.
+    Lines with a mark that does not close, or longer than ``most_tokens`` (100 is the rule of
+    this format; None takes all), are dropped.
     """
     mids, texts = F.regexp_extract_all("value", F.lit(LINK), F.lit(1)), F.regexp_extract_all("value", F.lit(LINK), F.lit(2))
     marks = F.size(F.split("value", r"\[FREEBASE")) - 1
@@ -134,7 +171,8 @@ def linked_sentences(df: DataFrame, most_tokens: int = 100) -> DataFrame:
     start = lambda i: F.aggregate(F.slice(before, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("mentions", 1, i), F.lit(0), lambda a, x: a + F.length(x))
     link = F.transform("mids", lambda m, i: F.struct(m.alias("mid"), start(i).alias("start"), (start(i) + F.length(F.col("mentions")[i])).alias("end"), F.col("mentions")[i].alias("text")))
     out = out.withColumn("links", link).withColumn("n_tokens", F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")))
-    return out.where(F.col("n_tokens") <= most_tokens).select("file", "ord", "text", "links", "n_tokens")
+    out = out if most_tokens is None else out.where(F.col("n_tokens") <= most_tokens)
+    return out.select("file", "ord", "text", "links", "n_tokens")
 
 
 TRIPLE = r"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(.+?)\s*\.\s*$"
@@ -180,16 +218,20 @@ def keep_namespaces(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def positional(*frames: DataFrame) -> DataFrame:
-    """Rows of files zipped by line number; a file that ends early raises. Columns get the file's number as suffix."""
+    """Rows of files zipped by line number, the files of a frame in the order of their names; a file that ends early raises.
+
+    Columns get the frame's number as suffix.
+    """
     numbered = []
     for i, f in enumerate(frames):
-        n = f.withColumn("_line", F.row_number().over(Window.partitionBy("file").orderBy("ord")))
-        numbered.append(n.select("_line", *[F.col(c).alias(f"{c}_{i}") for c in f.columns]))
+        files = f.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")))  # one row a file
+        n = running(f, _line=F.lit(1)).join(files, "file")
+        numbered.append(n.select("_file", "_line", *[F.col(c).alias(f"{c}_{i}") for c in f.columns]))
     out = numbered[0]
     for i, n in enumerate(numbered[1:], 1):
-        out = out.join(n, "_line", "full_outer").withColumn(f"ord_{i}", F.coalesce(f"ord_{i}", F.raise_error(F.lit(f"file {i} is shorter")).cast("long")))
+        out = out.join(n, ["_file", "_line"], "full_outer").withColumn(f"ord_{i}", F.coalesce(f"ord_{i}", F.raise_error(F.lit(f"file {i} is shorter")).cast("long")))
         out = out.withColumn("ord_0", F.coalesce("ord_0", F.raise_error(F.lit(f"file {i} is longer")).cast("long")))
-    return out
+    return out.drop("_file")
 
 
 def vw_instances(locations: DataFrame, features: DataFrame, *scores: DataFrame) -> DataFrame:
@@ -226,8 +268,7 @@ def feature_set_file(df: DataFrame) -> DataFrame:
 
 def document_frequencies(df: DataFrame) -> DataFrame:
     """term and df of files whose first line is the number of documents; files add up."""
-    w = in_file()
-    n = df.withColumn("_n", F.row_number().over(w))
+    n = running(df, _n=F.lit(1))
     head = n.where("_n = 1").agg(F.sum(F.col("value").cast("long")).alias("n_docs"))
     c = F.split("value", "\t")
     body = n.where("_n > 1").groupBy(c[0].alias("term")).agg(F.sum(c[1].cast("long")).alias("df"))
@@ -309,10 +350,10 @@ def frames_xml(spark: SparkSession, path: str) -> DataFrame:
     return df.select("name", F.expr("transform(FE, x -> x.name)").alias("roles"))
 
 
-def flattened_tokens(df: DataFrame, sections: str = "sections", most: int = 1000) -> DataFrame:
-    """doc, section, sentence and tokens of nested documents; longer sentences are dropped."""
+def flattened_tokens(df: DataFrame, sections: str = "sections", most: int | None = 1000) -> DataFrame:
+    """doc, section, sentence and tokens of nested documents; longer sentences are dropped, none for ``most`` None."""
     out = df.select("doc", F.posexplode(sections).alias("section", "s")).select("doc", "section", F.posexplode("s").alias("sentence", "tokens"))
-    return out.where(F.size("tokens") <= most)
+    return out if most is None else out.where(F.size("tokens") <= most)
 
 
 def memoised(requests: DataFrame, memo: DataFrame, fetch, key: str) -> DataFrame:
@@ -324,3 +365,75 @@ def memoised(requests: DataFrame, memo: DataFrame, fetch, key: str) -> DataFrame
 
 def substituted(df: DataFrame, pattern: str, replacement: str, column: str = "value") -> DataFrame:
     return df.withColumn(column, F.regexp_replace(column, pattern, replacement))
+
+
+def full_text(spark: SparkSession, path: str) -> DataFrame:
+    """sentence, frame, label, start and end (exclusive) of frame-annotated XML: one row a label of a layer of an annotation set.
+
+    Sentences hold a text and annotation sets with a frame name; their layers hold labels with first and last characters.
+    """
+    df = spark.read.format("xml").option("rowTag", "sentence").option("attributePrefix", "").schema(
+        "ID string, text string, annotationSet array<struct<frameName:string,layer:array<struct<name:string,label:array<struct<name:string,start:int,end:int>>>>>>").load(path)
+    sets = df.select(F.col("ID").alias("id"), "text", F.explode("annotationSet").alias("a")).where("a.frameName IS NOT NULL")
+    layers = sets.select("id", "text", F.col("a.frameName").alias("frame"), F.explode("a.layer").alias("l"))
+    labels = layers.select("id", "text", "frame", F.col("l.name").alias("layer"), F.explode("l.label").alias("b")).where("b.start IS NOT NULL")
+    return labels.select("id", "frame", "layer", F.col("b.name").alias("label"), F.col("b.start").alias("start"), (F.col("b.end") + 1).alias("end"), F.expr("substring(text, b.start + 1, b.end - b.start + 1)").alias("text"))
+
+
+PROP = r"^(\d+):(\d+)"
+
+
+def proposition_lines(df: DataFrame) -> DataFrame:
+    """Predicate-argument lines: tree file, tree, terminal, tagger, lemma, sense, inflection, then terminal:height-label.
+
+    Gives file, tree, terminal, lemma, sense and arguments (terminal, height, label); of a chain of places the first one counts.
+    """
+    c = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
+    arg = lambda a: F.struct(F.regexp_extract(a, PROP, 1).cast("int").alias("terminal"), F.regexp_extract(a, PROP, 2).cast("int").alias("height"), F.regexp_extract(a, r"-(.*)$", 1).alias("label"))
+    args = F.transform(F.filter(F.slice(c, 8, 1_000_000), lambda a: a.rlike(PROP)), arg)
+    out = df.where(F.size(c) >= 7)
+    return out.select(c[0].alias("tree_file"), c[1].cast("int").alias("tree"), c[2].cast("int").alias("terminal"), F.regexp_replace(c[4], "-[a-z]$", "").alias("lemma"), c[5].alias("sense"), args.alias("args"))
+
+
+def archive_members(archives: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, name and data of the files in .tar, .tar.gz or .tgz archives, as binaryFile reads them.
+
+    An archive is read member by member; what the members hold is for a decoder of the caller's.
+    """
+
+    def run(batches):
+        for b in batches:
+            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = []
+                with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as tar:
+                    for m in tar:
+                        if m.isfile():
+                            rows.append((p, m.name, tar.extractfile(m).read()))
+                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], ["path", "name", "data"])
+
+    return archives.select(path, content).mapInArrow(run, "path string, name string, data binary")
+
+
+def open_archives(spark: SparkSession, place: str) -> DataFrame:
+    """The members of all archives under a place."""
+    return archive_members(spark.read.format("binaryFile").load(place))
+
+
+def fetched(ids: DataFrame, key: str, client: Callable[[], Callable[[list], list]], schema: str, batch: int = 256) -> DataFrame:
+    """Rows that a service gives for the ids, asked ``batch`` at a time; ``client`` makes a connection in each task.
+
+    The connection takes a list of ids and gives a list of tuples of ``schema``.
+    """
+
+    def run(batches):
+        ask = client()
+        for b in batches:
+            own = b.column(0).to_pylist()
+            for i in range(0, len(own), batch):
+                yield pd.DataFrame(ask(own[i : i + batch]), columns=names).pipe(pa.RecordBatch.from_pandas, preserve_index=False)
+
+    from pyspark.sql.types import StructType
+
+    names = StructType.fromDDL(schema).names
+    return ids.select(key).mapInArrow(run, schema)
