@@ -84,12 +84,12 @@ def sampled_pairs(df: DataFrame, label: str, fractions: dict[str, float], key: C
     return df.where(out)
 
 
-def random_products(templates: DataFrame, name: str, mean: float, n: int, seed: int = 0) -> DataFrame:
+def random_products(templates: DataFrame, name: str, mean: float, n: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
     """``n`` feature sets; each template is in a set with the chance that gives ``mean`` of them."""
     total = templates.agg(F.count("*").alias("_total"))
     sets = templates.sparkSession.range(n).withColumnRenamed("id", "set")
     rows = sets.crossJoin(F.broadcast(templates)).crossJoin(F.broadcast(total))  # template names are few
-    return rows.where(unit(F.col("set"), F.col(name), seed=seed) < mean / F.col("_total")).select("set", name)
+    return rows.where((unit(F.col("set"), F.col(name), seed=seed) if draw is None else draw) < mean / F.col("_total")).select("set", name)
 
 
 def unique_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

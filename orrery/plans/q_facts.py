@@ -191,12 +191,6 @@ def decide_unanimous(t):
     return scored(t).select("event_id", decide.unanimous(F.when(F.col("event_type") == "click", F.col("value") > 50), F.col("score") > 0).alias("accepted"))
 
 
-@query()
-def decide_double_at_most_one(t):
-    e = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("doc"), "user_id", "event_type", "event_id", "value", (F.col("value") - 50).alias("score"))
-    return decide.double_at_most_one(e, "doc", "user_id", "event_type", "value", "score", "event_id").select("doc", "event_id", "accepted")
-
-
 @query()
 def agenda_inference(t):
     e = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("doc"), "event_id", "user_id", "value")
@@ -372,7 +366,15 @@ def matrix_row_prune(t):
     return facts.dense_rows(e, "l_partkey", "l_suppkey", "n", 1, 25, 28).select("l_partkey", "l_suppkey", "n")
 
 
-@query()
+def core_sql(rounds: int) -> str:
+    """Rows, then columns, with fewer than 20 entries dropped so many times; the query goes on until nothing changes."""
+    out = "WITH e0 AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"
+    for i in range(rounds):
+        out += f", r{i} AS (SELECT * FROM e{i} WHERE l_partkey IN (SELECT l_partkey FROM e{i} GROUP BY 1 HAVING count(*) >= 20)), e{i + 1} AS (SELECT * FROM r{i} WHERE l_suppkey IN (SELECT l_suppkey FROM r{i} GROUP BY 1 HAVING count(*) >= 20))"
+    return f"{out} SELECT l_partkey, l_suppkey FROM e{rounds}"
+
+
+@query(core_sql(6))
 def matrix_core(t):
     return facts.dense_core(t.lineitem.select("l_partkey", "l_suppkey").distinct(), "l_partkey", "l_suppkey", 20)
 
@@ -419,31 +421,6 @@ def split_stratified(t):
     return sample.stratified(f, "n", F.struct(sample.arithmetic_unit(F.col("user_id")), "user_id"), 5, 5).select("user_id", "bucket", "section")
 
 
-@query()
-def split_random(t):
-    return sample.bernoulli(t.documents.select("doc_id"), F.col("doc_id"), 0.3)
-
-
-@query()
-def sample_reservoir(t):
-    return sample.reservoir(t.documents.select("lang", "doc_id"), ["lang"], F.col("doc_id"), 20)
-
-
-@query()
-def sample_weighted(t):
-    return sample.weighted_choice(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", F.col("value"))
-
-
-@query()
-def sample_weighted_key(t):
-    return sample.weighted_key(t.documents, "source")
-
-
-@query()
-def shard_filter(t):
-    return sample.sharded(t.documents.select("doc_id"), F.col("doc_id"), 4, 1)
-
-
 @query()
 def document_shuffle(t):
     return sample.shuffled(t.conversations.select("conv_id", "turn"), "conv_id", "turn")

@@ -55,12 +55,6 @@ def template_product(t):
     return x.groupBy("x").agg(F.count("*").alias("n"))
 
 
-@query()
-def template_product_pruned(t):
-    g = t.lineitem.groupBy("l_returnflag").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("s"))
-    return g.select("l_returnflag", F.explode(tp.pruned_product(tp.one(F.col("l_returnflag")), F.col("s"))).alias("x"))
-
-
 A = "a AS (SELECT p_brand AS st, p_type AS sf FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2), b AS (SELECT p_brand AS st, p_type AS sf FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1, 2)"
 
 
@@ -104,8 +98,3 @@ def product_flattening(t):
     x = t.lineitem.withColumn("i", tp.flat_index(v, cards))
     back = tp.unflat_index(F.col("i"), cards)
     return x.select("l_orderkey", "l_linenumber", "i", ((back[0] == v[0]) & (back[1] == v[1]) & (back[2] == v[2])).alias("back"))
-
-
-@query()
-def hash_featurizer(t):
-    return t.part.select("p_partkey", tp.hashed(F.col("p_type"), 64).alias("h"))

@@ -318,13 +318,6 @@ def diverse_selection(t):
     return summarize.diverse(x, "p_brand", "p_type", "v", 3, sep=" ")
 
 
-@query()
-def tree_distances(t):
-    c = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]).alias("labels_a"))
-    x = c.withColumn("parents_a", F.transform("labels_a", lambda _, i: (i - 1).cast("int"))).withColumn("labels_b", F.slice("labels_a", 1, 3)).withColumn("parents_b", F.slice("parents_a", 1, 3))
-    return summarize.tree_distances(x.select(F.col("conv_id").alias("key"), "labels_a", "parents_a", "labels_b", "parents_b"))
-
-
 def unit(e):
     n = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(e, lambda x: x / n)
@@ -337,4 +330,3 @@ def embedding_search(t):
     q = e.agg(F.min_by("e", "vec_id").alias("q"))
     dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return e.crossJoin(F.broadcast(q)).select("vec_id", dot.alias("c")).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 6).alias("cosine"))  # one row
-

@@ -146,7 +146,7 @@ def proposition_scan(t):
     lemma = F.concat(F.lit("verb"), "f")
     row = F.concat_ws(" ", F.lit("nw/a.parse"), S("k").cast("string"), S("n").cast("string"), F.lit("gold"), F.concat(lemma, F.lit("-v")), F.concat(lemma, F.lit(".01")), F.lit("-----"), F.concat(S("q").cast("string"), F.lit(":0*9:1-ARG0")), F.concat(S("n").cast("string"), F.lit(":0-rel")))
     out = src.proposition_lines(as_lines(lines_of(t), S("k"), S("n"), row))
-    return out.select("tree", "terminal", "lemma", "sense", F.regexp_replace(S("args")[0]["label"], "^.*-", "").alias("label"), S("args")[0]["terminal"].alias("place"))
+    return out.select("tree", "terminal", "lemma", "sense", S("args")[0]["label"].alias("label"), S("args")[0]["terminal"].alias("place"))
 
 
 @query("""SELECT 'n' || n_nationkey AS doc, (c_custkey)::INT AS token, 1 AS sentence, c_name AS text FROM customer JOIN nation ON n_nationkey = c_nationkey""")
@@ -315,7 +315,7 @@ def frame_tsv(t):
 
 
 @query("SELECT DISTINCT p_type AS term, true AS found FROM part")
-def hash_log_reversed(t):
+def hash_log(t):
     """Every term is found again by its hash."""
     log = sinks.hash_log(t.part.select(S("p_type").alias("term")))
     back = t.part.select(S("p_type").alias("term")).distinct().withColumn("hash", F.hash("term")).join(log.withColumnRenamed("term", "named"), "hash")
@@ -523,7 +523,7 @@ def selectivity(t):
 
 
 @query("""SELECT k & 255 AS bucket, max(n) AS n FROM (SELECT l_partkey * 7919 + 13 AS k, count(*) AS n FROM lineitem GROUP BY l_partkey) GROUP BY 1""")
-def bucket_maximum(t):
+def bucket_cardinality(t):
     """Largest frequency by masked hash, with a hash that SQL can repeat."""
     f = t.lineitem.groupBy(S("l_partkey").alias("k")).agg(F.count("*").alias("n"))
     return sketch.bucket_cardinality(f, "k", "n", 8, hashed=S("k") * 7919 + 13)
@@ -713,7 +713,7 @@ UNION ALL SELECT e.doc, e.n, e.event_id, e.score > 0 AND NOT list_contains(r.us,
 CASE WHEN e.score > 0 AND NOT list_contains(r.us, e.user_id) AND NOT list_contains(r.ts, e.event_type) THEN list_append(r.us, e.user_id) ELSE r.us END,
 CASE WHEN e.score > 0 AND NOT list_contains(r.us, e.user_id) AND NOT list_contains(r.ts, e.event_type) THEN list_append(r.ts, e.event_type) ELSE r.ts END FROM r JOIN e ON e.doc = r.doc AND e.n = r.n + 1)
 SELECT doc, event_id, ok AS accepted FROM r WHERE n > 0""")
-def greedy_matching(t):
+def decide_double_at_most_one(t):
     """Accepted while both keys are free, in pop order."""
     e = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("doc"), "user_id", "event_type", "event_id", "value", (S("value") - 50).alias("score"))
     return decide.double_at_most_one(e, "doc", "user_id", "event_type", "value", "score", "event_id").select("doc", "event_id", "accepted")

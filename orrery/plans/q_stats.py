@@ -154,12 +154,6 @@ def heavy_hitters(t):
     return sketch.heavy_hitters(f, "k", "tok", "doc", 50)[0].select("k", "tok", "doc")
 
 
-@query()
-def bucket_cardinality(t):
-    f = t.lineitem.groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"))
-    return sketch.bucket_cardinality(f, "k", "n", 8)
-
-
 @query("SELECT p_type AS s, p_brand AS v, p_size::VARCHAR AS o, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_type, p_brand, p_size::VARCHAR), (p_type, p_brand), (p_brand, p_size::VARCHAR))")
 def argument_type_counts(t):
     return retrieval.argument_type_counts(t.part.select(F.col("p_type").alias("s"), F.col("p_brand").alias("v"), F.col("p_size").cast("string").alias("o")))

@@ -62,13 +62,6 @@ def gram_features(t):
     return t.customer.select("c_custkey", F.array_join(text.gram_features(F.col("c_name")), " ").alias("feats"))
 
 
-@query()
-def mention_features(t):
-    heads = F.slice(text.mention_words(F.col("c_name")), 1, 2)
-    f = F.explode(text.mention_features(F.col("c_name"), heads)).alias("f")
-    return t.customer.select("c_custkey", f).select("c_custkey", "f", text.feature_weight(F.col("f")).alias("weight"), text.namespace(F.col("f")).alias("ns"))
-
-
 @query("SELECT split_part(url, ':', 1) AS ns, count(*) AS n FROM pages GROUP BY 1")
 def by_namespace(t):
     return t.pages.groupBy(text.namespace(F.col("url")).alias("ns")).agg(F.count("*").alias("n"))
@@ -177,11 +170,6 @@ def key_lists(t):
     return src.key_lists(rows, 0, 1, dedup=True).select("k", F.array_sort("vs").alias("vs"))
 
 
-@query()
-def hash_log(t):
-    return sinks.hash_log(t.part.select(F.col("p_type").alias("term")))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'memo' ELSE 'fetched' END AS how FROM documents")
 def memoised_fetch(t):
     d = t.documents.select("doc_id")

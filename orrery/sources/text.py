@@ -389,7 +389,7 @@ def proposition_lines(df: DataFrame) -> DataFrame:
     Gives file, tree, terminal, lemma, sense and arguments (terminal, height, label); of a chain of places the first one counts.
     """
     c = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
-    arg = lambda a: F.struct(F.regexp_extract(a, PROP, 1).cast("int").alias("terminal"), F.regexp_extract(a, PROP, 2).cast("int").alias("height"), F.regexp_extract(a, r"-(.*)$", 1).alias("label"))
+    arg = lambda a: F.struct(F.regexp_extract(a, PROP, 1).cast("int").alias("terminal"), F.regexp_extract(a, PROP, 2).cast("int").alias("height"), F.regexp_extract(a, r"^[^-]*-(.*)$", 1).alias("label"))
     args = F.transform(F.filter(F.slice(c, 8, 1_000_000), lambda a: a.rlike(PROP)), arg)
     out = df.where(F.size(c) >= 7)
     return out.select(c[0].alias("tree_file"), c[1].cast("int").alias("tree"), c[2].cast("int").alias("terminal"), F.regexp_replace(c[4], "-[a-z]$", "").alias("lemma"), c[5].alias("sense"), args.alias("args"))

@@ -34,9 +34,9 @@ def test_conll(spark):
 
 
 def test_linked_sentences(spark):
-    got = src.linked_sentences(lines(spark, "In [FREEBASE mid=/m/058z43 Parrys] town [FREEBASE mid=/m/1 Bob] sat", "broken [FREEBASE mid=/m/1")).collect()
-    assert len(got) == 1 and got[0].text == "In Parrys town Bob sat"
-    assert [got[0].text[x.start : x.end] for x in got[0].links] == ["Parrys", "Bob"]
+    got = src.linked_sentences(lines(spark, "Near [FREEBASE mid=/m/0q7 Quillfen] lake [FREEBASE mid=/m/1 Bob] sat", "broken [FREEBASE mid=/m/1")).collect()
+    assert len(got) == 1 and got[0].text == "Near Quillfen lake Bob sat"
+    assert [got[0].text[x.start : x.end] for x in got[0].links] == ["Quillfen", "Bob"]
 
 
 def test_triples(spark):
@@ -59,6 +59,33 @@ def test_vw_and_features(spark):
     assert [(r.oldT, r.oldF) for r in b] == [(-1, -1), (8, 9)]
 
 
+def test_lines_over_many_splits(spark):
+    """Numbers and the last document are carried over the splits of a file."""
+    split = 1 << src.SPLIT_BITS
+    rows = [("f", 0, "x a 0"), ("f", 1, "startdoc one"), ("f", split, "x a 1"), ("f", 3 * split, "x a 2"), ("f", 3 * split + 1, "startdoc two"), ("f", 4 * split + 5, "x a 3"), ("g", 7 * split, "x b 0"), ("g", 7 * split + 1, "startdoc three"), ("g", 9 * split, "x b 1")]
+    f = src.fact_lines(spark.createDataFrame(rows, "file string, ord long, value string"))
+    assert [r.provenance for r in f.orderBy("file", "ord").collect()] == [f"line {i} of f" for i in range(1, 7)] + [f"line {i} of g" for i in range(1, 4)]
+    assert [(r.docid, r.args) for r in src.many_docs(f).orderBy("file", "ord").collect()] == [(None, ["0"]), ("one", ["1"]), ("one", ["2"]), ("two", ["3"]), (None, ["0"]), ("three", ["1"])]
+    lines_ = [("f", 0, "a X O t"), ("f", split, ""), ("f", split + 1, "b X O t"), ("f", 2 * split, "c X O t"), ("f", 3 * split, ""), ("f", 4 * split, "d X O t")]
+    got = src.conll03(spark.createDataFrame(lines_, "file string, ord long, value string")).orderBy("sent", "at").collect()
+    assert [(r.sent, r["at"], r.word) for r in got] == [(0, 0, "a"), (1, 0, "b"), (1, 1, "c"), (2, 0, "d")]
+
+
+def test_positional_zips_every_file(spark):
+    """Two files in a frame are zipped with the two of the other, not line by line of both."""
+    frame = lambda p: spark.createDataFrame([(f"{p}{i}", k, f"{p}{i}.{k}") for i in (1, 2) for k in range(3)], "file string, ord long, value string")
+    got = {(r.value_0, r.value_1) for r in src.positional(frame("a"), frame("b")).collect()}
+    assert got == {(f"a{i}.{k}", f"b{i}.{k}") for i in (1, 2) for k in range(3)}
+
+
+def test_propositions_and_archives(spark):
+    p = src.proposition_lines(lines(spark, "nw/x.parse 3 4 gold join-v join.01 ----- 0:1*5:0-ARG0 4:0-rel 6:2-ARG1", "too short")).collect()
+    assert len(p) == 1 and (p[0].lemma, p[0].sense, p[0].terminal) == ("join", "join.01", 4)
+    assert [(a.terminal, a.label) for a in p[0].args] == [(0, "ARG0"), (4, "rel"), (6, "ARG1")]
+    got = src.fetched(spark.range(5), "id", lambda: lambda ids: [(i, i * i) for i in ids], "id long, square long", batch=2).collect()
+    assert sorted((r.id, r.square) for r in got) == [(i, i * i) for i in range(5)]
+
+
 def test_positional_raises_on_length(spark):
     a, b = lines(spark, "x", "y"), lines(spark, "1")
     with pytest.raises(Exception, match="shorter"):
