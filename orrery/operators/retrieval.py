@@ -23,9 +23,14 @@ def build_index(mentions: DataFrame, words: DataFrame, idf: DataFrame, top: int
     return {"f2t": f2t, "t2c": t2c, "c2w": c2w}
 
 
+def of_query(f2t: DataFrame, query: DataFrame) -> DataFrame:
+    """Postings of a query's features; a semi-join passes below the aggregate that makes the postings."""
+    return f2t.join(query.select("feat").distinct(), "feat", "left_semi")
+
+
 def feature_frequencies(f2t: DataFrame, doc: Column, query: DataFrame | None = None) -> DataFrame:
     """feat, tok_freq and doc_freq, of the features of a ``query`` only if there is one; ``doc`` gives the document of a token."""
-    f2t = f2t if query is None else f2t.join(query.select("feat").distinct(), "feat", "left_semi")
+    f2t = f2t if query is None else of_query(f2t, query)
     return f2t.groupBy("feat").agg(F.count("*").alias("tok_freq"), F.countDistinct(doc).alias("doc_freq"))
 
 
@@ -36,7 +41,7 @@ def intersective(f2t: DataFrame, query: DataFrame, most_postings: int | None = 8
     (8,000,000 is its rule; None takes all). Only the query's features are counted. The
     double sum is ((sum s)^2 - sum s^2) / 2, so no pairs are made.
     """
-    hits = f2t.join(query.select("feat", "s"), "feat")
+    hits = of_query(f2t, query).join(query.select("feat", "s"), "feat")
     if most_postings is not None:
         n = hits.groupBy("feat").agg(F.count("*").alias("n")).where(F.col("n") > most_postings)
         hits = hits.join(n.select("feat"), "feat", "left_anti")
@@ -47,7 +52,7 @@ def intersective(f2t: DataFrame, query: DataFrame, most_postings: int | None = 8
 def triage(f2t: DataFrame, query: DataFrame, freqs: DataFrame, n_docs: int, mode: str = "idf") -> DataFrame:
     """tok, ent_match: summed scores of the query's features on each token."""
     s = freqs.join(query.select("feat").distinct(), "feat").select("feat", triage_score(F.col("tok_freq"), F.col("doc_freq"), F.lit(n_docs), mode).alias("s"))
-    return f2t.join(s, "feat").groupBy("tok").agg(F.sum("s").alias("ent_match"))
+    return of_query(f2t, query).join(s, "feat").groupBy("tok").agg(F.sum("s").alias("ent_match"))
 
 
 def search(matches: DataFrame, t2c: DataFrame, similarity: DataFrame, least: float = 0.0, exclude: str | None = None) -> DataFrame:

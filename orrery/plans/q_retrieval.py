@@ -40,7 +40,7 @@ def term_counts(t):
 
 @query(f"WITH {COUNTS} SELECT term, df, round(ln(n // df), 8) AS idf, round(ln(n / df), 8) AS exact, round(ln(n) - ln(df + 1), 8) AS raw, round(ln((n + 1) / (df + 1)), 8) AS cluster FROM d, n")
 def inverse_df(t):
-    c = counts(t)
+    c = term_rows(t)
     n = documents_in(c)
     d = vectors.document_frequency(c).crossJoin(F.broadcast(n))  # one row
     r = lambda x, k: F.round(x, 8).alias(k)
