@@ -92,7 +92,8 @@ def coverage_summary(rows: DataFrame, by: str, budget: int) -> DataFrame:
     """Sentences whose covered concepts weigh most within a length budget, per group.
 
     Rows are (by, sent, length, concept, weight); a concept has one weight in a group.
-    The choice is exact for groups of every size. A group is the sentences of one entity.
+    The choice is exact for groups of every size. A group is the sentences of one entity. Where
+    clear_choice() holds, the summary comes from windows; other groups are searched in Python.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +106,28 @@ def coverage_summary(rows: DataFrame, by: str, budget: int) -> DataFrame:
         return pd.DataFrame({by: pdf[by].iloc[0], "sent": [names[i] for i in pick], "value": best})
 
     kind = dict(rows.dtypes)
-    return rows.groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, sent {kind['sent']}, value double")
+    x = clear_choice(rows.select(by, "sent", "length", "concept", "weight"), by, budget)
+    easy = x.where("_clear AND _first AND weight > 0").select(by, "sent", F.col("_value").alias("value"))
+    hard = x.where("NOT _clear").select(by, "sent", "length", "concept", "weight")
+    return easy.unionByName(hard.groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, sent {kind['sent']}, value double"))
+
+
+def clear_choice(rows: DataFrame, by: str, budget: int) -> DataFrame:
+    """Adds _clear: the group's best summary is all sentences with a weight above 0, and no other set is as good.
+
+    So it is where all sentences fit the budget, no weight is below 0 and no concept above 0
+    stands in two sentences. _value is the group's sum of weights then, _first the row of a
+    sentence that has its largest weight.
+    """
+    sentence, concept, group = Window.partitionBy(by, "sent"), Window.partitionBy(by, "concept").orderBy("sent"), Window.partitionBy(by)
+    whole = concept.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = rows.withColumn("_once", F.row_number().over(concept) == 1)
+    x = x.withColumn("_shared", ~F.first("sent").over(whole).eqNullSafe(F.last("sent").over(whole)) & (F.col("weight") > 0))
+    x = x.withColumn("_first", F.row_number().over(sentence.orderBy(F.desc("weight"))) == 1).withColumn("_length", F.max("length").over(sentence))
+    unclear = F.col("_shared") | ~F.coalesce((F.col("weight") >= 0) & ~F.isnan("weight") & (F.col("length") >= 0), F.lit(False))
+    fits = F.sum(F.when(F.col("_first"), F.col("_length")).otherwise(0)).over(group) <= budget
+    x = x.withColumn("_clear", fits & ~F.coalesce(F.max(unclear).over(group), F.lit(True)))
+    return x.withColumn("_value", F.sum(F.when(F.col("_once"), F.col("weight")).otherwise(0.0)).over(group).cast("double"))
 
 
 def mention_costs(rows: DataFrame, cost: float) -> DataFrame:
@@ -115,9 +137,8 @@ def mention_costs(rows: DataFrame, cost: float) -> DataFrame:
 
 def top_weights(rows: DataFrame, by: str, k: int) -> DataFrame:
     """Weights of all but a group's ``k`` heaviest concepts become 0."""
-    w = Window.partitionBy(by).orderBy(F.desc("weight"), "concept")
-    rank = rows.select(by, "concept", "weight").distinct().withColumn("_r", F.row_number().over(w)).select(by, "concept", "_r")
-    return rows.join(rank, [by, "concept"]).withColumn("weight", F.when(F.col("_r") <= k, F.col("weight")).otherwise(0.0)).drop("_r")
+    w = Window.partitionBy(by).orderBy(F.desc("weight"), "concept")  # rows of a concept are peers
+    return rows.dropna(subset=[by, "concept"]).withColumn("_r", F.dense_rank().over(w)).withColumn("weight", F.when(F.col("_r") <= k, F.col("weight")).otherwise(0.0)).drop("_r")
 
 
 def summaries(sentences: DataFrame, instances: DataFrame, by: str, budget: int, k: int = 1000) -> DataFrame:

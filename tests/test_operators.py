@@ -119,3 +119,35 @@ def test_intersective_takes_features_of_any_length(spark):
     q = spark.createDataFrame([("x", 3.0), ("y", 2.0)], "feat string, s double")
     assert sorted(map(tuple, retrieval.intersective(f2t, q).collect())) == [(5, 6.0), (9, 6.0)]
     assert retrieval.intersective(f2t, q, 8_000_000).isEmpty()
+
+
+def test_clear_summaries_need_no_search(spark):
+    """Groups that fit and share no weight come from windows, others from the search; both are the best by brute force."""
+    rng = random.Random(8)
+    rows = []
+    for e in range(60):
+        disjoint, at = e % 2 == 0, 0
+        for s in range(rng.randrange(1, 6)):
+            for _ in range(rng.randrange(1, 4)):
+                rows.append((e, s, 2 + s % 2, 10 + at if disjoint else rng.randrange(5)))
+                at += 1
+    weight = {(e, c): float(rng.choice([0, 1, 2, 5] if e % 3 else [-2, 0, 3])) for e, _, _, c in rows}
+    rows = [(*r, weight[r[0], r[3]]) for r in dict.fromkeys(rows)]
+    df = spark.createDataFrame(rows, "e int, sent int, length int, concept int, weight double")
+    clear = {r.e for r in summarize.clear_choice(df, "e", 9).where("_clear").collect()}
+    got = {}
+    for r in summarize.coverage_summary(df, "e", 9).collect():
+        got.setdefault(r.e, (r.value, set()))[1].add(r.sent)
+    assert 5 < len(clear) < 55
+    for e in range(60):
+        cover = {}
+        for _, s, n, c, _ in (r for r in rows if r[0] == e):
+            cover.setdefault(s, (n, set()))[1].add(c)
+        value = lambda pick: sum(weight[e, c] for c in set().union(*(cover[s][1] for s in pick)))  # noqa: B023, E731
+        sets = [p for n in range(len(cover) + 1) for p in itertools.combinations(cover, n) if sum(cover[s][0] for s in p) <= 9]
+        best = max(map(value, sets))
+        assert got.get(e, (0.0, set()))[0] == best
+        if e in got:
+            assert value(got[e][1]) == best and sum(cover[s][0] for s in got[e][1]) <= 9
+        if e in clear:
+            assert got.get(e, (0.0, set()))[1] == {s for s in cover if any(weight[e, c] > 0 for c in cover[s][1])}
