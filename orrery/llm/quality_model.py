@@ -7,16 +7,17 @@ difference of the summed sizes divided by the text's bytes says which side it is
 to. A logistic calibration, fitted on labelled texts that are not in the dictionaries,
 turns the two differences into a score between 0 and 1.
 
-The fit uses a bounded sample of labelled rows: ``most_rows``, half of them of either
-label, in hash order. Each row then counts for as many as its label has rows to a drawn
+The fit uses a bounded sample of labelled documents: ``most_rows``, half of them of either
+label, in hash order, and one row of each. Each row then counts for as many as its label has rows to a drawn
 one, so the score is calibrated to the labels' own shares at every size. Dictionaries
 learn ``pieces`` stretches of ``piece_chars`` characters at even distances of a whole
 text; calibration and scoring read whole texts, and scoring is one pass without a shuffle.
 
 Edge cases: null or empty text scores the calibrated value of a zero difference;
 labels that are null are ignored; without labels of both kinds every score is the
-share of good labels (0.5 if there are none); repeated rows score alike; an empty table
-gives an empty result.
+share of good labels (0.5 if there are none); repeated rows score alike; repeated labels
+count once, and of rows that share a doc_id the first in hash order is learnt from, so the
+fit does not grow with them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,15 +120,17 @@ def fit(docs: DataFrame, labels: DataFrame, rules: FitRules | None = None) -> Mo
 
     The sample is drawn on the narrow label table and then joined to its texts by a
     broadcast of the drawn ids, whose number is bounded; the texts stay on the executors.
+    Repeats go before the draw and after the join, so a drawn id gives one row.
     """
     rules = rules or FitRules()
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     n = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     blank = Model((b".",) * 4, np.array([math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)) if n else 0.0, 0, 0]), rules.block_bytes, rules.level)
     half = rules.most_rows // 2
     parts = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for q in (0, 1)]
     drawn = parts[0].unionByName(parts[1]).withColumn("learn", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0)
-    rows = doc_columns(docs).join(F.broadcast(drawn), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("at"), "text"))
+    rows = doc_columns(docs).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality", "learn").agg(first["text"].alias("text"))
     # stretches at even distances, one for a short text
     last = F.greatest(F.length("text") - rules.piece_chars, F.lit(0))
     every = F.transform(F.sequence(F.lit(0), F.lit(rules.pieces - 1)), lambda i: F.substring("text", F.floor(i * last / (rules.pieces - 1)).cast("int") + 1, F.lit(rules.piece_chars)))

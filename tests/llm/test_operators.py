@@ -447,6 +447,20 @@ def test_quality_prior_does_not_follow_the_sample(spark):
     assert abs(means[0] - 0.9) < 0.06 and abs(means[1] - 0.9) < 0.06
 
 
+def test_quality_model_of_repeated_rows(spark):
+    """Documents and labels that stand there several times give the model of one copy, not a larger sample."""
+    rng = random.Random(4)
+    df = corpus(spark, [" ".join(rng.choice(["good", "plain", "words"] if i < 60 else ["BUY", "$$$", "now!!"]) + str(rng.randrange(50)) for _ in range(40)) for i in range(120)])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    rules = quality_model.FitRules(most_rows=60)
+    one = quality_model.fit(df, labels, rules)
+    many = quality_model.fit(df.unionByName(df).unionByName(df), labels.unionByName(labels).unionByName(labels), rules)
+    assert many.dictionaries == one.dictionaries and np.allclose(many.slope, one.slope)
+    other = df.withColumn("text", F.concat("text", F.lit(" and more")))
+    a, b = (quality_model.fit(x.unionByName(y), labels, rules) for x, y in ((df, other), (other, df)))
+    assert a.dictionaries == b.dictionaries and sum(map(len, a.dictionaries)) < 1.5 * sum(map(len, one.dictionaries))
+
+
 def test_shards(spark, tmp_path):
     df = corpus(spark, TEXTS)
     store = sharding.ShardStore(spark, str(tmp_path / "s"), df.schema)
